@@ -205,6 +205,7 @@ class Vocabulary:
 def encode_texts(docs: DataFrame, vocabulary_path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with ``out``: the ids (array<int>) of each whole text. Rows stay where they are: no shuffle."""
     content = file_text(vocabulary_path)
+    docs = docs.drop(out)  # an older column of that name is replaced
     at = docs.columns.index(text)
 
     def work(batches):
@@ -223,6 +224,7 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, text: str = "text", out:
 def decode_ids(docs: DataFrame, vocabulary_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with ``out``: the text that ``ids`` stand for."""
     content = file_text(vocabulary_path)
+    docs = docs.drop(out)
     at = docs.columns.index(ids)
 
     def work(batches):

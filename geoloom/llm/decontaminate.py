@@ -268,30 +268,32 @@ def overlap_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that the rule leaves, unchanged."""
-    return find_overlap(docs, benchmark).where(~contaminated()).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return find_overlap(rows, benchmark).where(~contaminated()).select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, longest: int = WINDOW, coverage: float = 0.5) -> DataFrame:
     """Texts without their hit spans of ``longest`` words or more; rows with over ``coverage`` of their words hit go."""
-    found = find_overlap(docs, benchmark).where(_n_hit() <= F.col("_n_words") * coverage)
-    names, at = found.columns, found.columns.index("text")
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    found = find_overlap(rows, benchmark).where(_n_hit() <= F.col("_n_words") * coverage).select("row", "text", "_hits")
 
     def work(batches):
         for batch in batches:
             texts = []
-            for t, hits in zip(batch.column(at).to_pylist(), batch.column(names.index("_hits")).to_pylist(), strict=True):
+            for t, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if t and hits:
                     places = [m.span() for m in WORDS.finditer(lower_ascii(t))]
                     for s in reversed(hits):
                         if s["end"] - s["start"] >= longest:
                             t = t[: places[s["start"]][0]] + t[places[s["end"] - 1][1] :]
                 texts.append(t)
-            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(names.index(n)) for n in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "clean"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = map_batches(found, work, schema)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+    kind = found.schema["row"].dataType.simpleString()
+    out = map_batches(found, work, f"row {kind}, clean string")
+    size = F.char_length("clean").cast("long")
+    new = {"text": F.col("clean"), "n_chars": size}
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def brute_force(docs: list[tuple], items: list[tuple]) -> list[tuple]:

@@ -179,8 +179,9 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told: texts without a letter go."""
-    return predict(docs, learn(docs)).where(F.col("_lang") != UNKNOWN).select(*docs.columns)
+    """The documents whose language can be told, unchanged: texts without a letter go."""
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return predict(rows, learn(docs)).where(F.col("_lang") != UNKNOWN).select("row.*")
 
 
 def brute_force_phrases(data: bytes, text: bytes) -> int:

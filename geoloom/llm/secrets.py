@@ -199,11 +199,15 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     rest = F.aggregate(
         "_secrets", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, 2147483647))
     )
-    clean = F.when(F.size("_secrets") > 0, rest).otherwise(F.col("text"))
-    out = find_secrets(docs).withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    found = find_secrets(docs.select(F.struct("*").alias("row"), "text"))
+    found = found.select("row", F.when(F.size("_secrets") > 0, rest).alias("clean"))
+    new = {"text": F.col("clean"), "n_chars": F.char_length("clean").cast("long")}
+    return found.select(
+        *[
+            F.when(F.col("clean").isNotNull(), new[c]).otherwise(F.col("row").getField(c)).alias(c) if c in new else F.col("row").getField(c).alias(c)
+            for c in docs.columns
+        ]
+    )
 
 
 SQL = rf"""
