@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .components import components
+from .components import components, written
 
 Keys = tuple[str, ...]
 
@@ -186,7 +186,7 @@ def carve_water(cells: DataFrame, mask: DataFrame, cell_m: float, ceiling: float
     The greatest depth is the ceiling, or what the steepness allows at the point farthest
     from the shore.
     """
-    regions = label_regions(mask)
+    regions = written(label_regions(mask), "regions")
     marks = mask.select("r", "c", F.lit(True).alias("mask"))
     grid = cells.select("r", "c").join(marks, ["r", "c"], "left").withColumn("mask", F.coalesce("mask", F.lit(False)))
     far = distance_transform(grid).where("mask").select("r", "c", F.coalesce("distance", F.lit(1.0)).alias("d"))
