@@ -159,3 +159,46 @@ def point_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by
     size = dx * dx + dy * dy
     t = F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / size)))
     return F.sqrt(F.pow(px - ax - t * dx, 2) + F.pow(py - ay - t * dy, 2))
+
+
+def unproject_tm(x: Column, y: Column, central: float, scale: float = 0.9996, east0: float = 500_000.0, north0: float = 0.0) -> Column:
+    """The inverse of ``project_tm``: lon and lat of an easting and northing."""
+    a, f = 6_378_137.0, 1 / 298.257222101
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 / 3 * n**2 + 37 / 96 * n**3, n**2 / 48 + n**3 / 15, 17 / 480 * n**3)
+    delta = (2 * n - 2 / 3 * n**2 - 2 * n**3, 7 / 3 * n**2 - 8 / 5 * n**3, 56 / 15 * n**3)
+    xi, eta = (y - north0) / (scale * radius), (x - east0) / (scale * radius)
+    u, v = xi, eta
+    for k, c in enumerate(beta, 1):
+        u = u - c * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+        v = v - c * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+    chi = F.asin(F.sin(u) / F.cosh(v))
+    lat = chi
+    for k, c in enumerate(delta, 1):
+        lat = lat + c * F.sin(2 * k * chi)
+    lon = F.degrees(F.atan2(F.sinh(v), F.cos(u))) + central
+    return F.struct(lon.alias("lon"), F.degrees(lat).alias("lat"))
+
+
+def transformed(parts: Column, move) -> Column:
+    """Every vertex of a geometry (array of parts of rings of points) moved; ``move`` takes and gives a point."""
+    return F.transform(parts, lambda rings: F.transform(rings, lambda ring: F.transform(ring, move)))
+
+
+def envelope_points(west: Column, south: Column, east: Column, north: Column, n: int = 16) -> Column:
+    """Samples along the four edges of a rectangle, corners included."""
+    steps = F.sequence(F.lit(0), F.lit(n))
+
+    def side(x, y) -> Column:
+        return F.transform(steps, lambda k: F.struct(x(k / n).alias("x"), y(k / n).alias("y")))
+
+    across, up = (lambda t: west + (east - west) * t), (lambda t: south + (north - south) * t)
+    return F.concat(side(across, lambda t: south + 0 * t), side(across, lambda t: north + 0 * t), side(lambda t: west + 0 * t, up), side(lambda t: east + 0 * t, up))
+
+
+def projected_envelope(west: Column, south: Column, east: Column, north: Column, central: float) -> Column:
+    """Geographic box around a projected rectangle: its sampled edges taken back to degrees."""
+    back = F.transform(envelope_points(west, south, east, north), lambda p: unproject_tm(p["x"], p["y"], central))
+    lons, lats = F.transform(back, lambda p: p["lon"]), F.transform(back, lambda p: p["lat"])
+    return F.struct(F.array_min(lons).alias("west"), F.array_min(lats).alias("south"), F.array_max(lons).alias("east"), F.array_max(lats).alias("north"))

@@ -231,3 +231,27 @@ def run_summary(counts: DataFrame, cells: DataFrame) -> DataFrame:
     by = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("features"))
     span = cells.agg(F.count("*").alias("cells"), F.min("z").alias("low"), F.max("z").alias("high"))
     return by.crossJoin(span).select(F.to_json(F.struct("features", "cells", "low", "high")).alias("summary"))
+
+
+def reproject(cells: DataFrame, targets: DataFrame, cell_m: float, east0: float, north0: float, central: float) -> DataFrame:
+    """Bilinear values at geographic targets (r, c, lon, lat) from a projected grid (r from the south, c, z).
+
+    Every target is projected, joins its two by two source cells by key and sums them by weight.
+    """
+    from ..functions.geometry import project_tm
+
+    at = targets.withColumn("_p", project_tm(F.col("lon"), F.col("lat"), central))
+    at = at.select("r", "c", ((F.col("_p.x") - east0) / cell_m).alias("_x"), ((F.col("_p.y") - north0) / cell_m).alias("_y"))
+    near = at.withColumn("_dy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_dx", F.explode(F.array(F.lit(0), F.lit(1))))
+    sy, sx = F.floor("_y") + F.col("_dy"), F.floor("_x") + F.col("_dx")
+    weight = (1 - F.abs(F.col("_y") - sy)) * (1 - F.abs(F.col("_x") - sx))
+    near = near.select("r", "c", sy.cast("long").alias("_r"), sx.cast("long").alias("_c"), weight.alias("_w")).where("_w > 0")
+    source = cells.select(F.col("r").cast("long").alias("_r"), F.col("c").cast("long").alias("_c"), "z")
+    return near.join(source, ["_r", "_c"]).groupBy("r", "c").agg((F.sum(F.col("z") * F.col("_w")) / F.sum("_w")).alias("z"))
+
+
+def river_lines(points: DataFrame, rivers: DataFrame, box: tuple[float, float, float, float], tolerance: float) -> DataFrame:
+    """Rivers without hairpins, cut to the terrain, simplified, with a width by type."""
+    kept = N.simplify(N.in_bounds(N.drop_hairpins(points), *box), tolerance)
+    rows = kept.groupBy("line_id").agg(F.count("*").alias("n"))
+    return rows.join(rivers, rows["line_id"] == rivers["id"]).select("id", "n", C.river_width(F.col("water_type")).alias("width"))

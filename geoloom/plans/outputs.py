@@ -195,3 +195,43 @@ def a9_run_summary(spark, sf_dir):
 @query(with_tables("boxes") + f"SELECT id, {L.sql_case('country', L.CRS, 'UTM')} AS crs FROM boxes")
 def c10_choose_crs(spark, sf_dir):
     return derived(spark, sf_dir, "boxes").select("id", L.looked_up(col("country"), L.CRS, "UTM").alias("crs"))
+
+
+@query(with_tables("points") + "SELECT id, round(lon, 7) AS lon, round(lat, 7) AS lat FROM points")
+def c12_round_trip(spark, sf_dir):
+    from ..functions.geometry import project_tm, unproject_tm
+
+    there = derived(spark, sf_dir, "points").select("id", project_tm(col("lon"), col("lat"), 15.0).alias("p"))
+    back = unproject_tm(col("p.x"), col("p.y"), 15.0)
+    return there.select("id", F.round(back["lon"], 7).alias("lon"), F.round(back["lat"], 7).alias("lat"))
+
+
+@query()
+def c13_projected_envelope(spark, sf_dir):
+    from ..functions.geometry import projected_envelope
+
+    x, y = 500000 + col("id") * 100.0, 6500000 + col("id") * 50.0
+    return derived(spark, sf_dir, "boxes").select("id", projected_envelope(x, y, x + 20000, y + 20000, 15.0).alias("b")).select("id", *[F.round(f"b.{c}", 6).alias(c) for c in ("west", "south", "east", "north")])
+
+
+@query(with_tables("boxes") + "SELECT id, round(x + 1, 6) AS x0, round(y - 1, 6) AS y0, 5 AS n FROM boxes")
+def c14_transform_features(spark, sf_dir):
+    from ..functions.geometry import transformed
+
+    parts = F.array(F.array(box_ring()))
+    moved = transformed(parts, lambda p: F.struct((p["x"] + 1).alias("x"), (p["y"] - 1).alias("y")))
+    rows = derived(spark, sf_dir, "boxes").select("id", F.get(F.get(moved, 0), 0).alias("ring"))
+    return rows.select("id", F.round(F.get("ring", 0)["x"], 6).alias("x0"), F.round(F.get("ring", 0)["y"], 6).alias("y0"), F.size("ring").alias("n"))
+
+
+@query()
+def g23_reproject(spark, sf_dir):
+    dem = derived(spark, sf_dir, "dem").select("r", "c", "z")
+    targets = dem.where("r < 60 AND c < 60").select("r", "c", (15.001 + col("c") * 0.0002).alias("lon"), (58.6401 + col("r") * 0.0001).alias("lat"))
+    return M.reproject(dem, targets, 20.0, 500000.0, 6500000.0, 15.0).withColumn("z", F.round("z", 3))
+
+
+@query()
+def m4_river_lines(spark, sf_dir):
+    rivers = derived(spark, sf_dir, "boxes").select("id", "water_type")
+    return M.river_lines(derived(spark, sf_dir, "line_points"), rivers, (16.0, 59.0, 16.03, 59.025), 300.0)
