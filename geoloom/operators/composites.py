@@ -255,3 +255,16 @@ def river_lines(points: DataFrame, rivers: DataFrame, box: tuple[float, float, f
     kept = N.simplify(N.in_bounds(N.drop_hairpins(points), *box), tolerance)
     rows = kept.groupBy("line_id").agg(F.count("*").alias("n"))
     return rows.join(rivers, rows["line_id"] == rivers["id"]).select("id", "n", C.river_width(F.col("water_type")).alias("width"))
+
+
+def mosaic_grid(tiles: DataFrame) -> DataFrame:
+    """One row: the coarsest resolution, bounds snapped outward to its multiples, the size; tiles under three bands are skipped."""
+    used = tiles.where("bands >= 3")
+    span = used.agg(F.max(F.greatest("dx", "dy")).alias("cell"), F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"), F.count("*").alias("tiles"))
+    low, high = (lambda c: F.floor(F.col(c) / F.col("cell")).cast("long")), (lambda c: F.ceil(F.col(c) / F.col("cell")).cast("long"))
+    total = tiles.agg(F.count("*").alias("all"))
+    lost = F.col("all") - F.col("tiles")
+    return span.crossJoin(total).select(
+        "cell", low("xmin").alias("c0"), low("ymin").alias("r0"), (high("xmax") - low("xmin")).alias("width"), (high("ymax") - low("ymin")).alias("height"),
+        (lost > F.greatest(F.lit(1), F.floor(F.col("all") / 3))).alias("failed"),
+    )

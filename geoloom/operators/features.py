@@ -163,3 +163,18 @@ def first_available(candidates: DataFrame, key: str = "area") -> DataFrame:
     """The available source of the best priority for each area."""
     ranked = F.min_by(F.struct("source", "priority"), "priority")
     return candidates.where("available").groupBy(key).agg(ranked.alias("p")).select(key, "p.source", "p.priority")
+
+
+def feature_name(names: Column, plain: Column, nested: Column, name: Column) -> Column:
+    """A name from an array of structs (text), an array of strings, a struct's list, or a plain column; else empty."""
+    return F.coalesce(F.get(names, 0)["text"], F.get(plain, 0), F.get(nested["text"], 0), name, F.lit(""))
+
+
+def constant_water(features: DataFrame, kind: str) -> DataFrame:
+    """Features of one water type: river polygons or wetlands."""
+    return features.withColumn("water_type", F.lit(kind))
+
+
+def type_counts(features: DataFrame) -> DataFrame:
+    """Rows by category and type."""
+    return features.groupBy("category", "kind").agg(F.count("*").alias("n"))

@@ -78,31 +78,47 @@ def _offset(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Colu
     return F.when(size == 0, F.sqrt(ux * ux + uy * uy)).otherwise(F.abs(dx * uy - dy * ux) / size)
 
 
-def simplify(points: DataFrame, tolerance: float) -> DataFrame:
+def _along(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
+    """Share of the way from a to b at p's foot, 0 to 1."""
+    scale = F.cos(F.radians(ay))
+    dx, dy, ux, uy = (bx - ax) * scale, by - ay, (px - ax) * scale, py - ay
+    size = dx * dx + dy * dy
+    return F.when(size == 0, 0.0).otherwise(F.least(F.greatest((ux * dx + uy * dy) / size, F.lit(0.0)), F.lit(1.0)))
+
+
+def simplify(points: DataFrame, tolerance: float, rise: float | None = None) -> DataFrame:
     """Douglas-Peucker, level by level: every open segment of every line splits at its farthest vertex at once.
 
+    With ``rise``, rows have a z, and a vertex is as far as the larger of its sideways
+    distance over ``tolerance`` and its height off the segment over ``rise``.
+
     A round is one window over (line, segment); a line of n vertices needs as many rounds
     as its split tree is deep. Rounds are written to the shared folder.
     """
     last = F.count("*").over(Window.partitionBy("line_id"))
-    rows = points.withColumn("_i", F.row_number().over(order()))
+    names = ["line_id", "seq", "x", "y", *(["z"] if rise else [])]
+    rows = points.select(*names, F.row_number().over(order()).alias("_i"))
     rows = written(rows.withColumn("keep", (F.col("_i") == 1) | (F.col("_i") == last)), "simplify")
     kept = -1
     while True:
         now = rows.where("keep").count()
         if now == kept:
-            return rows.where("keep").drop("keep", "_i")
+            return rows.where("keep").select(*names)
         kept = now
         ahead = order().rowsBetween(Window.unboundedPreceding, 0)
         behind = order().rowsBetween(0, Window.unboundedFollowing)
-        marked = [F.when(F.col("keep"), F.col(c)) for c in ("_i", "x", "y")]
-        a = [F.last(m, True).over(ahead) for m in marked]
-        b = [F.first(m, True).over(behind) for m in marked[1:]]
-        far = rows.select("*", a[0].alias("_seg"), _offset(a[1], a[2], b[0], b[1], F.col("x"), F.col("y")).alias("_d"))
+        ends = {n: F.when(F.col("keep"), F.col(n)) for n in ("_i", *names[2:])}
+        a = {n: F.last(e, True).over(ahead) for n, e in ends.items()}
+        b = {n: F.first(e, True).over(behind) for n, e in ends.items()}
+        place = (a["x"], a["y"], b["x"], b["y"], F.col("x"), F.col("y"))
+        far = _offset(*place) / tolerance
+        if rise:
+            far = F.greatest(far, F.abs(F.col("z") - a["z"] - (b["z"] - a["z"]) * _along(*place)) / rise)
+        seen = rows.select("*", a["_i"].alias("_seg"), F.round(far, 9).alias("_d"))
         segment = Window.partitionBy("line_id", "_seg")
-        pick = F.first("_i").over(segment.orderBy(F.col("keep"), F.desc(F.round("_d", 9)), "_i"))
-        split = ~F.col("keep") & (F.round("_d", 9) > tolerance) & (F.col("_i") == pick)
-        rows = written(far.select("line_id", "seq", "x", "y", "_i", (F.col("keep") | split).alias("keep")), "simplify")
+        pick = F.first("_i").over(segment.orderBy(F.col("keep"), F.desc("_d"), "_i"))
+        split = ~F.col("keep") & (F.col("_d") > 1) & (F.col("_i") == pick)
+        rows = written(seen.select(*names, "_i", (F.col("keep") | split).alias("keep")), "simplify")
 
 
 def clip_polygon(rings: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
@@ -148,3 +164,13 @@ def dissolve(boxes: DataFrame, touches: DataFrame) -> DataFrame:
     rows = boxes.join(found, boxes["id"] == found["node"], "left").withColumn("group", F.coalesce("component", "id"))
     best = F.max_by("name", F.struct((F.coalesce("name", F.lit("")) != "").alias("named"), F.round("area", 9).alias("area"), (-F.col("id")).alias("first")))
     return rows.groupBy("group").agg(F.count("*").alias("members"), best.alias("name"))
+
+
+def cleanup_stats(boxes: DataFrame, touches: DataFrame, sliver: float) -> DataFrame:
+    """One row: features in, groups of several, slivers below ``sliver`` and features that stand alone."""
+    found = components(touches)
+    rows = boxes.join(found, boxes["id"] == found["node"], "left").withColumn("group", F.coalesce("component", "id"))
+    sizes = rows.groupBy("group").agg(F.count("*").alias("n"), F.sum("area").alias("area"))
+    return sizes.agg(
+        F.sum("n").alias("polygons"), F.count_if(F.col("n") > 1).alias("merged"), F.count_if(F.col("area") < sliver).alias("slivers"), F.count_if(F.col("n") == 1).alias("alone")
+    )

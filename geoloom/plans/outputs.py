@@ -235,3 +235,59 @@ def g23_reproject(spark, sf_dir):
 def m4_river_lines(spark, sf_dir):
     rivers = derived(spark, sf_dir, "boxes").select("id", "water_type")
     return M.river_lines(derived(spark, sf_dir, "line_points"), rivers, (16.0, 59.0, 16.03, 59.025), 300.0)
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'wetland' ELSE 'river' END AS water_type FROM supplier")
+def b9_b14_constant_water(spark, sf_dir):
+    from ..operators.features import constant_water
+
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(col("s_suppkey").alias("id"))
+    return constant_water(rows.where("id % 2 = 0"), "wetland").unionByName(constant_water(rows.where("id % 2 <> 0"), "river"))
+
+
+@query("SELECT s_suppkey AS id, CASE s_suppkey % 5 WHEN 0 THEN 's' || s_suppkey WHEN 1 THEN 'p' || s_suppkey WHEN 2 THEN 'n' || s_suppkey WHEN 3 THEN s_name ELSE '' END AS name FROM supplier")
+def b10_feature_name(spark, sf_dir):
+    from ..operators.features import feature_name
+
+    k, text = col("s_suppkey"), col("s_suppkey").cast("string")
+    names = F.when(k % 5 == 0, F.array(F.struct(F.concat(lit("s"), text).alias("text"))))
+    plain = F.when(k % 5 == 1, F.array(F.concat(lit("p"), text)))
+    nested = F.when(k % 5 == 2, F.struct(F.array(F.concat(lit("n"), text)).alias("text")))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("id"), feature_name(names, plain, nested, F.when(k % 5 == 3, col("s_name"))).alias("name"))
+
+
+@query(with_tables("boxes") + "SELECT geom_type AS category, water_type AS kind, count(*) AS n FROM boxes GROUP BY ALL")
+def e3_type_counts(spark, sf_dir):
+    from ..operators.features import type_counts
+
+    return type_counts(derived(spark, sf_dir, "boxes").select(col("geom_type").alias("category"), col("water_type").alias("kind")))
+
+
+@query()
+def e16_cleanup_stats(spark, sf_dir):
+    from ..operators.lines import cleanup_stats
+
+    boxes = derived(spark, sf_dir, "boxes").select("id", (col("w") * col("h")).alias("area"), col("x").alias("xmin"), col("y").alias("ymin"), (col("x") + col("w") * 4).alias("xmax"), (col("y") + col("h") * 4).alias("ymax"))
+    others = boxes.select(col("id").alias("code"), "xmin", "ymin", "xmax", "ymax")
+    touches = spatial.box_overlaps(boxes.select("id", "xmin", "ymin", "xmax", "ymax"), others, 0.02).where("id > code").select(col("id").alias("a"), col("code").alias("b"))
+    return cleanup_stats(boxes, touches, 0.000004)
+
+
+@query(
+    with_tables("boxes")
+    + """, t AS (SELECT CAST(1 + id % 3 AS DOUBLE) AS cell, id % 7 AS bands, id * 3 + 0.5::DOUBLE AS x0, id * 2 + 0.5::DOUBLE AS y0, id * 3 + 10.25::DOUBLE AS x1, id * 2 + 12.25::DOUBLE AS y1 FROM boxes), g AS (SELECT max(cell) AS cell, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n FROM t WHERE bands >= 3)
+SELECT cell, CAST(floor(x0 / cell) AS BIGINT) AS c0, CAST(floor(y0 / cell) AS BIGINT) AS r0, CAST(ceil(x1 / cell) - floor(x0 / cell) AS BIGINT) AS width, CAST(ceil(y1 / cell) - floor(y0 / cell) AS BIGINT) AS height, (SELECT count(*) FROM t) - n > greatest(1, (SELECT count(*) FROM t) // 3) AS failed FROM g"""
+)
+def g21_mosaic_grid(spark, sf_dir):
+    k = col("id")
+    cell = (1 + k % 3).cast("double")
+    tiles = derived(spark, sf_dir, "boxes").select(cell.alias("dx"), cell.alias("dy"), (k % 7).alias("bands"), (k * 3 + 0.5).alias("xmin"), (k * 2 + 0.5).alias("ymin"), (k * 3 + 10.25).alias("xmax"), (k * 2 + 12.25).alias("ymax"))
+    return M.mosaic_grid(tiles)
+
+
+@query()
+def c17_simplify_3d(spark, sf_dir):
+    from ..operators.lines import simplify
+
+    points = derived(spark, sf_dir, "line_points").withColumn("z", (col("line_id") * 7 + col("seq") * 13) % 50 * 0.1)
+    return simplify(points, 800.0, 2.0).select("line_id", "seq")
