@@ -126,3 +126,18 @@ def rank_sources(probes: DataFrame) -> DataFrame:
     """Healthy sources by latency, then the others in pool order."""
     order = Window.partitionBy("pool").orderBy(F.desc("healthy"), F.when(F.col("healthy"), F.col("latency")).otherwise(F.col("place")), "place")
     return probes.withColumn("rank", F.row_number().over(order))
+
+
+def job_log_tail_stream(events: DataFrame, most: int = 5000) -> DataFrame:
+    """The newest ``most`` events of each key on a stream, in update mode: a key's state is that list and no more."""
+
+    def one_key(key, batches, state: GroupState):
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        new = pd.concat(list(batches)).sort_values(["ts", "id"])
+        held = sorted([*held, *zip(new["ts"].tolist(), new["id"].tolist(), strict=True)])[-most:]
+        state.update(([t for t, _ in held], [i for _, i in held]))
+        yield pd.DataFrame({"key": [key[0]], "ids": [[i for _, i in held]]})
+
+    timed = events.select("id", "key", micros(F.col("ts")).alias("ts"))
+    return timed.groupBy("key").applyInPandasWithState(one_key, "key long, ids array<long>", "ts array<long>, ids array<long>", "update", GroupStateTimeout.NoTimeout)
+
