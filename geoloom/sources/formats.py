@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.strings import folded  # noqa: F401
-
 POINT = "struct<lon:double,lat:double>"
 ELEMENT = f"struct<id:bigint,type:string,tags:map<string,string>,geometry:array<{POINT}>,members:array<struct<role:string,geometry:array<{POINT}>>>>"
 
