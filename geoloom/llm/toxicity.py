@@ -14,8 +14,9 @@ is bounded: ``SAMPLE`` rows of each label at most, in the order of a hash of the
 ids, held-out rows never; stems ``STEMS`` at most. Their counts are summed by Spark.
 
 Null and empty texts match nothing and get the score of a text without matches.
-Labels of ids that occur twice count once (the larger). Without labels of both kinds
-the score is 0. Rows are scored where they are: no shuffle.
+Labels of ids that occur twice count once (the larger), and so do labelled rows whose
+whole texts are equal; an id with several texts teaches by the least. Without labels of
+both kinds the score is 0. Rows are scored where they are: no shuffle.
 """
 
 from __future__ import annotations
@@ -119,8 +120,9 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         limit = F.when(F.col("toxic") == value, F.lit(min(1 << 32, 1 + SAMPLE * (1 << 32) // n))).otherwise(limit)
     chosen = known.where(place < limit).limit(3 * SAMPLE)
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    # copies teach once: texts that agree in the middle are one
-    return rows.dropDuplicates(["doc_id"]).withColumn("_part", F.substring("text", 200, 100)).dropDuplicates(["_part"]).select("text", "toxic")
+    # copies teach once: whole texts that are equal are one row, toxic where any of them is
+    own = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return own.groupBy("text").agg(F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def learn_stems(sample: DataFrame) -> dict[str, float]:

@@ -242,3 +242,18 @@ def test_toxicity(spark, docs, none):
     assert len(report) == len(rows()) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in report)
     assert toxicity.toxicity_report(none, labels).count() == 0
     assert {r.score for r in toxicity.toxicity_report(docs, labels.where("false")).collect()} == {0.0}
+
+
+def test_toxicity_learns_from_short_texts_and_shared_passages(spark):
+    header = "x" * 400
+    for before in ("", header):
+        texts = [(i, f"{before} you are an idiot number {i}" if i % 2 else f"{before} a fine day number {i}") for i in range(80)]
+        data = spark.createDataFrame([*texts, (80, texts[0][1])], "doc_id long, text string").repartition(3)
+        labels = spark.createDataFrame([(i, 0, i % 2) for i in range(80)] + [(80, 0, 1)], "doc_id long, quality int, toxic int")
+        sample = {r.text: r.toxic for r in toxicity._sample(data, labels).collect()}
+        known = {t: i for i, t in texts if zlib.crc32(str(i).encode()) % 4 != 2}
+        assert set(sample) == set(known) | ({texts[0][1]} if zlib.crc32(b"80") % 4 != 2 else set())
+        assert all(sample[t] == i % 2 for t, i in known.items() if t != texts[0][1])
+        assert zlib.crc32(b"80") % 4 == 2 or sample[texts[0][1]] == 1
+        report = {r.doc_id: r.predicted for r in toxicity.toxicity_report(data, labels).collect()}
+        assert all(report[i] == i % 2 for i in range(1, 80))
