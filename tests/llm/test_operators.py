@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from geoloom.llm import audio, bpe, chat, decontaminate, jaccard, language, licenses, secrets, token_store, toxicity
+from geoloom.llm.common import staged
 from geoloom.llm.entries import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _lang string, _hits string, ids string, row string"
@@ -232,6 +233,39 @@ def test_adpcm_block_by_block():
         assert got.tolist() == want
 
 
+def resampled(samples, rate, to):
+    out = []
+    for k in range(len(samples) * to // rate):
+        left, part = divmod(k * rate, to)
+        a, b = samples[left], samples[min(left + 1, len(samples) - 1)]
+        out.append(a + (b - a) * part // to)
+    return np.array(out, "<i2").tobytes()
+
+
+def test_pcm_of_the_three_decodings(docs):
+    media = audio.with_media(docs.where("doc_id in (1, 40, 45, 46)"))
+    for law in (audio.MU_LAW, audio.A_LAW, audio.ADPCM):
+        for rate in (6000, 8000, 16000):
+            for r in audio.with_pcm(media, law, rate).collect():
+                raw = np.frombuffer(audio.samples_of(r.media), np.uint8)
+                if law == audio.ADPCM:
+                    samples = audio.decode_adpcm(raw.reshape(-1, 64)).ravel().tolist()
+                else:
+                    samples = (audio.mu_law_table() if law == audio.MU_LAW else audio.a_law_table())[raw].tolist()
+                assert r.pcm == audio.wav(resampled(samples, 8000, rate), audio.PCM, rate, 16)
+
+
+def test_audio_stores_pcm(docs, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(audio, "staged", lambda df, name: kept.setdefault(name, staged(df, name)))
+    report = {r.doc_id: r.feature for r in audio.media_report(docs.where("doc_id is not null")).collect()}
+    table, known = audio.mu_law_table(), dict(rows())
+    for r in kept["media"].collect():
+        samples = audio.samples_of(r.pcm)
+        assert samples == resampled(table[np.frombuffer(audio.samples_of(r.media), np.uint8)].tolist(), 8000, 16000)
+        assert report[r.doc_id].endswith(f";pcm={zlib.crc32(samples):08x}") and r.n_bytes == len((known[r.doc_id] or "").encode())
+
+
 def test_toxicity(spark, docs, none):
     grammar = toxicity.Grammar({"grrrx": 2.0})
     said = lambda t: [p for p, _ in grammar.clause(t.split())]
