@@ -5,11 +5,16 @@ speaker's turns become the assistant's, all others are users under their own nam
 and the training mask covers the assistant's words alone. ``system`` turns keep
 their role in every rendering and get no rendering of their own.
 
-A rendering is cut into chunks of ``CHUNK_TURNS`` turns, so a conversation of any
-length never meets in one task: chunk sizes are summed first, then every chunk is
-rendered on its own with the offset of its first character. Turns are ordered by
-number (null last), then role and text. Null roles count as ``unknown``, null texts
-as empty. Offsets and masks are in characters of the whole rendering, end exclusive.
+A rendering is cut into chunks of ``CHUNK_TURNS`` numbers, so the turns of a long
+conversation do not meet in one task: chunk sizes are summed first, over short rows
+without text and in spans of ``SPAN`` chunks, then every chunk is rendered on its own
+with the offset of its first character. Turns are ordered by number (null last), then
+role and text. Null roles count as ``unknown``, null texts as empty. Offsets and masks
+are in characters of the whole rendering, end exclusive.
+
+Rows without a conversation's id belong to no conversation and give no rendering.
+Bound: a chunk is one row, so turns that share a number, or have none, stand in one
+row however many they are; ``SQL`` says so too.
 """
 
 from __future__ import annotations
@@ -19,18 +24,50 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CHUNK_TURNS = 64
+#: Chunks whose lengths are summed in one task.
+SPAN = 256
 SYSTEM = "system"
 #: Chunk of the turns without a number: after all others.
 LAST = 1 << 40
 
 
+def chunk_starts(turns: DataFrame) -> DataFrame:
+    """conv_id, chunk, speaker and start: the offset of every chunk in every participant's rendering.
+
+    A chunk's length is that of all turns under their names, less what the speaker's own
+    turns save by the assistant's head. Lengths are summed in spans of SPAN chunks, then
+    over the spans, in rows without text.
+    """
+    name = F.when(F.col("role") == SYSTEM, F.lit(len("<|system|>\n"))).otherwise(F.char_length("role") + len("<|user name=|>\n"))
+    roles = turns.groupBy("conv_id", F.floor(F.col("chunk") / SPAN).alias("span"), "chunk", "role").agg(
+        F.count(F.lit(1)).alias("own"), F.sum((F.char_length("text") + name + len("<|end|>\n")).cast("long")).alias("length")
+    )
+    speakers = turns.where(F.col("role") != SYSTEM).select("conv_id", F.col("role").alias("speaker")).distinct()
+    saved = F.coalesce("own", F.lit(0)) * (F.char_length("speaker") + len("<|user name=|>\n") - len("<|assistant|>\n"))
+
+    def before(keys: list[str], by: str):
+        ahead = Window.partitionBy(*keys, "speaker").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(F.col("length") - saved).over(ahead), F.lit(0).cast("long"))
+
+    def summed(keys: list[str]) -> tuple[DataFrame, DataFrame]:
+        own = roles.groupBy(*keys, F.col("role").alias("speaker")).agg(F.sum("own").alias("own"))
+        return roles.groupBy(*keys).agg(F.sum("length").alias("length")), own
+
+    wide, own = summed(["conv_id", "span"])
+    spans = wide.join(speakers, "conv_id").join(own, ["conv_id", "span", "speaker"], "left")
+    spans = spans.select("conv_id", "span", "speaker", before(["conv_id"], "span").alias("_ahead"))
+    short, own = summed(["conv_id", "span", "chunk"])
+    chunks = short.join(spans, ["conv_id", "span"]).join(own, ["conv_id", "span", "chunk", "speaker"], "left")
+    return chunks.select("conv_id", "chunk", "speaker", (F.col("_ahead") + before(["conv_id", "span"], "chunk")).alias("start"))
+
+
 def rotate(conversations: DataFrame) -> DataFrame:
     """One row per conversation, participant and chunk: start, rendered, masks (array of start, end) and n_turns.
 
     Map-side partial sums give chunk lengths and participants; the chunks are grouped
-    by (conversation, chunk), each of CHUNK_TURNS numbered turns.
+    by (conversation, chunk), each of CHUNK_TURNS numbers, and meet their offsets there.
     """
-    turns = conversations.select(
+    turns = conversations.where(F.col("conv_id").isNotNull()).select(
         "conv_id",
         F.coalesce(F.floor(F.col("turn") / CHUNK_TURNS), F.lit(LAST)).alias("chunk"),
         F.coalesce(F.col("turn").cast("long"), F.lit(LAST * CHUNK_TURNS)).alias("turn"),
@@ -40,8 +77,7 @@ def rotate(conversations: DataFrame) -> DataFrame:
     blocks = turns.groupBy("conv_id", "chunk").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"),
     )
-    speakers = turns.where(F.col("role") != SYSTEM).select("conv_id", F.col("role").alias("speaker")).distinct()
-    views = blocks.join(speakers, "conv_id")
+    views = blocks.join(chunk_starts(turns), ["conv_id", "chunk"])
 
     def head(t):
         return F.when(t["role"] == SYSTEM, F.lit("<|system|>\n")).when(
@@ -60,17 +96,15 @@ def rotate(conversations: DataFrame) -> DataFrame:
             F.when(t["role"] == F.col("speaker"), F.concat(acc["out"], F.array(own))).otherwise(acc["out"]).alias("out"),
         )
 
-    rendered = views.select(
+    placed = views.select(
         "conv_id",
         "speaker",
         "chunk",
         F.size("turns").cast("long").alias("n_turns"),
+        "start",
         F.concat_ws("", parts).alias("rendered"),
         F.aggregate("turns", start, step, lambda acc: acc["out"]).alias("_masks"),
     )
-    # running lengths over a view's chunks: one short row for each, not the turns
-    before = Window.partitionBy("conv_id", "speaker").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rendered.withColumn("start", F.coalesce(F.sum(F.char_length("rendered").cast("long")).over(before), F.lit(0).cast("long")))
     return placed.select(
         "conv_id",
         "speaker",

@@ -185,6 +185,28 @@ def test_chat(spark):
     assert not any(r.conv_id == 2 for r in got)
 
 
+def test_chat_places_chunks_without_their_texts(spark, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(chat, "SPAN", 2)
+    random.seed(6)
+    roles = ["ann", "bob", "system", None, "Zoë"]
+    turns = [(c, t, random.choice(roles), f"é{random.randint(0, 999)}" * random.randint(0, 3)) for c in (1, 2) for t in range(700)]
+    turns += [(1, None, "ann", f"late {i}") for i in range(5)] + [(2, 7, "bob", f"tied {i}") for i in range(5)] + [(None, 0, "x", "y"), (3, 0, "ann", None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").repartition(3)
+    c = duckdb.connect()
+    table = pd.DataFrame(turns, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    c.register("conversations", table)
+    want = sorted(c.execute(f"SELECT conv_id, speaker, chunk, n_turns, start, rendered, masks FROM ({chat.SQL})").fetchall())
+    got = sorted(map(tuple, chat.rotation_report(df).select("conv_id", "speaker", "chunk", "n_turns", "start", "rendered", "masks").collect()))
+    assert got == want and not any(r[0] is None for r in got)
+    assert max(r[2] for r in got) == chat.LAST
+    # below the windows, which stand last in the plan, no column holds turns or renderings
+    plan = chat.rotate(df)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window [") :]
+    assert "collect_list" not in below and "concat_ws" not in below
+
+
 def test_jaccard_equals_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP", 8)
     random.seed(5)
