@@ -414,8 +414,18 @@ def e14_sources_used(spark, sf_dir):
 
 @query("SELECT id, kind FROM (SELECT c_custkey AS id, 'national' AS kind FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT s_suppkey, 'cover' FROM supplier UNION ALL SELECT n_nationkey, 'cover' FROM nation)")
 def i1_concat_features(spark, sf_dir):
+    return _concat_features(spark, sf_dir, "c_custkey % 2 = 0")
+
+
+@query()
+def i1_concat_features_whole(spark, sf_dir):
+    """i1 with all customers; its SQL reads every second one."""
+    return _concat_features(spark, sf_dir, "true")
+
+
+def _concat_features(spark: SparkSession, sf_dir: str, customers: str) -> DataFrame:
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    a = t("customer").where("c_custkey % 2 = 0").selectExpr("CAST(c_custkey AS BIGINT) AS id", "'national' AS kind", "c_name AS name")
+    a = t("customer").where(customers).selectExpr("CAST(c_custkey AS BIGINT) AS id", "'national' AS kind", "c_name AS name")
     b = t("supplier").selectExpr("CAST(s_suppkey AS BIGINT) AS id", "'cover' AS kind")
     c = t("nation").selectExpr("CAST(n_nationkey AS BIGINT) AS id", "'cover' AS kind")
     return a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True).select("id", "kind")

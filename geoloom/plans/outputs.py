@@ -227,7 +227,7 @@ def c14_transform_features(spark, sf_dir):
 @query()
 def g23_reproject(spark, sf_dir):
     dem = derived(spark, sf_dir, "dem").select("r", "c", "z")
-    targets = dem.where("r < 60 AND c < 60").select("r", "c", (15.001 + col("c") * 0.0002).alias("lon"), (58.6401 + col("r") * 0.0001).alias("lat"))
+    targets = dem.select("r", "c", (15.001 + col("c") * 0.0002).alias("lon"), (58.6401 + col("r") * 0.0001).alias("lat"))
     return M.reproject(dem, targets, 20.0, 500000.0, 6500000.0, 15.0).withColumn("z", F.round("z", 3))
 
 

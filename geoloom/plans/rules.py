@@ -247,6 +247,19 @@ def j2_sanitize_project(spark, sf_dir):
     return docs.select("doc_id", S.sanitize_project(name).alias("project"))
 
 
+@query()
+def j1_sanitize_token_whole(spark, sf_dir):
+    """j1 over whole texts; its SQL reads the first 60 characters."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", S.sanitize_token(col("text")).alias("token"))
+
+
+@query()
+def j2_sanitize_project_whole(spark, sf_dir):
+    """j2 over whole texts; its SQL reads the first 60 characters."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", S.sanitize_project(F.regexp_replace("text", r"\s+", " ")).alias("project"))
+
+
 @query("SELECT s_suppkey AS id, upper(substr(sha256(s_name), 1, 16)) AS guid FROM supplier")
 def j3_guid(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(col("s_suppkey").alias("id"), S.guid16(col("s_name")).alias("guid"))

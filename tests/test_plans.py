@@ -80,3 +80,30 @@ def test_stitching_turns_and_forks(spark):
     ways = [(1, 10, 11, "a"), (2, 12, 11, "a"), (3, 12, 13, "b"), (4, 13, 14, "b"), (5, 13, 15, "b"), (6, 20, 20, "a")]
     got = {r.id: r.road for r in lines.stitch_ways(spark.createDataFrame(ways, "id long, a long, b long, highway string"), ("highway",)).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+
+
+def test_whole_inputs(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(300)) + "\n\tit's \"q\" a--b__c end!"
+    texts = [(1, long), (2, " - _ a  b\nc__d! - "), (3, ""), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tokens = {r.doc_id: r.token for r in rules.QUERIES["j1_sanitize_token_whole"](spark, str(tmp_path)).collect()}
+    assert tokens == {1: "".join(f"Word{i}" for i in range(300)) + "ItsQA_b_cEnd", 2: "ABC_d", 3: "", 4: ""}
+    projects = {r.doc_id: r.project for r in rules.QUERIES["j2_sanitize_project_whole"](spark, str(tmp_path)).collect()}
+    assert projects == {1: long[:64].strip(), 2: "a b c_d", 3: "Terrain", 4: "Terrain"}
+
+
+def test_reprojects_every_cell_and_unites_all_customers(spark):
+    from pyspark.sql import functions as F
+
+    from geoloom.functions.geometry import project_tm
+    from geoloom.plans.derive import derived
+
+    dem = derived(spark, SF, "dem").select("r", "c", (15.001 + F.col("c") * 0.0002).alias("lon"), (58.6401 + F.col("r") * 0.0001).alias("lat"))
+    cells = dem.select("r", "c", project_tm(F.col("lon"), F.col("lat"), 15.0).alias("p")).select("r", "c", "p.x", "p.y").collect()
+    known = {(r.r, r.c) for r in cells}
+    near = lambda r: ((r.y - 6500000) // 20, (r.x - 500000) // 20)
+    want = {(r.r, r.c) for r in cells if any((near(r)[0] + a, near(r)[1] + b) in known for a in (0, 1) for b in (0, 1))}
+    got = {(r.r, r.c) for r in outputs.QUERIES["g23_reproject"](spark, SF).collect()}
+    assert got == want and max(c for _, c in got) >= 60
+    ids = {r.id for r in networks.QUERIES["i1_concat_features_whole"](spark, SF).where("kind = 'national'").collect()}
+    assert ids == {r[0] for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()}
