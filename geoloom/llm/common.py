@@ -52,9 +52,17 @@ def map_batches(
     schema: str,
     rows: int = TEXT_ROWS,
 ) -> DataFrame:
-    """``mapInArrow`` with batches small enough for whole texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    return df.mapInArrow(work, schema)
+    """``mapInArrow`` in slices of ``rows`` rows, so a worker holds few whole texts beside what Spark sends it.
+
+    Spark bounds what it sends by bytes; the session's settings are left as they are.
+    """
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, rows):
+                yield batch.slice(k, rows)
+
+    return df.mapInArrow(lambda batches: work(sliced(batches)), schema)
 
 
 def task_number() -> int:
