@@ -40,6 +40,8 @@ SHARD_IDS = 1 << 20
 BUCKET = 2
 #: Words kept with their ids, in each of two generations.
 KNOWN_WORDS = 400_000
+#: Rows encoded together: a word that they share is looked up once.
+ENCODED_ROWS = 2000
 #: Most keys of one lookup: each becomes a filter on the shards' fences.
 LOOKUP_KEYS = 1000
 SHARD_SCHEMA = (
@@ -97,15 +99,19 @@ class WordEncoder:
         if len(self.known) > KNOWN_WORDS:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        out, split, new = [], {}, set()
-        for k, chunk in enumerate(chunks):
-            ids = known.get(chunk)
-            if ids is None and (ids := older.get(chunk)) is not None:
-                known[chunk] = ids
-            out.append(ids)
-            if ids is None:
+        out = list(map(known.get, chunks))
+        whole, split, new = [], {}, set()
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            chunk = chunks[k]
+            if (ids := older.get(chunk)) is not None:
+                out[k] = known[chunk] = ids
+            elif WORD.fullmatch(chunk):
+                whole.append(k)
+            else:
                 split[k] = pieces = PIECE.findall(chunk)
                 new.update(pieces)
+        for k, ids in zip(whole, self.encode_words([chunks[k] for k in whole]), strict=True):
+            out[k] = known[chunks[k]] = ids
         new = [p for p in new if p not in known]
         words = [p for p in new if WORD.fullmatch(p)]
         known.update(zip(words, self.encode_words(words), strict=True))
@@ -251,7 +257,7 @@ def write_store(docs: DataFrame, path: str, vocabulary_path: str, end_id: int =
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     arrow = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in SHARD_SCHEMA.split(","))])
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    map_batches(ranged, work, SHARD_SCHEMA).write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
+    map_batches(ranged, work, SHARD_SCHEMA, rows=ENCODED_ROWS).write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
 
 
 def _documents(shard: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
