@@ -1,11 +1,14 @@
 """Telephony audio in media columns.
 
-A payload of bytes is kept losslessly as 8-bit mu-law samples in a WAV container
-(8 kHz, one channel), and expanded and resampled to 16-bit PCM at another rate by
-linear interpolation. Both containers are written to the shared folder and read back;
-the payload is decoded three ways: mu-law and A-law by lookup tables of 256 entries,
-and ADPCM in blocks of 64 bytes (a 4-byte head with predictor and step index, then 120
-nibbles), where numpy carries all blocks of a batch through the 120 steps together.
+A payload of bytes is telephony audio: 8-bit samples at 8 kHz in a WAV container
+(``with_media``), expanded by a lookup table of 256 entries (mu-law, A-law) or decoded
+as ADPCM (blocks of 64 bytes: a 4-byte head with predictor and step index, then 120
+nibbles; numpy carries all blocks of a batch through the 120 steps together), and
+resampled to 16-bit PCM at another rate by linear interpolation (``with_pcm``).
+
+The report stores one form alone, the A-law payload as resampled PCM, and gets the
+payload back from it: at a multiple of the rate every original sample stays in place,
+and A-law gives each byte a sample of its own (mu-law has two zeros), so nothing is lost.
 
 Null text counts as empty; an empty payload is 64 zero bytes. Each row is judged
 alone: equal texts give equal values, and nothing is shuffled.
@@ -54,6 +57,16 @@ def a_law_table() -> np.ndarray:
     return np.where(b & 128, size, -size).astype(np.int16)
 
 
+def a_law_codes() -> np.ndarray:
+    """The A-law byte of each 16-bit sample that A-law has, by the sample's unsigned value."""
+    out = np.zeros(1 << 16, np.uint8)
+    out[a_law_table().view(np.uint16)] = np.arange(256)
+    return out
+
+
+_A_LAW_CODES = a_law_codes()
+
+
 def wav(payload: bytes, kind: int = MU_LAW, rate: int = RATE, bits: int = 8) -> bytes:
     """A one-channel WAV container around raw samples."""
     width = bits // 8
@@ -107,8 +120,14 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     return (a + (b - a) * part // to).astype("<i2")
 
 
-def with_media(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_bytes and ``media``: the text's bytes, zero-padded to a multiple of 64, as mu-law samples in a container."""
+def payload_of(pcm: bytes, rate: int = PCM_RATE) -> bytes:
+    """The A-law bytes behind a container of PCM at a multiple of RATE: every (rate / RATE)-th sample, compressed by table."""
+    samples = np.frombuffer(samples_of(pcm), "<i2")[:: rate // RATE]
+    return _A_LAW_CODES[samples.view(np.uint16)].tobytes()
+
+
+def with_media(docs: DataFrame, text: str = "text", law: int = MU_LAW) -> DataFrame:
+    """doc_id, n_bytes and ``media``: the text's bytes, zero-padded to a multiple of 64, as 8-bit samples in a container."""
 
     def work(batches):
         for batch in batches:
@@ -116,9 +135,9 @@ def with_media(docs: DataFrame, text: str = "text") -> DataFrame:
             for t in batch.column(1).to_pylist():
                 raw = (t or "").encode("utf-8", "surrogatepass")
                 sizes.append(len(raw))
-                media.append(wav(raw + b"\0" * (max(BLOCK, -(-len(raw) // BLOCK) * BLOCK) - len(raw))))
+                media.append(wav(raw + b"\0" * (max(BLOCK, -(-len(raw) // BLOCK) * BLOCK) - len(raw)), law))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"]
+                [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"]
             )
 
     return map_batches(docs.select("doc_id", text), work, "doc_id long, n_bytes long, media binary")
@@ -164,24 +183,24 @@ def features(payloads: list[bytes], stored: list[bytes]) -> list[str]:
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    """Store every text's bytes and their resampled PCM, read the stored containers back and report digests and features."""
-    stored = staged(with_pcm(with_media(docs)), "media")
+    """Store every text's bytes as resampled PCM, read the stored containers back and report digests and features."""
+    pcm = with_pcm(with_media(docs, law=A_LAW), A_LAW).select("doc_id", "n_bytes", "pcm")
+    stored = staged(pcm, "media")
 
     def work(batches):
         for batch in batches:
             media = batch.column(2).to_pylist()
-            payloads = [samples_of(m) for m in media]
-            hexed = [hashlib.sha256(x).hexdigest() for x in payloads]
+            payloads = [payload_of(m) for m in media]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
                     pa.array([len(x) for x in payloads], pa.int64()),
-                    pa.array(hexed),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in payloads], pa.string()),
                     pa.array([zlib.crc32(x[-BLOCK:]) for x in payloads], pa.int64()),
                     pa.array([len(x) for x in media], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in media]),
-                    pa.array(features(payloads, [samples_of(p) for p in batch.column(3).to_pylist()])),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in media], pa.string()),
+                    pa.array(features(payloads, [samples_of(m) for m in media]), pa.string()),
                 ],
                 names=names,
             )

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from geoloom.llm import audio, bpe, chat, decontaminate, jaccard, language, licenses, secrets, token_store, toxicity
-from geoloom.llm.common import staged
+from geoloom.llm.common import map_batches, staged
 from geoloom.llm.entries import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _lang string, _hits string, ids string, row string"
@@ -35,6 +35,21 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_batches_leave_the_session_as_it_is(spark, docs):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def work(batches):
+        for batch in batches:
+            assert batch.num_rows <= 7
+            yield batch.select(["doc_id"])
+
+    assert map_batches(docs, work, "doc_id long", rows=7).count() == len(rows())
+    audio.media_report(docs).count()
+    token_store.store_report(docs, vocabulary("word_bpe_49k.json")).count()
+    assert spark.conf.get(key) == before
+
+
 def test_secrets_equal_duckdb(docs, none):
     import pandas as pd
 
@@ -277,15 +292,27 @@ def test_pcm_of_the_three_decodings(docs):
                 assert r.pcm == audio.wav(resampled(samples, 8000, rate), audio.PCM, rate, 16)
 
 
-def test_audio_stores_pcm(docs, monkeypatch):
+def test_audio_stores_pcm_and_gets_the_payload_back(spark, docs, monkeypatch):
     kept = {}
     monkeypatch.setattr(audio, "staged", lambda df, name: kept.setdefault(name, staged(df, name)))
-    report = {r.doc_id: r.feature for r in audio.media_report(docs.where("doc_id is not null")).collect()}
-    table, known = audio.mu_law_table(), dict(rows())
+    report = {r.doc_id: r for r in audio.media_report(docs.where("doc_id is not null")).collect()}
+    table, known = audio.a_law_table(), dict(rows())
+    assert kept["media"].columns == ["doc_id", "n_bytes", "pcm"]
     for r in kept["media"].collect():
+        raw = (known[r.doc_id] or "").encode()
+        payload = raw.ljust(max(64, (len(raw) + 63) // 64 * 64), b"\0")
         samples = audio.samples_of(r.pcm)
-        assert samples == resampled(table[np.frombuffer(audio.samples_of(r.media), np.uint8)].tolist(), 8000, 16000)
-        assert report[r.doc_id].endswith(f";pcm={zlib.crc32(samples):08x}") and r.n_bytes == len((known[r.doc_id] or "").encode())
+        assert samples == resampled(table[np.frombuffer(payload, np.uint8)].tolist(), 8000, 16000) and audio.payload_of(r.pcm) == payload
+        mu, adpcm = audio.mu_law_table()[np.frombuffer(payload, np.uint8)].astype(int), audio.decode_adpcm(np.frombuffer(payload, np.uint8).reshape(-1, 64))
+        zc = sum((x < 0) != (y < 0) for x, y in zip(mu[:-1].tolist(), mu[1:].tolist(), strict=True))
+        want = f"mu={np.abs(mu).sum() // len(mu)};a={np.abs(table[np.frombuffer(payload, np.uint8)].astype(int)).sum() // len(mu)};zc={zc};"
+        assert report[r.doc_id].feature == f"{want}adpcm={zlib.crc32(adpcm.astype('<i2').tobytes()):08x};pcm={zlib.crc32(samples):08x}"
+        assert report[r.doc_id].media_sha256 == hashlib.sha256(r.pcm).hexdigest() and r.n_bytes == len(raw)
+    monkeypatch.undo()
+    every = bytes(range(256))
+    assert audio.payload_of(audio.wav(resampled(table.tolist(), 8000, 16000), audio.PCM, 16000, 16)) == every
+    whole = spark.createDataFrame([(1, "é"), (1, "é"), (None, None)], "doc_id int, text string")
+    assert [r.doc_id for r in audio.media_report(whole).orderBy("doc_id").collect()] == [None, 1, 1]
 
 
 def test_toxicity(spark, docs, none):
