@@ -10,7 +10,7 @@ from ..functions import classify as C
 from . import lines as N
 from . import naming
 from . import raster as R
-from .components import written
+from .staging import written
 from .features import classify_buildings
 
 # Land-cover codes with target, category or water type, kind and leaf type.

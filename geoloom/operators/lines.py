@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import LON_M, dist_equirect, turn_angle
-from .components import components, written
+from .components import components
+from .staging import written
 
 
 def order():

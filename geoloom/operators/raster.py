@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .components import components, written
+from .components import components
+from .staging import written
 
 Keys = tuple[str, ...]
 
