@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import shared_folder, stage  # noqa: F401
+from ..operators.staging import written as staged  # noqa: F401
+
 #: Rows of whole texts handed to a Python worker at once.
 TEXT_ROWS = 500
 #: ASCII letters A-Z to a-z, all else unchanged.
@@ -29,23 +30,6 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(LOWER_ASCII)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path below ``spark.checkpoint.dir``, which all executors share.
-
-    Where the setting is missing (tests, one machine) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="geoloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_batches(
     df: DataFrame,
     work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
