@@ -315,16 +315,60 @@ def test_audio_stores_pcm_and_gets_the_payload_back(spark, docs, monkeypatch):
     assert [r.doc_id for r in audio.media_report(whole).orderBy("doc_id").collect()] == [None, 1, 1]
 
 
+def plain_patterns(symbols):
+    """The grammar by looking around every offence."""
+    n, out = len(symbols), []
+    for i, x in enumerate(symbols):
+        before = lambda marks, k: any(symbols[j] in marks for j in range(max(0, i - k), i))  # noqa: B023, E731
+        if x not in "IK":
+            out.append("")
+        elif before("S", n):
+            out.append("quoted")
+        elif before("N", toxicity.NEGATED):
+            out.append("denied")
+        elif before("T", toxicity.AIMED):
+            out.append("aimed" if x == "I" else "threat")
+        else:
+            out.append("named" if x == "I" and before("L", toxicity.NAMED) else x)
+    live = ("aimed", "threat", "named", "I", "piled")
+    left = ["piled" if p == "I" and any(q in live for q in out[:i]) else p for i, p in enumerate(out)]
+    for i, p in enumerate(left):
+        after = lambda marks, k: any(y in marks for y in symbols[i + 1 : i + 1 + k])  # noqa: B023, E731
+        if p in ("I", "K") and after("T", toxicity.AIMED):
+            left[i] = "aimed" if p == "I" else "threat"
+        elif p == "I" and after("L", toxicity.NAMED):
+            left[i] = "named"
+    both = ["piled" if p == "I" and any(q in live for q in left[i + 1 :]) else p for i, p in enumerate(left)]
+    return [p for p in both if p not in ("", "I", "K")]
+
+
+def test_grammar_equals_looking_around():
+    words = dict(zip(toxicity.SYMBOLS, ("idiot", "kill", "you", "the", "not", "said", "xyz"), strict=True))
+    grammar, seen = toxicity.Grammar({}), set()
+    random.seed(8)
+    for _ in range(4000):
+        symbols = [random.choice("IKTLNSOOOOOO") for _ in range(random.randint(1, 14))]
+        got = [p for p, _ in grammar.clause([words[x] for x in symbols])]
+        assert got == plain_patterns(symbols)
+        seen.update(got)
+    assert seen == set(toxicity.PATTERNS.values())
+
+
 def test_toxicity(spark, docs, none):
     grammar = toxicity.Grammar({"grrrx": 2.0})
     said = lambda t: [p for p, _ in grammar.clause(t.split())]
     assert said("you are an idiot") == ["aimed"] and said("she is not an idiot") == ["denied"] and said("he said idiot") == ["quoted"]
-    assert said("i will kill you") == ["threat"] and said("kill time") == [] and said("grrrxen") == ["stem"] and said("what a fool") == ["plain"]
+    assert said("i will kill you") == ["threat"] and said("kill time") == [] and said("fool xx grrrxen") == ["piled", "piled"] and said("what a fool") == ["named"]
+    assert said("grrrxen") == said("idiot xx") == [] and grammar.clause(["you", "grrrxen"]) == [("aimed", 2.0)]
+    assert grammar.features("grrrxen. grrrxes! idiot") == grammar.features("") == grammar.features(None)
     labels = spark.createDataFrame([(i, 0, 1 if t and "idiot" in t else 0) for i, t in rows() if i is not None] + [(None, 0, 1)], "doc_id long, quality int, toxic int")
     report = toxicity.toxicity_report(docs, labels).collect()
     assert len(report) == len(rows()) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in report)
+    other = toxicity.toxicity_report(docs.repartition(5, "text"), labels.repartition(7)).collect()
+    assert sorted(map(str, other)) == sorted(map(str, report))
     assert toxicity.toxicity_report(none, labels).count() == 0
     assert {r.score for r in toxicity.toxicity_report(docs, labels.where("false")).collect()} == {0.0}
+    assert toxicity.score(docs.withColumn("_score", docs.doc_id), None).columns == [*docs.columns, "_score", "_clauses"]
 
 
 def test_toxicity_learns_from_short_texts_and_shared_passages(spark):
