@@ -2,10 +2,12 @@
 
 Texts are reduced to normalised words joined by one blank. A notice with up to k
 edits allowed is split into k + 1 pieces: by the pigeonhole principle one of them
-stands unchanged in every match. The pieces of all notices form one pattern whose
-hits locate candidates; around each, the regex library matches the whole notice with
-at most k character edits and gives the span and the number of edits. Phrases with
-no edits allowed (k = 0) are their own seed; they count only between word borders.
+stands unchanged in every match. The pieces of all notices form one Aho-Corasick
+automaton whose hits locate candidates; around each, the regex library matches the whole
+notice with at most k character edits and gives the span and the number of edits. A
+notice's key words (its name, its version) have limits of their own: each must stand in
+the span with no more edits than that. Phrases with no edits allowed (k = 0) are their
+own seed; they count only between word borders.
 
 Null texts have no words and no labels. The score is the largest share of a notice
 that a match leaves unedited (exact phrases: 1), 0 without a match.
@@ -14,7 +16,9 @@ that a match leaves unedited (exact phrases: 1), 0 without a match.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,19 +34,19 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Short notices, their labels and the edits allowed.
+# Short notices, their labels, the edits allowed, and their key words with the edits allowed in each.
 NOTICES = (
-    ("licensed under the apache license version 2 0", "apache-2.0", 4),
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 6),
-    ("released under the mit license", "mit", 3),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", 8),
-    ("licensed under the gnu general public license version 3", "gpl-3.0", 4),
-    ("licensed under the gnu general public license version 2", "gpl-2.0", 4),
-    ("gnu lesser general public license", "lgpl", 3),
-    ("creative commons attribution", "cc-by", 3),
-    ("creative commons attribution sharealike", "cc-by-sa", 4),
-    ("mozilla public license", "mpl", 2),
-    ("all rights reserved", "proprietary", 2),
+    ("licensed under the apache license version 2 0", "apache-2.0", 4, {"apache": 2, "2": 0, "0": 0}),
+    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 6, {"permission": 2, "granted": 2, "copy": 1}),
+    ("released under the mit license", "mit", 3, {"mit": 0}),
+    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", 8, {"redistribution": 3, "permitted": 3}),
+    ("licensed under the gnu general public license version 3", "gpl-3.0", 4, {"gnu": 1, "general": 2, "public": 2, "3": 0}),
+    ("licensed under the gnu general public license version 2", "gpl-2.0", 4, {"gnu": 1, "general": 2, "public": 2, "2": 0}),
+    ("gnu lesser general public license", "lgpl", 3, {"gnu": 1, "lesser": 2, "public": 2}),
+    ("creative commons attribution", "cc-by", 3, {"creative": 2, "commons": 2, "attribution": 3}),
+    ("creative commons attribution sharealike", "cc-by-sa", 4, {"creative": 2, "attribution": 3, "sharealike": 3}),
+    ("mozilla public license", "mpl", 2, {"mozilla": 2, "public": 1}),
+    ("all rights reserved", "proprietary", 2, {"all": 0, "rights": 0, "reserved": 2}),
 )
 
 
@@ -53,68 +57,87 @@ def seeds(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def within(key: str, edits: int, flags: int = 0) -> regex.Pattern:
+    """Texts that are ``key`` but for so many edits."""
+    plain = regex.escape(key, special_only=True)
+    return regex.compile(f"(?:{plain}){{e<={edits}}}" if edits else plain, flags)
+
+
 class Scanner:
-    """Seed pattern and verifiers for phrases and notices."""
+    """Seed automaton and verifiers for phrases and notices."""
 
     def __init__(self, phrases=PHRASES, notices=NOTICES):
-        self.entries = [(p, label, 0) for p, label in phrases.items()] + list(notices)
-        self.at: dict[str, list[tuple[int, int]]] = {}
-        for k, (text, _, edits) in enumerate(self.entries):
+        self.entries = [(p, label, 0, {}) for p, label in phrases.items()] + list(notices)
+        at: dict[str, list[tuple[int, int]]] = {}
+        for k, (text, _, edits, _) in enumerate(self.entries):
             for place, piece in seeds(text, edits):
-                self.at.setdefault(piece, []).append((k, place))
-        self.pieces = sorted(self.at)
-        self.verify = [
-            regex.compile(f"(?:{regex.escape(text, special_only=True)}){{e<={edits}}}", regex.BESTMATCH) if edits else None for text, _, edits in self.entries
-        ]
+                at.setdefault(piece, []).append((k, place + len(piece) - 1))
+        self.seeds = ahocorasick.Automaton()
+        for piece, where in at.items():
+            self.seeds.add_word(piece, where)
+        self.seeds.make_automaton()
+        self.verify = [within(text, edits, regex.BESTMATCH) if edits else None for text, _, edits, _ in self.entries]
+        self.keys = [[within(key, edits) for key, edits in keys.items()] for _, _, _, keys in self.entries]
+        #: words that a match can span
+        self.longest = max(text.count(" ") + 1 + edits for text, _, edits, _ in self.entries)
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, str, int, int]]]:
         """Number of words, and matches: first word, end word (exclusive), label, edits, entry number."""
         words = WORDS.findall(lower_ascii(text)) if text else []
         line = f" {' '.join(words)} "
-        windows: dict[int, list[list[int]]] = {}
-        for piece in self.pieces:
-            at = line.find(piece)
-            while at >= 0:
-                for k, place in self.at[piece]:
-                    notice, _, edits = self.entries[k]
-                    begin = at - place
-                    windows.setdefault(k, []).append([begin - edits, begin + len(notice) + edits])
-                at = line.find(piece, at + 1)
-        found = []
-        for k, spans in windows.items():
-            notice, label, edits = self.entries[k]
+        starts: list[int] = []
+        found, windows = [], {}
+        for last, hits in self.seeds.iter(line):
+            for k, place in hits:
+                windows.setdefault(k, []).append(last - place)
+        if windows:
+            at = 1
+            for w in words:
+                starts.append(at)
+                at += len(w) + 1
+        for k, begins in windows.items():
+            notice, label, edits, _ = self.entries[k]
             if not edits:
-                for begin, end in spans:
-                    if line[begin - 1] == " " and line[end] == " ":
-                        first = line.count(" ", 0, begin) - 1
+                for begin in begins:
+                    if line[begin - 1] == " " and line[begin + len(notice)] == " ":
+                        first = bisect_left(starts, begin)
                         found.append((first, first + notice.count(" ") + 1, label, 0, k))
                 continue
-            spans.sort()
-            joined = [spans[0]]
-            for s in spans[1:]:
-                if s[0] <= joined[-1][1]:
-                    joined[-1][1] = max(joined[-1][1], s[1])
+            begins.sort()
+            joined = [[begins[0] - edits, begins[0] + len(notice) + edits]]
+            for begin in begins[1:]:
+                if begin - edits <= joined[-1][1]:
+                    joined[-1][1] = begin + len(notice) + edits
                 else:
-                    joined.append(s)
+                    joined.append([begin - edits, begin + len(notice) + edits])
             for begin, end in joined:
                 for m in self.verify[k].finditer(line, max(0, begin), min(len(line), end)):
                     a, b = m.span()
                     a += len(m.group()) - len(m.group().lstrip())
-                    first = max(0, line.count(" ", 0, a + 1) - 1)
-                    last = max(first + 1, line.count(" ", 0, max(a, b - 1)))
-                    found.append((first, min(last, len(words)), label, sum(m.fuzzy_counts), k))
-        # of overlapping notices with different labels the one with the fewest edits stays
+                    first = max(0, bisect_right(starts, a) - 1)
+                    last = min(max(first + 1, bisect_left(starts, b)), len(words))
+                    if all(any(key.fullmatch(w) for w in words[first:last]) for key in self.keys[k]):
+                        found.append((first, last, label, sum(m.fuzzy_counts), k))
+        return len(words), self.fittest(sorted(set(found)))
+
+    def fittest(self, found: list[tuple]) -> list[tuple]:
+        """Of overlapping notices with different labels those with the fewest edits stay. Each looks at its neighbours alone."""
         fuzzy = [m for m in found if self.entries[m[4]][2]]
-        found = [
-            m
-            for m in found
-            if not self.entries[m[4]][2] or not any(x[3] < m[3] and x[2] != m[2] and x[0] < m[1] and m[0] < x[1] for x in fuzzy)
-        ]
-        return len(words), sorted(set(found))
+        firsts = [m[0] for m in fuzzy]
+
+        def beaten(m: tuple) -> bool:
+            near = fuzzy[bisect_left(firsts, m[0] - self.longest) : bisect_left(firsts, m[1])]
+            return any(x[3] < m[3] and x[2] != m[2] and m[0] < x[1] for x in near)
+
+        return [m for m in found if not self.entries[m[4]][2] or not beaten(m)]
 
 
 def find_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_n_words`` and ``_matches``: first word, end word, label, edits, exact phrase or not, share unedited. No shuffle."""
+    """``docs`` with ``_n_words`` and ``_matches``: first word, end word, label, edits, exact phrase or not, share unedited. No shuffle.
+
+    Older columns of these names are replaced.
+    """
+    docs = docs.drop("_n_words", "_matches")
     names = docs.columns
     at = names.index(text)
     match = pa.struct(
