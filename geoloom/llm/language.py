@@ -11,9 +11,12 @@ states x used bytes. Whole texts are parsed, in blocks of ``BLOCK`` bytes that s
 anew; numpy carries all blocks of a batch side by side.
 
 What is learned is bounded: ``SAMPLE_ROWS`` rows of a language at most, in the order
-of a hash of their ids, and ``SAMPLE_BYTES`` bytes of them. Rows without a label, or
-held out, teach nothing. Texts that are null or have no letter get ``und`` and score
-0. Ties go to the first language by name. Without any labelled row all is ``und``.
+of a hash of their ids, and ``SAMPLE_BYTES`` bytes of them. Every language is learned;
+a worker holds the automata of ``AT_ONCE`` languages, and with more of them it takes
+its texts in blocks of ``HELD_BYTES`` through one group of languages after the other.
+Rows without a label, or held out, teach nothing. Texts that are null or have no letter
+(of Unicode's category L) get ``und`` and score 0. Ties go to the first language by
+name. Without any labelled row all is ``und``.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,11 +35,12 @@ from .common import held_out, map_batches
 SAMPLE_ROWS = 200
 SAMPLE_BYTES = 60_000
 BLOCK = 512
-#: Languages that are learned at most: those with the most rows, then by name.
-LANGUAGES = 200
+#: Languages whose automata a worker holds together, and bytes of rows that wait for each group of them.
+AT_ONCE = 16
+HELD_BYTES = 32 << 20
 UNKNOWN = "und"
 BLANK = re.compile(r"[\W\d_]+")
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def normal(text: str) -> bytes:
@@ -112,18 +117,14 @@ def _columns(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[str, bytes]]:
     """Training text of each language: a bounded sample in hash order (SAMPLE_ROWS rows, SAMPLE_BYTES bytes)."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
-    if not counts:
-        return []
+    # three times the rows wanted, so that a sample short of them is not to be expected
+    limits = labelled.groupBy(lang).agg((1 + F.lit(3 * SAMPLE_ROWS * (1 << 32)) / F.count("*")).cast("long").alias("_limit"))
     place = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 32))
-    limit = F.lit(0)
-    for name, n in sorted(counts.items()):
-        # three times the rows wanted, so that a sample short of them is not to be expected
-        limit = F.when(F.col(lang) == name, F.lit(min(1 << 32, 1 + 3 * SAMPLE_ROWS * (1 << 32) // n))).otherwise(limit)
-    order = Window.partitionBy(lang).orderBy("_place", "doc_id", "text")
+    order = Window.partitionBy("lang").orderBy("_place", "doc_id", "text")
     rows = (
-        labelled.select(F.col(lang).alias("lang"), F.substring(text, 1, SAMPLE_BYTES).alias("text"), "doc_id", place.alias("_place"))
-        .where(F.col("_place") < limit)
+        labelled.join(F.broadcast(limits), lang)  # a row for each language
+        .where(place < F.col("_limit"))
+        .select(F.col(lang).alias("lang"), F.substring(text, 1, SAMPLE_BYTES).alias("text"), "doc_id", place.alias("_place"))
         .withColumn("_n", F.row_number().over(order))
         .where(F.col("_n") <= SAMPLE_ROWS)
         .withColumn("_before", F.sum(F.octet_length("text")).over(order) - F.octet_length("text"))
@@ -138,33 +139,55 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple
     return [(name, b" ".join(parts)[:SAMPLE_BYTES]) for name, parts in sorted(out.items()) if any(parts)]
 
 
+def bits_of(texts: list[bytes], parsers: list[Parser]) -> np.ndarray:
+    """Bits of every text under every parser: phrases times the bits that point to one."""
+    columns, alive, owner = _columns(texts)
+    return np.array([np.bincount(owner, p.phrases(columns, alive), len(texts)) * p.bits for p in parsers]).reshape(len(parsers), len(texts))
+
+
 def predict(docs: DataFrame, model: list[tuple[str, bytes]], text: str = "text") -> DataFrame:
-    """``docs`` with ``_lang`` and ``_score``: one minus the winner's share of bits against the second's. No shuffle."""
+    """``docs`` with ``_lang`` and ``_score``: one minus the winner's share of bits against the second's. No shuffle.
+
+    Older columns of these names are replaced.
+    """
+    docs = docs.drop("_lang", "_score")
     names = docs.columns
     at = names.index(text)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # LANGUAGES x SAMPLE_BYTES bytes at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # SAMPLE_BYTES for each language at most
+
+    def judged(batch: pa.RecordBatch, groups) -> pa.RecordBatch:
+        texts = batch.column(at).to_pylist()
+        langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        wanted = [k for k, t in enumerate(texts) if t and LETTER.search(t)]
+        if sent.value and wanted:
+            data = [normal(texts[k]) for k in wanted]
+            bits = np.concatenate([bits_of(data, group) for group in groups()])
+            best = bits.argmin(axis=0)
+            least = bits[best, np.arange(len(wanted))]
+            bits[best, np.arange(len(wanted))] = np.inf
+            second = bits.min(axis=0)
+            langs[wanted] = [sent.value[b][0] for b in best]
+            scores[wanted] = np.where(np.isfinite(second), 1 - least / np.maximum(least + second, 1e-9), 1.0)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs.tolist(), pa.string()), pa.array(scores)], names=[*names, "_lang", "_score"])
 
     def work(batches):
-        parsers = [(name, Parser(data)) for name, data in sent.value]
+        parts = [sent.value[k : k + AT_ONCE] for k in range(0, len(sent.value), AT_ONCE)]
+        if len(parts) <= 1:
+            one = [Parser(data) for part in parts for _, data in part]
+            for batch in batches:
+                yield judged(batch, lambda: [one])
+            return
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            has = [bool(t) and bool(LETTER.search(t)) for t in texts]
-            langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            wanted = [k for k, ok in enumerate(has) if ok]
-            if parsers and wanted:
-                columns, alive, owner = _columns([normal(texts[k]) for k in wanted])
-                bits = np.array(
-                    [np.bincount(owner, p.phrases(columns, alive), len(wanted)) * p.bits for _, p in parsers]
-                )
-                best = bits.argmin(axis=0)
-                least = bits[best, np.arange(len(wanted))]
-                bits[best, np.arange(len(wanted))] = np.inf
-                second = bits.min(axis=0)
-                langs[wanted] = [parsers[b][0] for b in best]
-                scores[wanted] = np.where(np.isfinite(second), 1 - least / np.maximum(least + second, 1e-9), 1.0)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(langs.tolist(), pa.string()), pa.array(scores)], names=[*names, "_lang", "_score"]
-            )
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= HELD_BYTES:
+                yield from all_judged(held, parts)
+                held = []
+        yield from all_judged(held, parts)
+
+    def all_judged(held, parts):
+        for batch in pa.Table.from_batches(held).combine_chunks().to_batches() if held else ():
+            yield judged(batch, lambda: ([Parser(data) for _, data in part] for part in parts))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return map_batches(docs, work, f"{schema}, _lang string, _score double")
@@ -179,9 +202,15 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told, unchanged: texts without a letter go."""
+    """The documents whose text has a letter; a missing ``lang`` becomes the predicted one, all else is unchanged.
+
+    Null texts and texts without a letter go. Where nothing can be learned, no language
+    is predicted and all other documents stay.
+    """
     rows = docs.select(F.struct("*").alias("row"), "text")
-    return predict(rows, learn(docs)).where(F.col("_lang") != UNKNOWN).select("row.*")
+    found = predict(rows, learn(docs)).where(F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    lang = F.coalesce(F.col("row.lang"), F.nullif(F.col("_lang"), F.lit(UNKNOWN)))
+    return found.select(*[lang.alias(c) if c == "lang" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def brute_force_phrases(data: bytes, text: bytes) -> int:
