@@ -11,7 +11,8 @@ the tasks is bounded. A larger item table is cut into blocks; each block's autom
 passes over all documents, and the hits of a document are united by its row.
 
 Null texts have no words and no hits. Items without words are never found. Repeated
-item ids count once. Repeated rows give equal results.
+item ids count once. An item without an id hits words like any other, but has no name
+to count or list. Repeated rows give equal results.
 """
 
 from __future__ import annotations
@@ -35,10 +36,15 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall(lower_ascii(text)) if text else []
 
 
+def named(item: str | None) -> tuple[str, ...]:
+    """The item's name, if it has one."""
+    return () if item is None else (item,)
+
+
 class Automaton:
     """Suffix automaton of several word sequences, each added from the start state anew."""
 
-    def __init__(self, items: list[tuple[str, list[str]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[str]]], window: int = WINDOW):
         self.window = window
         self.next: list[dict] = [{}]
         self.link, self.length = [-1], [0]
@@ -56,13 +62,13 @@ class Automaton:
             for w in words:
                 state, held = self.step(state, held, w)
                 if held >= window:
-                    self.windows.setdefault(self.at_length(state, window), set()).add(name)
+                    self.windows.setdefault(self.at_length(state, window), set()).update(named(name))
             if len(words) < window:
-                self.whole.setdefault(state, set()).add(name)
+                self.whole.setdefault(state, set()).update(named(name))
         self.short_lengths = {s: {} for s in self.whole}
         for name, words in items:
             if 0 < len(words) < window:
-                self.short_lengths[self._walk(words)].setdefault(len(words), set()).add(name)
+                self.short_lengths[self._walk(words)].setdefault(len(words), set()).update(named(name))
         # every window's longest word: a document without any of them holds no window
         self.keys = {
             max(words[i : i + window], key=lambda w: (len(w), w)) for _, words in items for i in range(max(1, len(words) - window + 1)) if words
@@ -173,7 +179,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str):
     block, held = [], 0
     for r in benchmark.select(F.col(item).cast("string"), F.col(text)).distinct().toLocalIterator():
         words = words_of(r[1])
-        if r[0] is None or not words:
+        if not words:
             continue
         if block and held + len(words) > BLOCK_WORDS:
             yield block
@@ -184,7 +190,11 @@ def _blocks(benchmark: DataFrame, item: str, text: str):
 
 
 def find_overlap(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``_n_words``, ``_hits`` (word spans) and ``_items`` (ids whose windows occur). No shuffle for one block."""
+    """``docs`` with ``_n_words``, ``_hits`` (word spans) and ``_items`` (ids whose windows occur). No shuffle for one block.
+
+    Older columns of these names are replaced.
+    """
+    docs = docs.drop("_n_words", "_hits", "_items")
     names = docs.columns
     at = names.index(text)
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -303,7 +313,7 @@ def brute_force(docs: list[tuple], items: list[tuple]) -> list[tuple]:
         words = words_of(text)
         n = min(WINDOW, len(words))
         for i in range(len(words) - n + 1 if n else 0):
-            windows.setdefault(tuple(words[i : i + n]), set()).add(str(name))
+            windows.setdefault(tuple(words[i : i + n]), set()).update(named(name if name is None else str(name)))
     sizes = {len(w) for w in windows}
     out = []
     for doc_id, text in docs:
