@@ -138,21 +138,19 @@ def _entropy_spans(text: Column, allowed: tuple[str, ...]) -> Column:
 
 
 def find_secrets(docs: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
-    """``docs`` with ``_base`` and ``_secrets``: arrays of (start, end, kind number), sorted by start, then kind."""
+    """``docs`` with ``_base`` and ``_secrets``: arrays of (start, end, kind number), sorted by start, then kind.
+
+    Older columns of these names are replaced.
+    """
     whole = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(_located(whole, ASSIGN, 0, keep=2), _located(whole, ACCESS, 1), _located(whole, HEX, 2))
     by_place = F.transform(
         F.array_sort(
-            F.transform(F.concat("_base", "_more"), lambda s: F.struct(s["start"], s["kind"], s["end"]))
+            F.transform(F.concat(F.col("_base"), _entropy_spans(whole, allowed)), lambda s: F.struct(s["start"], s["kind"], s["end"]))
         ),
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),
     )
-    return (
-        docs.withColumn("_base", base)
-        .withColumn("_more", _entropy_spans(whole, allowed))
-        .withColumn("_secrets", by_place)
-        .drop("_more")
-    )
+    return docs.withColumn("_base", base).withColumn("_secrets", by_place)
 
 
 def spans_text(spans: Column) -> Column:
