@@ -94,6 +94,68 @@ def test_licenses(docs, none):
     assert licenses.license_report(none).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Released under the MIT licence", {"mit"}),
+        ("Released under the BSD license.", set()),
+        ("released under the isc license", set()),
+        ("released under the GPL license", set()),
+        ("licensed under the GNU General Public License version 1", {"gpl"}),
+        ("licensed under the GNU Generel Public License version 3", {"gpl-3.0"}),
+        ("all nights reserved", set()),
+        ("All rights reservd", {"proprietary"}),
+        ("creative comons attribution-sharealike", {"cc-by", "cc-by-sa"}),
+        ("liscensed under teh apache licence, version 2.0", {"apache-2.0"}),
+        ("licensed under the apache license, version 1.0", {"apache"}),
+    ],
+)
+def test_notices_with_edits(text, labels):
+    assert {m[2] for m in licenses.Scanner().scan(text)[1]} == labels
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        diagonal, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
+    return row[-1]
+
+
+def test_notices_equal_every_place():
+    """Every notice with random edits: found if some stretch of words is within the limits, and the spans that are told are."""
+    scanner = licenses.Scanner()
+    random.seed(9)
+    for text, label, edits, keys in licenses.NOTICES:
+        for n in range(edits + 3):
+            chars = list(text)
+            for _ in range(n):
+                chars[random.randrange(len(chars))] = random.choice("xyz")
+            words = f"so it says {''.join(chars)} and more".split()
+            told = [m for m in scanner.scan(" ".join(words))[1] if m[2] == label and m[4] >= len(licenses.PHRASES)]
+            near = [
+                (i, j)
+                for i in range(len(words))
+                for j in range(i + 1, len(words) + 1)
+                if edit_distance(" ".join(words[i:j]), text) <= edits and all(any(edit_distance(w, k) <= e for w in words[i:j]) for k, e in keys.items())
+            ]
+            if near:
+                assert told or any(m[3] <= edits for m in scanner.scan(" ".join(words))[1])
+            assert all(m[3] <= edits for m in told) and (not told or any(i < m[1] and m[0] < j for m in told for i, j in near))
+
+
+def test_many_notices_stay_linear():
+    import time
+
+    took = []
+    for n in (1000, 4000):
+        began = time.process_time()
+        assert len({m[0] for m in licenses.Scanner().scan("released under the mit license and " * n)[1]}) >= n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0]
+
+
 def test_bpe_equals_the_library(docs, none):
     from tokenizers import Tokenizer
 
@@ -151,11 +213,39 @@ def test_language_parses(docs, none):
     report = {r.doc_id: r for r in language.language_report(docs).collect()}
     assert report[40].lang_pred == report[42].lang_pred == report[43].lang_pred == "und" and report[1].lang_pred in ("en", "fr")
     assert report[2].held_out == (zlib.crc32(b"2") % 4 == 2) and all(0 <= r.score <= 1 for r in report.values())
+    odd = docs.sparkSession.createDataFrame([(1, "½ ² ①"), (2, "½ a"), (3, None), (4, "1")], "doc_id int, text string")
+    assert {r.doc_id for r in language.predict(odd, [("x", b"abc")]).where("_lang = 'und'").collect()} == {1, 3, 4}
+    untold = language.keep_identified(docs.withColumn("lang", docs.text.substr(0, 0).cast("string")).drop("lang").selectExpr("*", "CAST(NULL AS STRING) AS lang"))
+    assert untold.count() == docs.where("text rlike '[a-zA-ZÀ-ÿ]'").count() and untold.where("lang is not null").count() == 0
     kept = language.keep_identified(docs)
+    assert kept.where("lang is null").count() == 0 and {r.lang for r in kept.where("doc_id = 1").collect()} <= {"en", "fr"}
     assert kept.columns == docs.columns and kept.where("doc_id in (40, 41, 42, 43)").count() == 0 and kept.where("doc_id = 44").count() == 1
     assert language.language_report(none).count() == 0
 
 
+def test_more_languages_than_a_worker_holds(spark, monkeypatch):
+    random.seed(12)
+    alphabets = {f"l{k}": [chr(97 + (7 * k + j) % 26) for j in range(5)] for k in range(9)}
+    data = [(i, " ".join("".join(random.choice(a) for _ in range(5)) for _ in range(30)), name) for i, (name, a) in enumerate(list(alphabets.items()) * 8)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    one = sorted(map(tuple, language.language_report(df).collect()))
+    assert {r[2] for r in one} == set(alphabets) and sum(r[2] == data[r[0]][2] for r in one) > 60
+    monkeypatch.setattr(language, "AT_ONCE", 2)
+    monkeypatch.setattr(language, "HELD_BYTES", 1000)
+    assert sorted(map(tuple, language.language_report(df).collect())) == one
+
+
+def test_language_decides_as_plain_search_does(spark):
+    model = [("a", b"the red house and the green house"), ("b", b"das rote haus und das haus"), ("c", b"the red")]
+    texts = ["the red house", "Das Haus!", "house haus", "thethe", "zz"]
+    got = {r.text: (r._lang, r._score) for r in language.predict(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()}
+    for t in texts:
+        bits = {n: language.brute_force_phrases(d, language.normal(t)) * float(np.log2(len(d))) for n, d in model}
+        best = min(bits, key=lambda n: (bits[n], n))
+        second = min(v for n, v in bits.items() if n != best)
+        assert got[t][0] == best and abs(got[t][1] - (1 - bits[best] / (bits[best] + second))) < 1e-9
+
+
 def test_decontamination(spark, docs, none):
     random.seed(4)
     bad = 0
@@ -168,7 +258,7 @@ def test_decontamination(spark, docs, none):
             spans, found = automaton.scan(decontaminate.words_of(t))
             bad += (sum(b - a for a, b in spans), len(found)) != want[2:4]
     assert not bad
-    items = [(1, dict(rows())[2]), (2, None), (3, ""), (4, "red house"), (4, "red house")]
+    items = [(1, dict(rows())[2]), (2, None), (3, ""), (4, "red house"), (4, "red house"), (None, dict(rows())[6]), (None, "token")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     known = [(i, t) for i, t in rows() if i is not None]
     want = sorted(decontaminate.brute_force(known, [x for x in items if x[1]]))
