@@ -302,9 +302,15 @@ def test_chat_places_chunks_without_their_texts(spark, monkeypatch):
     c = duckdb.connect()
     table = pd.DataFrame(turns, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
     c.register("conversations", table)
-    want = sorted(c.execute(f"SELECT conv_id, speaker, chunk, n_turns, start, rendered, masks FROM ({chat.SQL})").fetchall())
-    got = sorted(map(tuple, chat.rotation_report(df).select("conv_id", "speaker", "chunk", "n_turns", "start", "rendered", "masks").collect()))
-    assert got == want and not any(r[0] is None for r in got)
+    names = ["conv_id", "speaker", "chunk", "part", "n_turns", "start", "rendered", "masks"]
+    for most in (1024, 64, 3):  # no chunk, the chunks with ties, and every chunk in several parts
+        monkeypatch.setattr(chat, "PART_TURNS", most)
+        sql = chat.SQL.replace("// 1024", f"// {most}")
+        want = sorted(c.execute(f"SELECT {', '.join(names)} FROM ({sql})").fetchall())
+        got = sorted(map(tuple, chat.rotation_report(df).select(*names).collect()))
+        assert got == want and not any(r[0] is None for r in got) and max(r[4] for r in got) <= most
+        assert (max(r[3] for r in got) > 0) == (most < 1024)
+    monkeypatch.setattr(chat, "PART_TURNS", 1024)
     assert max(r[2] for r in got) == chat.LAST
     # below the windows, which stand last in the plan, no column holds turns or renderings
     plan = chat.rotate(df)._jdf.queryExecution().optimizedPlan().toString()
@@ -312,6 +318,16 @@ def test_chat_places_chunks_without_their_texts(spark, monkeypatch):
     assert "collect_list" not in below and "concat_ws" not in below
 
 
+def test_chat_odd_tables(spark):
+    schema = "conv_id long, turn int, role string, text string, rendered string, part string, chunk string"
+    assert chat.rotation_report(spark.createDataFrame([], schema)).count() == 0
+    long = "word " * 200_000
+    turns = [(1, 0, "a", long, "x", "y", "z"), (1, 1, "b|>", "says <|end|> itself", "x", "y", "z"), (1, 1, "b|>", "says <|end|> itself", None, None, None)]
+    got = {r.speaker: r for r in chat.rotate(spark.createDataFrame(turns, schema)).collect()}
+    assert [got["a"].rendered[m.start : m.end] for m in got["a"].masks] == [long]
+    assert [got["b|>"].rendered[m.start : m.end] for m in got["b|>"].masks] == ["says <|end|> itself"] * 2
+
+
 def test_jaccard_equals_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP", 8)
     random.seed(5)
