@@ -60,7 +60,8 @@ def spread_join(rows: DataFrame, by_key: DataFrame, keys: list[str], total: int)
     values = [c for c in by_key.columns if c not in (*keys, "_n")]
     of = F.struct(*values)
     hot = by_key.where(F.col("_n") >= max(HOT_LEAST, total // HOT_SHARE)).select(*keys, of.alias("_hot"))
-    cold = by_key.select(*keys, F.lit(0).cast("long").alias("_deal"), of.alias("_cold"))
+    # 0, but no literal: the optimizer would fold it away and deal the rows by the key alone
+    cold = by_key.select(*keys, F.least("_n", F.lit(0).cast("long")).alias("_deal"), of.alias("_cold"))
     deal = F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 40)))
     marked = rows.join(F.broadcast(hot), keys, "left").withColumn("_deal", deal)
     met = marked.join(cold, [*keys, "_deal"], "left").withColumn("_met", F.coalesce("_hot", "_cold")).where("_met is not null")

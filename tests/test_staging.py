@@ -53,3 +53,15 @@ def test_stages_are_read_and_dropped(spark):
     assert sorted(r.id for r in table.collect()) == [0, 1, 2, 3, 4] and os.path.isdir(path)
     staging.drop_stages(spark, path)
     assert not os.path.exists(path)
+
+
+def test_rows_are_dealt_by_key_and_share(spark):
+    left = spark.range(1000).selectExpr("id % 7 AS k", "id AS v")
+    right = left.groupBy("k").count().withColumnRenamed("count", "_n").selectExpr("k", "k * 2 AS w", "_n")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = staging.spread_join(left, right, ["k"], 1000)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffles = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert sum("_deal" in line for line in shuffles) == 2
