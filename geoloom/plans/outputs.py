@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import lookups as L
 from ..operators import composites as M
 from ..operators import spatial
 from . import networks, rules
@@ -192,11 +191,6 @@ def a9_run_summary(spark, sf_dir):
     return M.run_summary(networks.QUERIES["e2_feature_counts"](spark, sf_dir), derived(spark, sf_dir, "dem"))
 
 
-@query(with_tables("boxes") + f"SELECT id, {L.sql_case('country', L.CRS, 'UTM')} AS crs FROM boxes")
-def c10_choose_crs(spark, sf_dir):
-    return derived(spark, sf_dir, "boxes").select("id", L.looked_up(col("country"), L.CRS, "UTM").alias("crs"))
-
-
 @query(with_tables("points") + "SELECT id, round(lon, 7) AS lon, round(lat, 7) AS lat FROM points")
 def c12_round_trip(spark, sf_dir):
     from ..functions.geometry import project_tm, unproject_tm
