@@ -65,6 +65,7 @@ def a_law_codes() -> np.ndarray:
 
 
 _A_LAW_CODES = a_law_codes()
+_EXPANDED = {MU_LAW: mu_law_table(), A_LAW: a_law_table()}
 
 
 def wav(payload: bytes, kind: int = MU_LAW, rate: int = RATE, bits: int = 8) -> bytes:
@@ -126,6 +127,19 @@ def payload_of(pcm: bytes, rate: int = PCM_RATE) -> bytes:
     return _A_LAW_CODES[samples.view(np.uint16)].tobytes()
 
 
+def payload(text: str | None) -> bytes:
+    """A text's bytes, zero-padded to a positive multiple of 64."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return raw + b"\0" * (max(BLOCK, -(-len(raw) // BLOCK) * BLOCK) - len(raw))
+
+
+def pcm_container(raw: bytes, law: int, rate: int) -> bytes:
+    """A container of 16-bit samples: telephony bytes expanded (or ADPCM-decoded) and resampled."""
+    samples = np.frombuffer(raw, np.uint8)
+    pcm = decode_adpcm(samples[: len(samples) // BLOCK * BLOCK].reshape(-1, BLOCK)).ravel() if law == ADPCM else _EXPANDED[law][samples]
+    return wav(resample(pcm, RATE, rate).astype("<i2").tobytes(), PCM, rate, 16)
+
+
 def with_media(docs: DataFrame, text: str = "text", law: int = MU_LAW) -> DataFrame:
     """doc_id, n_bytes and ``media``: the text's bytes, zero-padded to a multiple of 64, as 8-bit samples in a container."""
 
@@ -133,9 +147,8 @@ def with_media(docs: DataFrame, text: str = "text", law: int = MU_LAW) -> DataFr
         for batch in batches:
             sizes, media = [], []
             for t in batch.column(1).to_pylist():
-                raw = (t or "").encode("utf-8", "surrogatepass")
-                sizes.append(len(raw))
-                media.append(wav(raw + b"\0" * (max(BLOCK, -(-len(raw) // BLOCK) * BLOCK) - len(raw)), law))
+                sizes.append(len((t or "").encode("utf-8", "surrogatepass")))
+                media.append(wav(payload(t), law))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"]
             )
@@ -149,13 +162,8 @@ def with_pcm(media: DataFrame, law: int = MU_LAW, rate: int = PCM_RATE) -> DataF
     at = names.index("media")
 
     def work(batches):
-        table = mu_law_table() if law == MU_LAW else a_law_table()
         for batch in batches:
-            out = []
-            for m in batch.column(at).to_pylist():
-                raw = np.frombuffer(samples_of(m or b""), np.uint8)
-                pcm = decode_adpcm(raw[: len(raw) // BLOCK * BLOCK].reshape(-1, BLOCK)).ravel() if law == ADPCM else table[raw]
-                out.append(wav(resample(pcm, RATE, rate).astype("<i2").tobytes(), PCM, rate, 16))
+            out = [pcm_container(samples_of(m or b""), law, rate) for m in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, "pcm"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields)
@@ -184,8 +192,15 @@ def features(payloads: list[bytes], stored: list[bytes]) -> list[str]:
 
 def media_report(docs: DataFrame) -> DataFrame:
     """Store every text's bytes as resampled PCM, read the stored containers back and report digests and features."""
-    pcm = with_pcm(with_media(docs, law=A_LAW), A_LAW).select("doc_id", "n_bytes", "pcm")
-    stored = staged(pcm, "media")
+
+    def store(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            sizes = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            media = [pcm_container(payload(t), A_LAW, PCM_RATE) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "pcm"])
+
+    stored = staged(map_batches(docs.select("doc_id", "text"), store, "doc_id long, n_bytes long, pcm binary", rows=200), "media")
 
     def work(batches):
         for batch in batches:

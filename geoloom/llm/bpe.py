@@ -15,6 +15,8 @@ that are not UTF-8, which only foreign id sequences can hold.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import heapq
 import json
 import re
@@ -23,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import file_text, map_batches
 
@@ -202,6 +203,12 @@ class Vocabulary:
         return self.joined[place].tobytes().decode("utf-8", "replace")
 
 
+@functools.cache
+def vocabulary_of(content: str) -> Vocabulary:
+    """One vocabulary for each worker process: what it knows serves that worker's later tasks too."""
+    return Vocabulary(content)
+
+
 def encode_texts(docs: DataFrame, vocabulary_path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with ``out``: the ids (array<int>) of each whole text. Rows stay where they are: no shuffle."""
     content = file_text(vocabulary_path)
@@ -209,7 +216,7 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, text: str = "text", out:
     at = docs.columns.index(text)
 
     def work(batches):
-        vocabulary = Vocabulary(content)
+        vocabulary = vocabulary_of(content)
         for batch in batches:
             ids = vocabulary.encode(batch.column(at).to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
@@ -228,7 +235,7 @@ def decode_ids(docs: DataFrame, vocabulary_path: str, ids: str = "ids", out: str
     at = docs.columns.index(ids)
 
     def work(batches):
-        vocabulary = Vocabulary(content)
+        vocabulary = vocabulary_of(content)
         for batch in batches:
             column = batch.column(at)
             flat = column.values.to_numpy(zero_copy_only=False)
@@ -241,13 +248,44 @@ def decode_ids(docs: DataFrame, vocabulary_path: str, ids: str = "ids", out: str
     return map_batches(docs, work, schema)
 
 
+def round_trip(docs: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` of each whole text, ``n_tokens``, ``ids_sha256`` (of the decimal ids, comma-joined) and ``decoded_sha256``.
+
+    Both ways in one pass: ids are decoded where they are made. Older columns of these
+    names are replaced.
+    """
+    return _passed(docs, vocabulary_path, text, True)
+
+
+def _passed(docs: DataFrame, vocabulary_path: str, text: str, with_ids: bool) -> DataFrame:
+    content = file_text(vocabulary_path)
+    docs = docs.drop("n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    names = docs.columns
+    at = names.index(text)
+    new = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *([("ids", "array<int>")] if with_ids else [])]
+
+    def work(batches):
+        vocabulary = vocabulary_of(content)
+        digits = [str(i) for i in range(vocabulary.size)]
+        for batch in batches:
+            packed = vocabulary.encode(batch.column(at).to_pylist())
+            hashes, decoded = [], []
+            for x in packed:
+                ids = np.frombuffer(x, np.int32)
+                hashes.append(hashlib.sha256(",".join([digits[i] for i in ids.tolist()]).encode()).hexdigest())
+                decoded.append(hashlib.sha256(vocabulary.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
+            sizes = [len(x) // 4 for x in packed]
+            columns = [pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+            if with_ids:
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, *[n for n, _ in new]])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"{n} {k}" for n, k in new)])
+    return map_batches(docs, work, schema)
+
+
 def token_report(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """Per document: number of ids, a digest of the ids, a digest of the decoded text."""
-    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = encode_texts(whole, vocabulary_path).drop("text")
-    return decode_ids(ids, vocabulary_path).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    found = _passed(docs.select("doc_id", "text"), vocabulary_path, "text", False)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

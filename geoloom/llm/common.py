@@ -38,13 +38,16 @@ def map_batches(
 ) -> DataFrame:
     """``mapInArrow`` in slices of ``rows`` rows, so a worker holds few whole texts beside what Spark sends it.
 
-    Spark bounds what it sends by bytes; the session's settings are left as they are.
+    Spark bounds what it sends by bytes; the session's settings are left as they are. A
+    slice is a copy, so what was sent is free before more is read.
     """
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, rows):
-                yield batch.slice(k, rows)
+            n = batch.num_rows
+            for k in range(0, n, rows):
+                yield batch.take(pa.array(range(k, min(k + rows, n)), pa.int64()))
+            del batch
 
     return df.mapInArrow(lambda batches: work(sliced(batches)), schema)
 
