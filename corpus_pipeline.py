@@ -56,12 +56,9 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text counts as empty. Columns of ``docs`` that bear a result's name are replaced.
     """
-    path = vocabulary("byte_bpe_50k.json")
-    own = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "decoded_sha256", "decoded")]
-    ids = bpe.encode_texts(docs.select(*own, F.coalesce("text", F.lit("")).alias("text")), path).drop("text")
-    return bpe.decode_ids(ids, path).select(
-        *own, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    own = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "ids_sha256", "decoded_sha256")]
+    whole = docs.select(*own, F.coalesce("text", F.lit("")).alias("text"))
+    return bpe.round_trip(whole, vocabulary("byte_bpe_50k.json")).select(*own, "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [
