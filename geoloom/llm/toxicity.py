@@ -33,7 +33,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators.staging import drop_stages
 from .common import held_out, lower_ascii, map_batches, stage
@@ -191,14 +190,12 @@ class Grammar:
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text and toxic of SAMPLE rows of each label at most; the ids travel as a broadcast of that bounded size."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
-    limit = F.lit(0)
-    for value, n in sorted(counts.items()):
-        # half as many again as wanted, so that a sample short of them is not to be expected
-        limit = F.when(F.col("toxic") == value, F.lit(min(1 << 32, 1 + SAMPLE * (3 << 31) // n))).otherwise(limit)
-    near = known.withColumn("_place", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))).where(F.col("_place") < limit)
-    order = Window.partitionBy("toxic").orderBy("_place", "doc_id")
-    chosen = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE).select("doc_id", "toxic")
+    counts = {r[0]: r[1] for r in known.groupBy((F.col("toxic") > 0).alias("kind")).count().collect()}
+    placed, chosen = known.withColumn("_place", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))), known.where("false")
+    for kind, n in sorted(counts.items()):
+        # half as many again as wanted lie below the limit, so that a sample short of them is not to be expected
+        near = placed.where(((F.col("toxic") > 0) == kind) & (F.col("_place") < min(1 << 32, 1 + SAMPLE * (3 << 31) // n)))
+        chosen = chosen.unionByName(near.orderBy("_place", "doc_id").limit(SAMPLE).select("doc_id", "toxic"))
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     # copies teach once: whole texts that are equal are one row, toxic where any of them is
     own = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
