@@ -75,6 +75,28 @@ def area_km2(ring: Column) -> Column:
     return ring_area(ring) * (LON_M / 1000) * F.cos(F.radians(ring_centroid(ring)["y"])) * (LAT_M / 1000)
 
 
+def _moments(ring: Column) -> Column:
+    """A closed ring's area and its products with the centroid (a, ax, ay), whatever its direction."""
+    area, center = ring_area(ring), ring_centroid(ring)
+    return F.struct(area.alias("a"), (area * center["x"]).alias("ax"), (area * center["y"]).alias("ay"))
+
+
+def polygon_centroid(rings: Column) -> Column:
+    """Centroid of a polygon whose first ring is the outer one and whose others are holes; the outer ring's where nothing is left."""
+    all_ = F.transform(rings, _moments)
+    outer, holes = F.get(all_, 0), F.slice(all_, 2, F.greatest(F.size(all_) - 1, F.lit(0)))
+    left = lambda c: outer[c] - total(F.transform(holes, lambda m: m[c]))
+    plain = ring_centroid(F.get(rings, 0))
+    return F.struct(*[F.when(left("a") > 0, left("a" + c) / left("a")).otherwise(plain[c]).alias(c) for c in ("x", "y")])
+
+
+def polygon_area_km2(rings: Column) -> Column:
+    """Area of a lon/lat polygon less its holes, with the scale of its centroid's latitude; null rings: 0."""
+    areas = F.transform(rings, ring_area)
+    net = F.get(areas, 0) - total(F.slice(areas, 2, F.greatest(F.size(areas) - 1, F.lit(0))))
+    return F.coalesce(net * (LON_M / 1000) * F.cos(F.radians(polygon_centroid(rings)["y"])) * (LAT_M / 1000), F.lit(0.0))
+
+
 def longest_edge_angle(ring: Column) -> Column:
     """Bearing (degrees, 0 to 360) of the longest edge in raw units; the first wins ties; short rings: 0."""
     ranked = F.transform(
@@ -110,6 +132,17 @@ def bbox_metres(west: Column, south: Column, east: Column, north: Column) -> tup
     return (east - west) * LON_M * F.cos(F.radians((south + north) / 2)), (north - south) * LAT_M
 
 
+def square_bbox(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """The box with its shorter side, in metres, grown about the centre to the longer one."""
+    wide, high = bbox_metres(west, south, east, north)
+    side = F.greatest(wide, high)
+    dx, dy = side / (LON_M * F.cos(F.radians((south + north) / 2))) / 2, side / LAT_M / 2
+    mx, my = (west + east) / 2, (south + north) / 2
+    return F.struct(
+        F.least(west, mx - dx).alias("west"), F.least(south, my - dy).alias("south"), F.greatest(east, mx + dx).alias("east"), F.greatest(north, my + dy).alias("north")
+    )
+
+
 def utm_epsg(lon: Column, lat: Column) -> Column:
     zone = F.floor((lon + 180) / 6).cast("int") + 1
     return F.concat(F.when(lat >= 0, "EPSG:326").otherwise("EPSG:327"), F.lpad(zone.cast("string"), 2, "0"))

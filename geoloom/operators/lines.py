@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geometry import LON_M, dist_equirect, turn_angle
+from ..functions.geometry import LON_M, dist_equirect, point_segment, turn_angle
 from .components import components
-from .staging import written
+from .staging import drop_stages, stage
 
 
 def order():
@@ -64,10 +64,14 @@ def in_bounds(points: DataFrame, west: float, south: float, east: float, north:
     return kept.withColumn("_n", F.count("*").over(Window.partitionBy("line_id"))).where("_n >= 2").drop("_n")
 
 
-def relative_points(points: DataFrame) -> DataFrame:
-    """Vertices relative to their line's first."""
+def relative_points(points: DataFrame, closed: bool = False) -> DataFrame:
+    """Vertices relative to their line's first; ``closed`` repeats the first at the end."""
     first = {c: F.first(c).over(order()) for c in ("x", "y")}
-    return points.select("line_id", "seq", *[(F.col(c) - first[c]).alias(c) for c in ("x", "y")])
+    rows = points.select("line_id", "seq", *[(F.col(c) - first[c]).alias(c) for c in ("x", "y")])
+    if not closed:
+        return rows
+    ends = rows.groupBy("line_id").agg((F.max("seq") + 1).alias("seq"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    return rows.unionByName(ends.withColumn("seq", F.col("seq").cast(rows.schema["seq"].dataType)))
 
 
 def _offset(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
@@ -87,39 +91,126 @@ def _along(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Colum
     return F.when(size == 0, 0.0).otherwise(F.least(F.greatest((ux * dx + uy * dy) / size, F.lit(0.0)), F.lit(1.0)))
 
 
-def simplify(points: DataFrame, tolerance: float, rise: float | None = None) -> DataFrame:
+def _split_rounds(points: DataFrame, names: list[str], far) -> DataFrame:
     """Douglas-Peucker, level by level: every open segment of every line splits at its farthest vertex at once.
 
-    With ``rise``, rows have a z, and a vertex is as far as the larger of its sideways
-    distance over ``tolerance`` and its height off the segment over ``rise``.
-
+    ``far(a, b)`` tells how far a vertex is from the segment between a and b, in tolerances.
     A round is one window over (line, segment); a line of n vertices needs as many rounds
     as its split tree is deep. Rounds are written to the shared folder.
     """
     last = F.count("*").over(Window.partitionBy("line_id"))
-    names = ["line_id", "seq", "x", "y", *(["z"] if rise else [])]
     rows = points.select(*names, F.row_number().over(order()).alias("_i"))
-    rows = written(rows.withColumn("keep", (F.col("_i") == 1) | (F.col("_i") == last)), "simplify")
+    rows, path = stage(rows.withColumn("keep", (F.col("_i") == 1) | (F.col("_i") == last)), "simplify")
     kept = -1
     while True:
         now = rows.where("keep").count()
         if now == kept:
-            return rows.where("keep").select(*names)
+            return rows.where("keep").drop("_i", "keep")
         kept = now
         ahead = order().rowsBetween(Window.unboundedPreceding, 0)
         behind = order().rowsBetween(0, Window.unboundedFollowing)
         ends = {n: F.when(F.col("keep"), F.col(n)) for n in ("_i", *names[2:])}
         a = {n: F.last(e, True).over(ahead) for n, e in ends.items()}
         b = {n: F.first(e, True).over(behind) for n, e in ends.items()}
-        place = (a["x"], a["y"], b["x"], b["y"], F.col("x"), F.col("y"))
-        far = _offset(*place) / tolerance
-        if rise:
-            far = F.greatest(far, F.abs(F.col("z") - a["z"] - (b["z"] - a["z"]) * _along(*place)) / rise)
-        seen = rows.select("*", a["_i"].alias("_seg"), F.round(far, 9).alias("_d"))
+        seen = rows.select("*", a["_i"].alias("_seg"), F.round(far(a, b), 9).alias("_d"))
         segment = Window.partitionBy("line_id", "_seg")
         pick = F.first("_i").over(segment.orderBy(F.col("keep"), F.desc("_d"), "_i"))
         split = ~F.col("keep") & (F.col("_d") > 1) & (F.col("_i") == pick)
-        rows = written(seen.select(*names, "_i", (F.col("keep") | split).alias("keep")), "simplify")
+        rows, new = stage(seen.select(*names, "_i", (F.col("keep") | split).alias("keep")), "simplify")
+        drop_stages(points.sparkSession, path)
+        path = new
+
+
+def simplify(points: DataFrame, tolerance: float, rise: float | None = None) -> DataFrame:
+    """Lines in degrees simplified to a tolerance in metres.
+
+    With ``rise``, rows have a z, and a vertex is as far as the larger of its sideways
+    distance over ``tolerance`` and its height off the segment over ``rise``.
+    """
+    names = ["line_id", "seq", "x", "y", *(["z"] if rise else [])]
+
+    def far(a, b):
+        place = (a["x"], a["y"], b["x"], b["y"], F.col("x"), F.col("y"))
+        sideways = _offset(*place) / tolerance
+        return F.greatest(sideways, F.abs(F.col("z") - a["z"] - (b["z"] - a["z"]) * _along(*place)) / rise) if rise else sideways
+
+    return _split_rounds(points, names, far)
+
+
+def _local_far(rise: Column | None):
+    """How far a vertex in metres is from a segment: its distance over ``_tol``, or its height off it over ``rise``, if larger."""
+
+    def far(a, b):
+        px, py = F.col("x"), F.col("y")
+        sideways = point_segment(px, py, a["x"], a["y"], b["x"], b["y"]) / F.col("_tol")
+        if rise is None:
+            return sideways
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        size = dx * dx + dy * dy
+        t = F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - a["x"]) * dx + (py - a["y"]) * dy) / size)))
+        return F.greatest(sideways, F.abs(F.col("z") - a["z"] - t * (b["z"] - a["z"])) / rise)
+
+    return far
+
+
+def _sized(points: DataFrame, names: list[str]) -> DataFrame:
+    return points.select(*names, F.count("*").over(Window.partitionBy("line_id")).alias("_n"))
+
+
+def simplify_schedule(points: DataFrame, most: int, closed: bool = False, rising: tuple[float, ...] = (1.0, 2.0, 5.0, 10.0, 20.0)) -> DataFrame:
+    """Lines or rings (open, in order) in metres with at most ``most`` points.
+
+    The first tolerance is half a percent of the box's diagonal, from 1 to 5 m; lines that
+    keep more points take the larger ones of ``rising`` in turn, and at last every n-th
+    point (lines keep their end as well). Rings of under four points stay as they are.
+    """
+    spark, names, least = points.sparkSession, ["line_id", "seq", "x", "y"], 3 if closed else 2
+    size = Window.partitionBy("line_id")
+    wide, high = (F.max(c).over(size) - F.min(c).over(size) for c in ("x", "y"))
+    base = F.greatest(F.lit(1.0), F.least(F.lit(5.0), 0.005 * F.sqrt(wide * wide + high * high)))
+    rows, path = stage(points.select(*names, base.alias("_base"), F.count("*").over(size).alias("_all")), "scheduled")
+    done = rows.where("_all < 4").select(*names) if closed else rows.where("_all < 3").select(*names)
+    todo, paths = rows.where("_all >= 4" if closed else "_all >= 3"), [path]
+    for step in (None, *rising):
+        now = todo.withColumn("_tol", F.col("_base") if step is None else F.lit(step))
+        now = now if step is None else now.where(F.col("_base") < step)
+        if closed:  # the ring's first point closes it
+            first = F.min_by(F.struct("x", "y"), "seq")
+            ends = now.groupBy("line_id").agg(first.alias("p"), (F.max("seq") + 1).alias("seq"), F.max("_tol").alias("_tol"))
+            now = now.select(*names, "_tol", F.lit(False).alias("_end")).unionByName(ends.select("line_id", "seq", "p.x", "p.y", "_tol", F.lit(True).alias("_end")))
+        slim = _split_rounds(now, [*names, "_tol", *(["_end"] if closed else [])], _local_far(None))
+        sized = _sized(slim.where("NOT _end") if closed else slim, names).where((F.col("_n") >= least) & (F.col("_n") <= most))
+        good, path = stage(sized.select(*names), "slim")
+        done = done.unionByName(good)
+        rest, rest_path = stage(todo.join(good.select("line_id").distinct(), "line_id", "left_anti"), "thick")
+        paths.append(rest_path)
+        todo = rest
+        if todo.isEmpty():
+            break
+    i, step = F.row_number().over(order()) - 1, F.ceil(F.col("_all") / most)
+    thin = todo.withColumn("_i", i).where((F.col("_i") % step == 0) & (F.col("_i") / step < most) | (F.lit(not closed) & (F.col("_i") == F.col("_all") - 1)))
+    out, _ = stage(done.unionByName(thin.select(*names)), "simplified")
+    drop_stages(spark, *paths)
+    return out
+
+
+def simplify_roads(points: DataFrame, most: int = 200, across: float = 1.0, rise: float = 0.25) -> DataFrame:
+    """Roads in metres (with z) simplified on sideways and height error together; tolerances double, up to 32 times, while over ``most`` points."""
+    spark, names = points.sparkSession, ["line_id", "seq", "x", "y", "z"]
+    todo, done, paths = points.select(*names), None, []
+    for scale in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0):
+        slim = _sized(_split_rounds(todo.withColumn("_tol", F.lit(across * scale)), [*names, "_tol"], _local_far(F.lit(rise * scale))), names)
+        sized, path = stage(slim, "slim")
+        good = sized.where(F.col("_n") <= most) if scale < 32.0 else sized
+        done = good.select(*names) if done is None else done.unionByName(good.select(*names))
+        rest, rest_path = stage(todo.join(good.select("line_id").distinct(), "line_id", "left_anti"), "thick")
+        paths.append(rest_path)
+        todo = rest
+        if todo.isEmpty():
+            break
+    out, _ = stage(done, "simplified")
+    drop_stages(spark, *paths)
+    return out
 
 
 def clip_polygon(rings: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:

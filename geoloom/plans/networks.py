@@ -283,6 +283,29 @@ def c16_simplify(spark, sf_dir):
     return N.simplify(derived(spark, sf_dir, "line_points"), 800.0).select("line_id", "seq")
 
 
+def _local_lines(spark, sf_dir):
+    """Lines in metres with a height."""
+    points = derived(spark, sf_dir, "line_points")
+    return points.select("line_id", "seq", ((col("x") - 16) * 10000).alias("x"), ((col("y") - 59) * 10000).alias("y"), ((col("line_id") * 7 + col("seq") * 13) % 50 * 0.1).alias("z"))
+
+
+@query()
+def c16_simplify_schedule(spark, sf_dir):
+    """Tolerances by the size of each line, rising until three points at most are left, else every n-th point."""
+    return N.simplify_schedule(_local_lines(spark, sf_dir).drop("z"), 3).select("line_id", "seq")
+
+
+@query()
+def c17_simplify_roads(spark, sf_dir):
+    """Sideways and height error together, with tolerances doubled while over four points."""
+    return N.simplify_roads(_local_lines(spark, sf_dir), 4).select("line_id", "seq")
+
+
+@query(_LP + ", r AS (SELECT line_id, seq, x - first_value(x) OVER w AS x, y - first_value(y) OVER w AS y FROM line_points WINDOW w AS (PARTITION BY line_id ORDER BY seq)) SELECT line_id, seq, round(x, 6) AS x, round(y, 6) AS y FROM r UNION ALL SELECT line_id, max(seq) + 1, 0, 0 FROM r GROUP BY line_id")
+def c23_relative_closed(spark, sf_dir):
+    return N.relative_points(derived(spark, sf_dir, "line_points"), closed=True).select("line_id", "seq", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 @query(
     _LP
     + ", i AS (SELECT line_id, seq - 1 AS i, count(*) OVER (PARTITION BY line_id) - 1 AS last FROM line_points) SELECT line_id, i + 1 AS seq, CAST(unnest(CASE WHEN i % 2 = 0 AND i > 0 AND i = last THEN [i // 2 - 1] WHEN i % 2 = 0 AND i > 0 THEN [i // 2 - 1, i // 2] ELSE [i // 2] END) AS INTEGER) AS chunk FROM i"
@@ -374,6 +397,19 @@ def k1_rate_limit(spark, sf_dir):
     return K.rate_limit(derived(spark, sf_dir, "requests"), 10, 86400.0)
 
 
+@query()
+def k1_rate_limits(spark, sf_dir):
+    """Both limits over API calls: keys by session or address, exempt paths left out."""
+    k = col("id")
+    pick = lambda n, *values: F.get(F.array(*[lit(v).cast("string") for v in values]), (k % n).cast("int"))
+    calls = derived(spark, sf_dir, "requests").select(
+        "id", "ts", pick(7, "/api/generate", "/api/status", "/static/a.js", "/api/health", "/api/job/7/preview/h", "/api/job/7", "/api/generate").alias("path"),
+        pick(3, "POST", "POST", "GET").alias("method"), F.when(k % 4 == 0, F.concat(lit("s"), (col("key") % 40).cast("string"))).alias("session"),
+        F.when(k % 5 == 0, F.concat(lit("10.0.0."), (col("key") % 9).cast("string"), lit(", 1.1.1.1"))).alias("forwarded"), F.when(k % 3 == 0, "10.0.1.1").alias("real_ip"), F.when(k % 2 == 0, "10.0.2.2").alias("peer"),
+    )
+    return K.rate_limits(K.api_calls(calls), (10, 86400.0), (3, 604800.0))
+
+
 @query(
     _RQ
     + """, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY key ORDER BY ts, id)) <= 43200000000 THEN 0 ELSE 1 END AS f FROM requests), s AS (SELECT *, sum(f) OVER (PARTITION BY key ORDER BY ts, id) AS session FROM g)
@@ -390,6 +426,26 @@ def k4_stalled(spark, sf_dir):
     return K.stalled(rows).select("id", col("begin").alias("begin_ts"))
 
 
+@query(_RQ + "SELECT key, count(*) FILTER (e IS NOT NULL) AS done, count(*) FILTER (e IS NULL AND b + INTERVAL 600 SECOND > now_) AS in_flight, count(*) FILTER (e IS NULL AND b + INTERVAL 600 SECOND <= now_) AS failed, count(*) FILTER (coalesce(e, now_) > b + INTERVAL 60 SECOND) AS warned FROM (SELECT id // 2 AS id, min(key) AS key, min(ts) FILTER (id % 2 = 0) AS b, min(ts) FILTER (id % 2 = 1) AS e FROM requests WHERE key % 5 <> 0 OR id % 2 = 0 GROUP BY 1), (SELECT max(ts) AS now_ FROM requests) WHERE b IS NOT NULL GROUP BY key")
+def k4_attempt_counts(spark, sf_dir):
+    rows = derived(spark, sf_dir, "requests").where("key % 5 <> 0 OR id % 2 = 0")
+    rows = rows.select("key", F.floor(col("id") / 2).cast("long").alias("id"), F.when(col("id") % 2 == 0, "begin").otherwise("end").alias("kind"), "ts")
+    return K.attempt_counts(rows, derived(spark, sf_dir, "requests").agg(F.max("ts").alias("now")))
+
+
+@query(
+    _RQ
+    + """, j AS (SELECT key AS job, max(ts) AS done FROM requests GROUP BY key), n AS (SELECT max(ts) - INTERVAL 7 MINUTE AS now_ FROM requests)
+SELECT job, CAST(greatest(0, ceil((epoch_us(done + INTERVAL 10 MINUTE) - epoch_us(now_)) / 60000000::DOUBLE)) AS BIGINT) AS minutes FROM j, n"""
+)
+def k5_minutes_left(spark, sf_dir):
+    rows = derived(spark, sf_dir, "requests")
+    jobs = rows.groupBy(col("key").alias("job")).agg(F.max("ts").alias("done"))
+    none = rows.where("false").select(col("key").alias("job"), col("ts").alias("begin"), col("ts").alias("finish"))
+    now = rows.agg((F.max("ts") - F.expr("INTERVAL 7 MINUTE")).alias("now"))
+    return K.minutes_left(K.retention(jobs, none), now).select("job", "minutes")
+
+
 @query(
     _RQ
     + """, j AS (SELECT key AS job, max(ts) AS done FROM requests GROUP BY key), d AS (SELECT key AS job, ts + INTERVAL 5 MINUTE AS b, ts + INTERVAL 30 MINUTE AS f FROM requests WHERE id % 3 = 0)
@@ -412,20 +468,14 @@ def e14_sources_used(spark, sf_dir):
     return derived(spark, sf_dir, "requests").groupBy("key").agg(F.concat_ws(",", F.array_sort(F.collect_set("action"))).alias("sources"))
 
 
-@query("SELECT id, kind FROM (SELECT c_custkey AS id, 'national' AS kind FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT s_suppkey, 'cover' FROM supplier UNION ALL SELECT n_nationkey, 'cover' FROM nation)")
+@query("SELECT id, kind FROM (SELECT c_custkey AS id, 'national' AS kind FROM customer UNION ALL SELECT s_suppkey, 'cover' FROM supplier UNION ALL SELECT n_nationkey, 'cover' FROM nation)")
 def i1_concat_features(spark, sf_dir):
-    return _concat_features(spark, sf_dir, "c_custkey % 2 = 0")
-
-
-@query()
-def i1_concat_features_whole(spark, sf_dir):
-    """i1 with all customers; its SQL reads every second one."""
-    return _concat_features(spark, sf_dir, "true")
+    return _concat_features(spark, sf_dir)
 
 
-def _concat_features(spark: SparkSession, sf_dir: str, customers: str) -> DataFrame:
+def _concat_features(spark, sf_dir):
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    a = t("customer").where(customers).selectExpr("CAST(c_custkey AS BIGINT) AS id", "'national' AS kind", "c_name AS name")
+    a = t("customer").selectExpr("CAST(c_custkey AS BIGINT) AS id", "'national' AS kind", "c_name AS name")
     b = t("supplier").selectExpr("CAST(s_suppkey AS BIGINT) AS id", "'cover' AS kind")
     c = t("nation").selectExpr("CAST(n_nationkey AS BIGINT) AS id", "'cover' AS kind")
     return a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True).select("id", "kind")

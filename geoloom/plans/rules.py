@@ -160,6 +160,28 @@ def e4_water_stats(spark, sf_dir):
     return rings.groupBy("class").agg(F.count("*").alias("n"), F.round(F.sum(F.when(col("class") == "lake", area).otherwise(0.0)), 3).alias("area"))
 
 
+_HOLED = "round((w * h - w * h / 16) * 111.32 * cos(radians(y + h * (0.5 - 0.125 * 0.0625 / 0.9375))) * 110.54, 4)"
+
+
+@query(with_tables("boxes") + f"SELECT id, {_HOLED} AS area, round(x + w * (0.5 - 0.125 * 0.0625 / 0.9375), 6) AS cx, round(y + h * (0.5 - 0.125 * 0.0625 / 0.9375), 6) AS cy FROM boxes")
+def c4_area_with_holes(spark, sf_dir):
+    """Boxes with a hole of a quarter of their sides: its centre lies an eighth of a side north-east of the box's."""
+    w, h = col("w") / 4, col("h") / 4
+    left, low = col("x") + col("w") * 0.5, col("y") + col("h") * 0.5
+    corner = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
+    hole = F.array(*[F.struct((left + a * w).alias("x"), (low + b * h).alias("y")) for a, b in corner])
+    rings = derived(spark, sf_dir, "boxes").withColumn("rings", F.array(box_ring(), hole))
+    center = G.polygon_centroid(col("rings"))
+    return rings.select("id", F.round(G.polygon_area_km2(col("rings")), 4).alias("area"), F.round(center["x"], 6).alias("cx"), F.round(center["y"], 6).alias("cy"))
+
+
+@query(with_tables("boxes") + """SELECT id, round(least(x, x + (w - s) / 2), 6) AS west, round(least(y, y + (h - t) / 2), 6) AS south, round(greatest(x + w, x + (w + s) / 2), 6) AS east, round(greatest(y + h, y + (h + t) / 2), 6) AS north
+FROM (SELECT *, greatest(mw, mh) / (111320 * cos(radians(y + h / 2))) AS s, greatest(mw, mh) / 110540 AS t FROM (SELECT *, w * 111320 * cos(radians(y + h / 2)) AS mw, h * 110540 AS mh FROM boxes))""")
+def c8_square_bbox(spark, sf_dir):
+    box = G.square_bbox(col("x"), col("y"), col("x") + col("w"), col("y") + col("h"))
+    return derived(spark, sf_dir, "boxes").select("id", box.alias("b")).select("id", *[F.round(f"b.{c}", 6).alias(c) for c in ("west", "south", "east", "north")])
+
+
 @query(
     with_tables("boxes")
     + f"SELECT kind, count(*) AS n, round(sum({_AREA}), 3) AS area FROM (SELECT *, {_FOREST} AS kind FROM boxes) WHERE geom_type <> 'LineString' GROUP BY kind"
@@ -225,37 +247,21 @@ def _sql_folded(x: str) -> str:
     return f"regexp_replace(translate({x}, '{S.MARKED}', '{S.BARE}'), '[^\\x00-\\x7F]', '', 'g')"
 
 
-_FIRST = "array_to_string(string_split(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g'), ' ')[1:6], ' ')"
+_NAMES = "regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')"
 
 
 @query(
     f"""SELECT doc_id, {_TOKEN.replace("(t,", "(array_to_string([upper(substr(w, 1, 1)) || substr(w, 2) FOR w IN string_split_regex(" + _sql_folded("regexp_replace(name, '[''" + '"' + "`]', '', 'g')") + ", '\\s+') IF w <> ''], ''),")} AS token
-FROM (SELECT doc_id, {_FIRST} AS name FROM documents)"""
+FROM (SELECT doc_id, {_NAMES} AS name FROM documents)"""
 )
 def j1_sanitize_token(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    name = F.concat_ws(" ", F.slice(F.split(F.regexp_replace(F.substring("text", 1, 60), r"\s+", " "), " "), 1, 6))
-    return docs.select("doc_id", S.sanitize_token(name).alias("token"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", S.sanitize_token(col("text")).alias("token"))
 
 
 @query(
-    f"""SELECT doc_id, CASE WHEN s = '' THEN 'Terrain' ELSE s END AS project FROM (SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace(regexp_replace({_FIRST}, '[^A-Za-z0-9 _-]', '', 'g'), '[ ]+', ' ', 'g'), '_+', '_', 'g'), 64), '^[ _-]+|[ _-]+$', '', 'g') AS s FROM documents)"""
+    f"""SELECT doc_id, CASE WHEN s = '' THEN 'Terrain' ELSE s END AS project FROM (SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace(regexp_replace({_NAMES}, '[^A-Za-z0-9 _-]', '', 'g'), '[ ]+', ' ', 'g'), '_+', '_', 'g'), 64), '^[ _-]+|[ _-]+$', '', 'g') AS s FROM documents)"""
 )
 def j2_sanitize_project(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    name = F.concat_ws(" ", F.slice(F.split(F.regexp_replace(F.substring("text", 1, 60), r"\s+", " "), " "), 1, 6))
-    return docs.select("doc_id", S.sanitize_project(name).alias("project"))
-
-
-@query()
-def j1_sanitize_token_whole(spark, sf_dir):
-    """j1 over whole texts; its SQL reads the first 60 characters."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", S.sanitize_token(col("text")).alias("token"))
-
-
-@query()
-def j2_sanitize_project_whole(spark, sf_dir):
-    """j2 over whole texts; its SQL reads the first 60 characters."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", S.sanitize_project(F.regexp_replace("text", r"\s+", " ")).alias("project"))
 

@@ -75,6 +75,80 @@ def rate_limit_stream(events: DataFrame, most: int = 60, seconds: float = 60.0)
     )
 
 
+def api_calls(calls: DataFrame) -> DataFrame:
+    """Calls that count (id, key, ts, strict): exempt paths go; ``strict`` marks what the second limit is for.
+
+    ``calls``: id, ts, path, method, session, forwarded, real_ip, peer.
+    """
+    key = request_key(F.col("session"), F.col("forwarded"), F.col("real_ip"), F.col("peer"))
+    strict = (F.col("path") == "/api/generate") & (F.col("method") == "POST")
+    return calls.where(limited(F.col("path"))).select("id", key.alias("key"), "ts", F.coalesce(strict, F.lit(False)).alias("strict"))
+
+
+class SlidingLogs:
+    """Two sliding logs of one key: calls are judged in the order of time."""
+
+    def __init__(self, most: tuple[int, float], strict: tuple[int, float], times=(), strict_times=()):
+        self.limits, self.logs = (most, strict), (list(times), list(strict_times))
+
+    def judge(self, t: float, strict: bool) -> tuple[bool, str | None, int]:
+        """Whether a call passes, which limit stops it, and how many the first limit leaves. Rejected calls count for nothing."""
+        for (_, seconds), log in zip(self.limits, self.logs, strict=True):
+            while log and log[0] <= t - seconds:
+                log.pop(0)
+        (most, _), (strict_most, _) = self.limits
+        if len(self.logs[0]) >= most:
+            return False, "general", 0
+        if strict:
+            if len(self.logs[1]) >= strict_most:
+                return False, "strict", 0
+            self.logs[1].append(t)
+        self.logs[0].append(t)
+        return True, None, most - len(self.logs[0])
+
+
+_JUDGED = "id long, key string, accepted boolean, reason string, remaining int"
+
+
+def rate_limits(calls: DataFrame, most: tuple[int, float] = (60, 60.0), strict: tuple[int, float] = (10, 3600.0)) -> DataFrame:
+    """Calls (id, key, ts, strict) with ``accepted``, ``reason`` and ``remaining``; both limits are (number, seconds).
+
+    A pause longer than both windows forgets all, so a key's history falls into stretches
+    that are judged apart. Stretches are dealt over tasks and streamed in the order of time: a
+    task holds the logs of one stretch, however long a key's history is.
+    """
+    order = Window.partitionBy("key").orderBy("ts", "id")
+    timed = calls.select("id", F.col("key").cast("string").alias("key"), micros(F.col("ts")).alias("ts"), "strict")
+    pause = F.col("ts") - F.lag("ts").over(order) >= max(most[1], strict[1]) * 1e6
+    parted = timed.withColumn("_part", F.sum(F.coalesce(pause, F.lit(True)).cast("int")).over(order))
+
+    def work(frames):
+        now, logs = None, None
+        for pdf in frames:
+            out = []
+            for i, key, t, part, hard in zip(pdf["id"], pdf["key"], pdf["ts"], pdf["_part"], pdf["strict"], strict=True):
+                if (key, part) != now:
+                    now, logs = (key, part), SlidingLogs(most, strict)
+                out.append((i, key, *logs.judge(t / 1e6, bool(hard))))
+            yield pd.DataFrame(out, columns=["id", "key", "accepted", "reason", "remaining"])
+
+    return parted.repartition("key", "_part").sortWithinPartitions("key", "_part", "ts", "id").mapInPandas(work, _JUDGED)
+
+
+def rate_limits_stream(calls: DataFrame, most: tuple[int, float] = (60, 60.0), strict: tuple[int, float] = (10, 3600.0)) -> DataFrame:
+    """The same on a stream: a key's state is its two logs, no longer than the limits."""
+
+    def one_key(key, batches, state: GroupState):
+        logs = SlidingLogs(most, strict, *(state.get if state.exists else ()))
+        pdf = pd.concat(list(batches)).sort_values(["ts", "id"])
+        judged = [(i, key[0], *logs.judge(t / 1e6, bool(hard))) for i, t, hard in zip(pdf["id"], pdf["ts"], pdf["strict"], strict=True)]
+        state.update(logs.logs)
+        yield pd.DataFrame(judged, columns=["id", "key", "accepted", "reason", "remaining"])
+
+    timed = calls.select("id", F.col("key").cast("string").alias("key"), micros(F.col("ts")).alias("ts"), "strict")
+    return timed.groupBy("key").applyInPandasWithState(one_key, _JUDGED, "times array<double>, strict_times array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def sessions(events: DataFrame, hours: int = 24) -> DataFrame:
     """Sessions of each key: a gap of strictly more than ``hours`` starts a new one."""
     order = Window.partitionBy("key").orderBy("ts", "id")
@@ -109,6 +183,25 @@ def stalled(attempts: DataFrame, seconds: int = 60) -> DataFrame:
     return spans.where(F.col("begin").isNotNull() & late)
 
 
+def attempt_counts(attempts: DataFrame, now: DataFrame, warn: int = 60, cap: int = 600) -> DataFrame:
+    """Attempts of each key at the time ``now`` (one row): done, in flight, failed (no end within ``cap`` seconds) and warned (over ``warn`` seconds)."""
+    of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("ts")))
+    spans = attempts.groupBy("id").agg(F.min("key").alias("key"), of("begin").alias("begin"), of("end").alias("end")).where("begin IS NOT NULL")
+    rows = spans.crossJoin(F.broadcast(now))  # one row
+    took = micros(F.coalesce("end", "now")) - micros(F.col("begin"))
+    open_ = F.col("end").isNull()
+    return rows.groupBy("key").agg(
+        F.count_if(~open_).alias("done"), F.count_if(open_ & (took < cap * 1_000_000)).alias("in_flight"),
+        F.count_if(open_ & (took >= cap * 1_000_000)).alias("failed"), F.count_if(took > warn * 1_000_000).alias("warned"),
+    )
+
+
+def minutes_left(expiries: DataFrame, now: DataFrame) -> DataFrame:
+    """``expiries`` with the whole minutes left at ``now`` (one row), begun ones counted, 0 at least."""
+    left = (micros(F.col("expiry")) - micros(F.col("now"))) / 60_000_000
+    return expiries.crossJoin(F.broadcast(now)).withColumn("minutes", F.greatest(F.lit(0).cast("long"), F.ceil(left))).drop("now")
+
+
 def retention(jobs: DataFrame, downloads: DataFrame, minutes: int = 10, more: int = 5) -> DataFrame:
     """Expiry of each job: ten minutes after its end, five more when a download was active then."""
     base = jobs.withColumn("expiry", F.col("done") + F.make_dt_interval(mins=F.lit(minutes)))

@@ -86,9 +86,9 @@ def test_whole_inputs(spark, tmp_path):
     long = " ".join(f"word{i}" for i in range(300)) + "\n\tit's \"q\" a--b__c end!"
     texts = [(1, long), (2, " - _ a  b\nc__d! - "), (3, ""), (4, None)]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    tokens = {r.doc_id: r.token for r in rules.QUERIES["j1_sanitize_token_whole"](spark, str(tmp_path)).collect()}
+    tokens = {r.doc_id: r.token for r in rules.QUERIES["j1_sanitize_token"](spark, str(tmp_path)).collect()}
     assert tokens == {1: "".join(f"Word{i}" for i in range(300)) + "ItsQA_b_cEnd", 2: "ABC_d", 3: "", 4: ""}
-    projects = {r.doc_id: r.project for r in rules.QUERIES["j2_sanitize_project_whole"](spark, str(tmp_path)).collect()}
+    projects = {r.doc_id: r.project for r in rules.QUERIES["j2_sanitize_project"](spark, str(tmp_path)).collect()}
     assert projects == {1: long[:64].strip(), 2: "a b c_d", 3: "Terrain", 4: "Terrain"}
 
 
@@ -105,5 +105,106 @@ def test_reprojects_every_cell_and_unites_all_customers(spark):
     want = {(r.r, r.c) for r in cells if any((near(r)[0] + a, near(r)[1] + b) in known for a in (0, 1) for b in (0, 1))}
     got = {(r.r, r.c) for r in outputs.QUERIES["g23_reproject"](spark, SF).collect()}
     assert got == want and max(c for _, c in got) >= 60
-    ids = {r.id for r in networks.QUERIES["i1_concat_features_whole"](spark, SF).where("kind = 'national'").collect()}
+    ids = {r.id for r in networks.QUERIES["i1_concat_features"](spark, SF).where("kind = 'national'").collect()}
     assert ids == {r[0] for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()}
+
+
+def plain_limits(calls, most, strict):
+    out, logs = {}, {}
+    for i, key, t, hard in sorted(calls, key=lambda c: (c[2], c[0])):
+        general, tight = logs.setdefault(key, ([], []))
+        if sum(x > t - most[1] for x in general) >= most[0]:
+            out[i] = (False, "general", 0)
+        elif hard and sum(x > t - strict[1] for x in tight) >= strict[0]:
+            out[i] = (False, "strict", 0)
+        else:
+            general.append(t)
+            tight += [t] * hard
+            out[i] = (True, None, most[0] - sum(x > t - most[1] for x in general))
+    return out
+
+
+def test_two_rate_limits(spark, tmp_path):
+    import random
+
+    random.seed(2)
+    calls, t = [], 0
+    for i in range(400):
+        t += random.choice([0, 1, 1, 5, 5, 90])
+        calls.append((i, f"k{random.choice([0, 0, 0, 1, 2])}", t, random.random() < 0.5))
+    want = plain_limits(calls, (4, 10.0), (2, 40.0))
+    df = spark.createDataFrame(calls, "id long, key string, s int, strict boolean").selectExpr("id", "key", "timestamp_seconds(s) AS ts", "strict").repartition(4)
+    got = {r.id: (r.accepted, r.reason, r.remaining) for r in stateful.rate_limits(df, (4, 10.0), (2, 40.0)).collect()}
+    assert got == want and {w[1] for w in want.values()} == {None, "general", "strict"}
+    df.write.parquet(str(tmp_path / "in"))
+    stream = stateful.rate_limits_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), (4, 10.0), (2, 40.0))
+    query = stream.writeStream.format("memory").queryName("judged").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r.id: (r.accepted, r.reason, r.remaining) for r in spark.table("judged").collect()} == want
+
+
+def test_calls_that_count(spark):
+    rows = [
+        (1, "/api/generate", "POST", "s1", "1.1.1.1", None, None), (2, "/api/generate", "GET", None, " 1.1.1.1 , 2.2.2.2", "3.3.3.3", "4"), (3, "/api/health", "GET", "s", None, None, None),
+        (4, "/index", "GET", "s", None, None, None), (5, "/api/job/3/preview/a", "GET", "s", None, None, None), (6, "/api/job/3", "GET", "", "", "3.3.3.3", "4"), (7, "/api/x", "GET", None, None, None, "4"), (8, "/api/x", None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "id long, path string, method string, session string, forwarded string, real_ip string, peer string").selectExpr("*", "timestamp_seconds(id) AS ts")
+    got = {r.id: (r.key, r.strict) for r in stateful.api_calls(df).collect()}
+    assert got == {1: ("session:s1", True), 2: ("ip:1.1.1.1", False), 6: ("ip:3.3.3.3", False), 7: ("ip:4", False), 8: ("ip:unknown", False)}
+
+
+def plain_dp(points, far):
+    if len(points) < 3:
+        return list(points)
+    d, k = max((round(far(points[0], points[-1], p), 9), -k) for k, p in enumerate(points[1:-1], 1))
+    if d <= 1:
+        return [points[0], points[-1]]
+    return plain_dp(points[: -k + 1], far)[:-1] + plain_dp(points[-k:], far)
+
+
+def foot(a, b, p):
+    import math
+
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    size = dx * dx + dy * dy
+    t = 0.0 if size == 0 else max(0.0, min(1.0, ((p[1] - a[1]) * dx + (p[2] - a[2]) * dy) / size))
+    return math.hypot(p[1] - a[1] - t * dx, p[2] - a[2] - t * dy), t
+
+
+def test_scheduled_simplification(spark):
+    import math
+    import random
+
+    random.seed(4)
+    table = {i: [(k, random.uniform(0, 60), random.uniform(0, 60), random.uniform(0, 2)) for k in range(random.choice([2, 3, 5, 9, 30]))] for i in range(12)}
+    rows = [(i, *p) for i, pts in table.items() for p in pts]
+    df = spark.createDataFrame(rows, "line_id long, seq long, x double, y double, z double").repartition(3)
+
+    def scheduled(pts, most, closed):
+        if len(pts) < (4 if closed else 3):
+            return [p[0] for p in pts]
+        diagonal = math.hypot(*(max(p[c] for p in pts) - min(p[c] for p in pts) for c in (1, 2)))
+        base = max(1.0, min(5.0, 0.005 * diagonal))
+        for tol in (base, *(t for t in (1.0, 2.0, 5.0, 10.0, 20.0) if t > base)):
+            ring = [*pts, (10**6, *pts[0][1:])] if closed else pts
+            slim = [p[0] for p in plain_dp(ring, lambda a, b, p: foot(a, b, p)[0] / tol) if p[0] < 10**6]  # noqa: B023
+            if (3 if closed else 2) <= len(slim) <= most:
+                return slim
+        step = math.ceil(len(pts) / most)
+        return [p[0] for k, p in enumerate(pts) if k % step == 0 and k / step < most or (not closed and k == len(pts) - 1)]
+
+    for most, closed in ((4, False), (5, True)):
+        got = {}
+        for r in lines.simplify_schedule(df, most, closed).orderBy("line_id", "seq").collect():
+            got.setdefault(r.line_id, []).append(r.seq)
+        assert got == {i: scheduled(pts, most, closed) for i, pts in table.items()}
+    got = {}
+    for r in lines.simplify_roads(df, 6, 4.0, 0.5).orderBy("line_id", "seq").collect():
+        got.setdefault(r.line_id, []).append(r.seq)
+    for i, pts in table.items():
+        for scale in (1, 2, 4, 8, 16, 32):
+            far = lambda a, b, p: max(foot(a, b, p)[0] / (4.0 * scale), abs(p[3] - a[3] - foot(a, b, p)[1] * (b[3] - a[3])) / (0.5 * scale))  # noqa: B023, E731
+            slim = [p[0] for p in plain_dp(pts, far)]
+            if len(slim) <= 6:
+                break
+        assert got[i] == slim
