@@ -1,12 +1,12 @@
-"""Unique names of features: a windowed number for anonymous ones, another for repeats."""
+"""Unique names of features: a running number for anonymous ones, another for repeats."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.strings import quadrant, sanitize_token
+from .staging import numbered
 
 
 def name_features(features: DataFrame, width: float, depth: float, longest: int = 48) -> DataFrame:
@@ -14,7 +14,6 @@ def name_features(features: DataFrame, width: float, depth: float, longest: int
     token = sanitize_token(F.col("name"))
     place = quadrant(F.col("x"), F.col("z"), F.lit(width), F.lit(depth))
     rows = features.withColumn("_token", token).withColumn("_place", place).withColumn("_named", F.col("_token") != "")
-    number = F.row_number().over(Window.partitionBy("kind", "category", "_place", "_named").orderBy("id"))
     named = (
         F.when(F.col("kind") == "Building", F.concat_ws("_", "kind", "category", "_token"))
         .when(F.col("kind").isin("Lake", "River"), F.concat_ws("_", "kind", "_token"))
@@ -22,9 +21,8 @@ def name_features(features: DataFrame, width: float, depth: float, longest: int
     )
     parts = F.when(F.col("kind") == F.col("category"), F.concat_ws("_", "kind", "_place")).otherwise(F.concat_ws("_", "kind", "category", "_place"))
     plain = F.concat_ws("_", parts, F.lpad(F.col("_n").cast("string"), 3, "0"))
-    rows = rows.withColumn("_n", number).withColumn("_base", F.when(F.col("_named"), named).otherwise(plain))
+    rows = numbered(rows, ["kind", "category", "_place", "_named"], ["id"], "_n").withColumn("_base", F.when(F.col("_named"), named).otherwise(plain))
     rows = rows.withColumn("_base", F.regexp_replace(F.substring(F.regexp_replace("_base", "_+", "_"), 1, longest), "^_|_$", ""))
-    again = F.row_number().over(Window.partitionBy("_base").orderBy("id"))
-    return rows.withColumn("_k", again).select(
+    return numbered(rows.select("id", "_base"), ["_base"], ["id"], "_k").select(
         "id", F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat_ws("_", "_base", F.lpad(F.col("_k").cast("string"), 3, "0"))).alias("entity")
     )

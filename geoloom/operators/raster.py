@@ -9,12 +9,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .staging import written
+from .staging import numbered, written
 
 Keys = tuple[str, ...]
 
@@ -84,12 +85,34 @@ def gaussian(cells: DataFrame, sigma: float, height: int, width: int, value: str
     return one_pass(one_pass(cells, "r", height), "c", width).select(*by, "r", "c", value)
 
 
+def row_starts(pdf: pd.DataFrame, keys: list[str]) -> list[int]:
+    """Where the rows of a sorted frame begin, and its end."""
+    values = pdf[keys]
+    new = (values.iloc[1:].to_numpy() != values.iloc[:-1].to_numpy()).any(axis=1) if len(pdf) else np.zeros(0, bool)
+    return [0, *(np.flatnonzero(new) + 1).tolist(), len(pdf)] if len(pdf) else [0]
+
+
+def whole_rows(frames, keys: list[str]):
+    """Frames of whole grid rows from sorted frames that may part one: the last row waits for the next frame."""
+    held = None
+    for pdf in frames:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        at = row_starts(pdf, keys)[-2]
+        held = pdf.iloc[at:].reset_index(drop=True)
+        if at:
+            yield pdf.iloc[:at].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held
+
+
 def distance_transform(grid: DataFrame, by: Keys = ()) -> DataFrame:
     """``grid`` (r, c, mask boolean; every cell) with ``distance`` of mask cells to the nearest other cell.
 
     Along columns, windows find the nearest background above and below; along rows, each
     row takes the lower envelope of the parabolas that the columns left. Exact and
-    unbounded; a row is the unit of work. Without background the distance is null.
+    unbounded; tasks stream whole rows. Without background the distance is null.
     """
     back = F.when(~F.col("mask"), F.col("r"))
     window = Window.partitionBy(*by, "c").orderBy("r")
@@ -97,33 +120,39 @@ def distance_transform(grid: DataFrame, by: Keys = ()) -> DataFrame:
     below = F.first(back, True).over(window.rowsBetween(0, Window.unboundedFollowing))
     gap = F.least(F.col("r") - above, below - F.col("r")).cast("double")
 
-    def row(pdf):
-        pdf = pdf.sort_values("c")
-        c, f = pdf["c"].to_numpy(float), pdf["_gap"].to_numpy(float)
+    def row(c, f):
+        """Distances along one row, from the columns' gaps (NaN: none)."""
         seen = np.flatnonzero(~np.isnan(f))
         if not len(seen):
-            pdf["distance"] = np.nan
-        else:
-            hull, cuts = [], []
-            for k in seen:
-                while hull:
-                    j = hull[-1]
-                    x = (f[k] ** 2 + c[k] ** 2 - f[j] ** 2 - c[j] ** 2) / (2 * (c[k] - c[j]))
-                    if cuts and x <= cuts[-1]:
-                        hull.pop()
-                        cuts.pop()
-                        continue
-                    cuts.append(x)
-                    break
-                hull.append(k)
-            owner = np.array(hull)[np.searchsorted(np.array(cuts), c, side="left")]
-            pdf["distance"] = np.sqrt((c - c[owner]) ** 2 + f[owner] ** 2)
-        return pdf.drop(columns="_gap")
+            return np.full(len(c), np.nan)
+        hull, cuts = [], []
+        height = (f**2 + c**2).tolist()
+        for k in seen.tolist():
+            while hull:
+                j = hull[-1]
+                x = (height[k] - height[j]) / (2 * (c[k] - c[j]))
+                if cuts and x <= cuts[-1]:
+                    hull.pop()
+                    cuts.pop()
+                    continue
+                cuts.append(x)
+                break
+            hull.append(k)
+        owner = np.array(hull)[np.searchsorted(np.array(cuts), c, side="left")]
+        return np.sqrt((c - c[owner]) ** 2 + f[owner] ** 2)
+
+    def work(frames):
+        for pdf in whole_rows(frames, [*by, "r"]):
+            c, f = pdf["c"].to_numpy(float), pdf["_gap"].to_numpy(float)
+            cuts = row_starts(pdf, [*by, "r"])
+            out = [row(c[a:b], f[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pdf.drop(columns="_gap").assign(distance=np.concatenate(out))
 
     kinds = dict(grid.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in (*by, "r", "c")), "mask boolean, distance double"])
     marked = grid.select(*by, "r", "c", "mask", gap.alias("_gap"))
-    return marked.groupBy(*by, "r").applyInPandas(row, schema).withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))
+    found = marked.repartition(*by, "r").sortWithinPartitions(*by, "r", "c").mapInPandas(work, schema)
+    return found.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))
 
 
 def soft_edge(distance: Column, t: float, mask: Column) -> Column:
@@ -141,8 +170,11 @@ def vertex_to_face(cells: DataFrame, value: str = "z", by: Keys = ()) -> DataFra
     return pair.withColumn("_t", south).where(F.col("_t").isNotNull()).select(*by, "r", "c", ((F.col("_s") + F.col("_t")) / 4).alias(value))
 
 
-def resample(cells: DataFrame, height: int, width: int, new_height: int, new_width: int, value: str = "z") -> DataFrame:
-    """Bilinear resampling: every target cell joins its two by two source cells and sums them by weight."""
+def resample(cells: DataFrame, height: int, width: int, new_height: int, new_width: int, value: str = "z", cubic: bool = False) -> DataFrame:
+    """Resampling to an exact size: every target cell joins its two by two source cells (cubic: four by four) and sums them by weight.
+
+    ``cubic`` weighs by Keys' kernel; sources beyond the border are those at it.
+    """
     spark = cells.sparkSession
     targets = spark.range(new_height * new_width).select(
         F.floor(F.col("id") / new_width).cast("long").alias("r"), (F.col("id") % new_width).alias("c")
@@ -151,11 +183,18 @@ def resample(cells: DataFrame, height: int, width: int, new_height: int, new_wid
     def place(axis: str, size: int, new: int) -> Column:
         return F.col(axis) * (float(size - 1) / max(1, new - 1))
 
+    def kernel(d: Column) -> Column:
+        if not cubic:
+            return 1 - d
+        return F.when(d <= 1, (1.5 * d - 2.5) * d * d + 1).when(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2).otherwise(0.0)
+
+    steps = F.array(*[F.lit(k) for k in ((-1, 0, 1, 2) if cubic else (0, 1))])
     near = targets.select("r", "c", place("r", height, new_height).alias("_y"), place("c", width, new_width).alias("_x"))
-    near = near.withColumn("_dy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_dx", F.explode(F.array(F.lit(0), F.lit(1))))
+    near = near.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps))
     sy, sx = F.floor("_y") + F.col("_dy"), F.floor("_x") + F.col("_dx")
-    weight = (1 - F.abs(F.col("_y") - sy)) * (1 - F.abs(F.col("_x") - sx))
-    near = near.select("r", "c", sy.cast("long").alias("_r"), sx.cast("long").alias("_c"), weight.alias("_w")).where("_w > 0")
+    weight = kernel(F.abs(F.col("_y") - sy)) * kernel(F.abs(F.col("_x") - sx))
+    inside = lambda s, size: F.least(F.greatest(s, F.lit(0)), F.lit(size - 1)).cast("long")
+    near = near.select("r", "c", inside(sy, height).alias("_r"), inside(sx, width).alias("_c"), weight.alias("_w")).where("_w <> 0")
     source = cells.select(F.col("r").cast("long").alias("_r"), F.col("c").cast("long").alias("_c"), value)
     return near.join(source, ["_r", "_c"]).groupBy("r", "c").agg((F.sum(F.col(value) * F.col("_w")) / F.sum("_w")).alias(value))
 
@@ -181,49 +220,88 @@ def flood_from(seeds: DataFrame, mask: DataFrame) -> DataFrame:
     return regions.join(hit, "region", "left_semi").select("r", "c")
 
 
-def carve_water(cells: DataFrame, mask: DataFrame, cell_m: float, ceiling: float, steepness: float, height: int, width: int) -> DataFrame:
+def region_levels(own: DataFrame, part: float = 0.1, value: str = "z") -> DataFrame:
+    """Each region's quantile (linear between ranks): region, level. Ranks come from a sort over all tasks, so a sea is no single task's."""
+    ranked = numbered(own.select("region", value), ["region"], [value], "_k", 0)
+    sizes = own.groupBy("region").agg(((F.count("*") - 1) * part).alias("_at"))
+    near = ranked.join(sizes, "region").where((F.col("_k") >= F.floor("_at")) & (F.col("_k") <= F.ceil("_at")))
+    share = F.when(F.floor("_at") == F.ceil("_at"), 1.0).otherwise(1 - F.abs(F.col("_k") - F.col("_at")))
+    return near.groupBy("region").agg(F.sum(F.col(value) * share).alias("level"))
+
+
+def carve_water(
+    cells: DataFrame, mask: DataFrame, cell_m: float, ceiling: float, steepness: float, height: int, width: int, ring: int = 0, ceilings: DataFrame | None = None
+) -> DataFrame:
     """Beds of water regions: the region's 10th percentile minus a depth that grows from the shore.
 
-    The greatest depth is the ceiling, or what the steepness allows at the point farthest
-    from the shore.
+    The greatest depth is the ceiling (a region's own, where ``ceilings``, region and
+    ceiling, has one), or what the steepness allows at the point farthest from the shore.
+    With ``ring``, land within so many cells of water is blended towards the water surface,
+    not the bed, by the smoothed mask.
     """
     regions = written(label_regions(mask), "regions")
     marks = mask.select("r", "c", F.lit(True).alias("mask"))
     grid = cells.select("r", "c").join(marks, ["r", "c"], "left").withColumn("mask", F.coalesce("mask", F.lit(False)))
     far = distance_transform(grid).where("mask").select("r", "c", F.coalesce("distance", F.lit(1.0)).alias("d"))
-    own = regions.join(cells, ["r", "c"]).join(far, ["r", "c"])
-    shape = own.groupBy("region").agg(F.percentile("z", F.lit(0.1)).alias("level"), F.max("d").alias("most"))
-    depth = F.least(F.lit(ceiling), F.col("most") * cell_m * steepness)
-    bed = own.join(shape, "region").select("r", "c", (F.col("level") - depth * F.col("d") / F.col("most")).alias("_bed"))
-    return cells.join(bed, ["r", "c"], "left").select("r", "c", F.coalesce("_bed", "z").alias("z"))
+    own = written(regions.join(cells, ["r", "c"]).join(far, ["r", "c"]), "own")
+    shape = own.groupBy("region").agg(F.max("d").alias("most")).join(region_levels(own), "region")
+    top = F.lit(ceiling)
+    if ceilings is not None:
+        shape = shape.join(ceilings.select("region", F.col("ceiling").alias("_top")), "region", "left")
+        top = F.coalesce("_top", top)
+    depth = F.least(top, F.col("most") * cell_m * steepness)
+    bed = own.join(shape, "region").select("r", "c", (F.col("level") - depth * F.col("d") / F.col("most")).alias("_bed"), "level")
+    if not ring:
+        return cells.join(bed, ["r", "c"], "left").select("r", "c", F.coalesce("_bed", "z").alias("z"))
+    wet = cells.join(written(bed, "bed"), ["r", "c"], "left").select("r", "c", "z", "_bed", F.coalesce("level", "z").alias("_surface"), F.col("_bed").isNotNull().cast("double").alias("_wet"))
+    blend = gaussian(wet.select("r", "c", "_wet"), float(ring), height, width, "_wet").withColumnRenamed("_wet", "_b")
+    smooth = gaussian(wet.select("r", "c", "_surface"), float(ring), height, width, "_surface").withColumnRenamed("_surface", "_s")
+    shore = dilate(mask, ring, height, width).join(mask, ["r", "c"], "left_anti").withColumn("_shore", F.lit(True))
+    rows = wet.join(blend, ["r", "c"]).join(smooth, ["r", "c"]).join(shore, ["r", "c"], "left")
+    b = F.least(F.greatest("_b", F.lit(0.0)), F.lit(1.0))
+    z = F.when(F.col("_shore"), F.col("z") * (1 - b) + F.col("_s") * b).otherwise(F.coalesce("_bed", "z"))
+    return rows.select("r", "c", z.alias("z"))
 
 
 def fill_nodata(cells: DataFrame, value: str = "z") -> DataFrame:
     """Null cells take the value of the nearest valid one; ties by row, then column.
 
-    Along columns the nearest valid cells above and below, along rows the best of them.
+    Along columns the nearest valid cells above and below, along rows the best of them:
+    tasks stream whole rows, and a row's empty cells meet its sources in numpy blocks.
     """
-    have = F.when(F.col(value).isNotNull(), F.struct(F.col("r").alias("sr"), F.col(value).alias("v")))
     window = Window.partitionBy("c").orderBy("r")
-    up = F.last(have, True).over(window.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(have, True).over(window.rowsBetween(0, Window.unboundedFollowing))
+    up, down = window.rowsBetween(Window.unboundedPreceding, 0), window.rowsBetween(0, Window.unboundedFollowing)
+    at = F.when(F.col(value).isNotNull(), F.col("r"))
+    near = [F.last(at, True).over(up).alias("_r0"), F.last(value, True).over(up).alias("_v0"), F.first(at, True).over(down).alias("_r1"), F.first(value, True).over(down).alias("_v1")]
     kinds = dict(cells.dtypes)
 
-    def row(pdf):
-        c, filled = pdf["c"].to_numpy(), []
-        sources = [(sc, s["sr"], s["v"]) for sc, pair in zip(c, pdf["_s"], strict=True) for s in pair if s is not None]
-        for r, x, v in zip(pdf["r"], c, pdf[value], strict=True):
-            if v == v and v is not None:
-                filled.append(v)
-            elif sources:
-                filled.append(min(((sr - r) ** 2 + (sc - x) ** 2, sr, sc, sv) for sc, sr, sv in sources)[3])
-            else:
-                filled.append(None)
-        pdf[value] = filled
-        return pdf[["r", "c", value]]
-
-    marked = cells.select("r", "c", value, F.array(up, down).alias("_s"))
-    return marked.groupBy("r").applyInPandas(row, f"r {kinds['r']}, c {kinds['c']}, {value} double")
+    def filled(r: float, c: np.ndarray, v: np.ndarray, above: np.ndarray, below: np.ndarray) -> np.ndarray:
+        empty = np.flatnonzero(np.isnan(v))
+        rows, values = np.concatenate([above[:, 0], below[:, 0]]), np.concatenate([above[:, 1], below[:, 1]])
+        columns, good = np.concatenate([c, c]), ~np.isnan(np.concatenate([above[:, 0], below[:, 0]]))
+        rows, values, columns = rows[good], values[good], columns[good]
+        if not len(empty) or not len(rows):
+            return v
+        order = np.lexsort((columns, rows))
+        rows, values, columns = rows[order], values[order], columns[order]
+        v = v.copy()
+        for k in range(0, len(empty), 256):
+            some = empty[k : k + 256]
+            far = (columns[None, :] - c[some][:, None]) ** 2 + (rows[None, :] - r) ** 2
+            v[some] = values[far.argmin(axis=1)]
+        return v
+
+    def work(frames):
+        for pdf in whole_rows(frames, ["r"]):
+            r, c, v = pdf["r"].to_numpy(float), pdf["c"].to_numpy(float), pdf[value].to_numpy(float)
+            above, below = pdf[["_r0", "_v0"]].to_numpy(float), pdf[["_r1", "_v1"]].to_numpy(float)
+            cuts = row_starts(pdf, ["r"])
+            out = [filled(r[a], c[a:b], v[a:b], above[a:b], below[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pdf[["r", "c"]].assign(**{value: np.concatenate(out)})
+
+    marked = cells.select("r", "c", F.col(value).cast("double").alias(value), *near)
+    found = marked.repartition("r").sortWithinPartitions("r", "c").mapInPandas(work, f"r {kinds['r']}, c {kinds['c']}, {value} double")
+    return found.withColumn(value, F.when(~F.isnan(value), F.col(value)))
 
 
 def quantize(cells: DataFrame, value: str = "z") -> DataFrame:
@@ -233,6 +311,17 @@ def quantize(cells: DataFrame, value: str = "z") -> DataFrame:
     return cells.crossJoin(F.broadcast(span)).select("r", "c", code.alias("code"), F.floor(code / 256).cast("int").alias("preview"))
 
 
+def mask_bytes(weight: Column) -> Column:
+    """A weight from 0 to 1 as a byte, cut to a whole number; beyond the ends: 0 or 255."""
+    return F.least(F.greatest(weight * 255, F.lit(0.0)), F.lit(255.0)).cast("int")
+
+
+def height_range(cells: DataFrame, value: str = "z") -> DataFrame:
+    """One row: the lowest value and the scale of a 16-bit code."""
+    span = F.greatest(F.max(value) - F.min(value), F.lit(0.01))
+    return cells.agg(F.min(value).alias("low"), (span / 65535).alias("scale"))
+
+
 def normalize_weights(wide: DataFrame, surfaces: list[str]) -> DataFrame:
     """Weights 0 on water, scaled to 1 where they exceed it; grass takes the rest on land."""
     total = sum((F.col(s) for s in surfaces[1:]), F.col(surfaces[0]))

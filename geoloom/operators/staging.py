@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A key with this share of all rows is hot (so there are HOT_SHARE hot keys at most); fewer than HOT_LEAST rows never are.
 HOT_SHARE = 1000
@@ -66,3 +67,22 @@ def spread_join(rows: DataFrame, by_key: DataFrame, keys: list[str], total: int)
     marked = rows.join(F.broadcast(hot), keys, "left").withColumn("_deal", deal)
     met = marked.join(cold, [*keys, "_deal"], "left").withColumn("_met", F.coalesce("_hot", "_cold")).where("_met is not null")
     return met.select(*rows.columns, *[F.col("_met").getField(c).alias(c) for c in values])
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, start: int = 1) -> DataFrame:
+    """``rows`` with ``name``: the running number within each key, in ``order``.
+
+    Rows are sorted by range over all tasks and written with their places; places are
+    counted by key and task, so no task sees all rows of a key, as a window would.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(tasks, *keys, *order).sortWithinPartitions(*keys, *order)
+    placed = written(dealt.withColumn("_id", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_id", 33)), "numbered")
+    ahead = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*keys, "_task").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    zero = F.col("_first") - F.coalesce(F.sum("_n").over(ahead), F.lit(0)) - start
+    counts = counts.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_task").alias("_at"), zero.alias("_zero"))
+    same = F.col("_task") == F.col("_at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return placed.join(counts, same).select(*rows.columns, (F.col("_id") - F.col("_zero")).alias(name))

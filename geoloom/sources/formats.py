@@ -83,12 +83,20 @@ def write_asc(lines: DataFrame, path: str) -> None:
 
 
 def read_asc(spark: SparkSession, path: str) -> DataFrame:
-    """An ASCII grid file as cells (r, c, z); its header says how many columns and rows."""
-    text = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("lines"))
-    rows = text.select(F.element_at("lines", 1).alias("head"), F.posexplode("lines").alias("n", "line"))
-    width = F.regexp_extract("head", r"(\d+)\s*$", 1).cast("int")
-    cells = rows.where("n >= 6 AND trim(line) <> ''").select(F.col("n") - 6, width.alias("w"), F.posexplode(F.split(F.trim("line"), r"\s+")).alias("c", "v"))
-    return cells.select((F.col("(n - 6)")).cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("v").cast("double").alias("z"), "w").where("c < w").drop("w")
+    """An ASCII grid file as cells (r, c, z); its header says how many columns there are.
+
+    Lines are read in splits and numbered by the splits' places and counts, so no task holds the grid.
+    """
+    lines = spark.read.text(path).select("value", F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("id")).where("trim(value) <> ''")
+    counts = lines.groupBy("block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    zero = counts.select("block", (F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("first")).alias("zero"))
+    place = Window.partitionBy("block").orderBy("id")
+    counted = lines.withColumn("k", F.row_number().over(place) - 1).join(zero.join(counts.select("block", "first"), "block"), "block")
+    rows = counted.select("value", (F.col("zero") + F.col("first") + F.col("k")).alias("n"))
+    width = int(rows.where("n = 0").first()["value"].split()[-1])
+    cells = rows.where("n >= 6").select((F.col("n") - 6).cast("long").alias("r"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("c", "v"))
+    return cells.where(F.col("c") < width).select("r", F.col("c").cast("long").alias("c"), F.col("v").cast("double").alias("z"))
 
 
 def write_features(features: DataFrame, path: str) -> None:
