@@ -15,7 +15,6 @@ that are not UTF-8, which only foreign id sequences can hold.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -31,7 +30,7 @@ from .common import file_text, map_batches
 #: Longest word, in bytes, that goes through the matrices.
 SHORT = 48
 #: Words kept with their ids, in each of two generations.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 120_000
 # White space as the vocabulary's pattern understands it, and that pattern.
 SPACE = r"\t-\r \x85\xa0  -     　"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -203,12 +202,6 @@ class Vocabulary:
         return self.joined[place].tobytes().decode("utf-8", "replace")
 
 
-@functools.cache
-def vocabulary_of(content: str) -> Vocabulary:
-    """One vocabulary for each worker process: what it knows serves that worker's later tasks too."""
-    return Vocabulary(content)
-
-
 def encode_texts(docs: DataFrame, vocabulary_path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with ``out``: the ids (array<int>) of each whole text. Rows stay where they are: no shuffle."""
     content = file_text(vocabulary_path)
@@ -216,7 +209,7 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, text: str = "text", out:
     at = docs.columns.index(text)
 
     def work(batches):
-        vocabulary = vocabulary_of(content)
+        vocabulary = Vocabulary(content)
         for batch in batches:
             ids = vocabulary.encode(batch.column(at).to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
@@ -235,7 +228,7 @@ def decode_ids(docs: DataFrame, vocabulary_path: str, ids: str = "ids", out: str
     at = docs.columns.index(ids)
 
     def work(batches):
-        vocabulary = vocabulary_of(content)
+        vocabulary = Vocabulary(content)
         for batch in batches:
             column = batch.column(at)
             flat = column.values.to_numpy(zero_copy_only=False)
@@ -265,7 +258,7 @@ def _passed(docs: DataFrame, vocabulary_path: str, text: str, with_ids: bool) ->
     new = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *([("ids", "array<int>")] if with_ids else [])]
 
     def work(batches):
-        vocabulary = vocabulary_of(content)
+        vocabulary = Vocabulary(content)
         digits = [str(i) for i in range(vocabulary.size)]
         for batch in batches:
             packed = vocabulary.encode(batch.column(at).to_pylist())

@@ -39,10 +39,12 @@ def map_batches(
     """``mapInArrow`` in slices of ``rows`` rows, so a worker holds few whole texts beside what Spark sends it.
 
     Spark bounds what it sends by bytes; the session's settings are left as they are. A
-    slice is a copy, so what was sent is free before more is read.
+    slice is a copy, so what was sent is free before more is read, and the system's
+    allocator gives freed buffers back.
     """
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         for batch in batches:
             n = batch.num_rows
             for k in range(0, n, rows):
