@@ -6,12 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import classify as C
 from . import lines as N
-from . import naming
 from . import raster as R
 from .staging import written
-from .features import classify_buildings
 
 # Land-cover codes with target, category or water type, kind and leaf type.
 LAND_COVER = {
@@ -91,14 +88,20 @@ def simple_rings(rings: DataFrame) -> DataFrame:
     return rings.select("line_id").distinct().join(bad, "line_id", "left_anti")
 
 
-def rasterize_boxes(boxes: DataFrame, cell: float) -> DataFrame:
-    """Cells whose centres lie in a box (id, xmin, ymin, xmax, ymax): rows, then column runs."""
+def any_tag(any_of: dict[str, list[str]]) -> Column:
+    """Whether any of the named columns has one of its listed values; without names, always."""
+    hit = F.lit(not any_of)
+    for name, values in any_of.items():
+        hit = hit | F.coalesce(F.col(name).isin(*values), F.lit(False))
+    return hit
 
-    def span(low: str, high: str) -> Column:
-        first, last = F.ceil(F.col(low) / cell - 0.5).cast("long"), (F.ceil(F.col(high) / cell - 0.5) - 1).cast("long")
-        return F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))
 
-    return boxes.withColumn("r", span("ymin", "ymax")).withColumn("c", span("xmin", "xmax"))
+def burn_areas(features: DataFrame, edges: DataFrame, cell: float, height: int, width: int, any_of: dict[str, list[str]] | None = None, buffer: int = 0) -> DataFrame:
+    """Cells (r, c) of the features (id and tags) that ``any_tag`` lets pass, inside the grid, widened by ``buffer`` cells; ``edges``: all their rings."""
+    chosen = features.where(any_tag(any_of or {})).select("id").distinct()
+    burned = rasterize_polygons(edges.join(chosen, "id", "left_semi"), cell).select("r", "c").distinct()
+    burned = burned.where(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1))
+    return R.dilate(burned, buffer, height, width) if buffer else burned
 
 
 def rasterize_polygons(edges: DataFrame, cell: float) -> DataFrame:
@@ -161,10 +164,17 @@ def surface_weights(cells: DataFrame, masks: DataFrame, cell_m: float, line: flo
     return R.normalize_weights(wide.select("r", "c", "rock", *got, forest, wet), ["rock", *factor, "forest_floor"])
 
 
-def mosaic(tiles: DataFrame, west: float, south: float, cell: float) -> DataFrame:
-    """Cells (tile_id, x, y, z) snapped to one grid; of cells at one place the first tile's counts, empty ones never."""
-    placed = tiles.where("z IS NOT NULL").select(F.floor((F.col("y") - south) / cell).cast("long").alias("r"), F.floor((F.col("x") - west) / cell).cast("long").alias("c"), "tile_id", "z")
-    return placed.groupBy("r", "c").agg(F.min_by("z", F.struct("tile_id", "z")).alias("z"))
+def mosaic(tiles: DataFrame, west: float, south: float, cell: float, rows: int | None = None, cols: int | None = None) -> DataFrame:
+    """Cells (tile_id, x, y, z) snapped to one grid; of cells at one place the first tile's counts, empty ones only where there is no other.
+
+    With ``rows`` and ``cols`` the grid is cropped to that size and keeps its empty cells; without, they go.
+    """
+    placed = tiles.select(F.floor((F.col("y") - south) / cell).cast("long").alias("r"), F.floor((F.col("x") - west) / cell).cast("long").alias("c"), "tile_id", "z")
+    if rows is None or cols is None:
+        placed = placed.where("z IS NOT NULL")
+    else:
+        placed = placed.where(F.col("r").between(0, rows - 1) & F.col("c").between(0, cols - 1))
+    return placed.groupBy("r", "c").agg(F.min_by("z", F.struct(F.col("z").isNull().alias("empty"), "tile_id", "z")).alias("z"))
 
 
 def tile_windows(tiles: DataFrame, west: float, south: float, cell: float, width: int, height: int) -> DataFrame:
@@ -176,21 +186,6 @@ def tile_windows(tiles: DataFrame, west: float, south: float, cell: float, width
     return tiles.select("tile_id", *cols).where("c0 < c1 AND r0 < r1")
 
 
-def road_splines(points: DataFrame, roads: DataFrame, box: tuple[float, float, float, float], tolerance: float, most: int = 200) -> DataFrame:
-    """Roads cut to the terrain, simplified, chunked and named: one row per part with its vertices in order."""
-    kept = N.simplify(N.in_bounds(points, *box), tolerance)
-    parts = N.chunk_line(kept, most)
-    rows = parts.groupBy("line_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("vertices"))
-    start = rows.where("chunk = 0").join(roads, rows["line_id"] == roads["id"])
-    named = naming.name_features(
-        start.select("id", F.lit("Road").alias("kind"), F.initcap("surface").alias("category"), "name", F.get("vertices", 0)["x"].alias("x"), F.get("vertices", 0)["y"].alias("z")),
-        box[0] + box[2], box[1] + box[3],
-    )
-    whole = rows.join(named, rows["line_id"] == named["id"])
-    part = F.when(F.count("*").over(Window.partitionBy("line_id")) > 1, F.concat(F.lit("_part"), (F.col("chunk") + 1).cast("string"))).otherwise("")
-    return whole.select("line_id", "chunk", F.concat("entity", part).alias("entity"), F.size("vertices").alias("n"))
-
-
 def outlines(rings: DataFrame, box: tuple[float, float, float, float], tolerance: float, push: float = 0.0) -> DataFrame:
     """Outer rings pushed outward, clipped, simplified; rings that cross themselves or have under three points go."""
     rings = buffer_rings(rings, push) if push else rings
@@ -200,21 +195,6 @@ def outlines(rings: DataFrame, box: tuple[float, float, float, float], tolerance
     return sized.join(simple_rings(sized), "line_id", "left_semi")
 
 
-def building_placements(buildings: DataFrame, kept: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
-    """Buildings (id, x, y, building_type, height_m, angle) that stay, with asset and yaw, or the reason they go."""
-    rows = classify_buildings(buildings).join(kept.select("id", F.lit(True).alias("_kept")), "id", "left")
-    inside = F.col("x").between(box[0] - 1, box[2] + 1) & F.col("y").between(box[1] - 1, box[3] + 1)
-    reason = F.when(F.col("_kept").isNull(), "near road").when(~inside, "outside").otherwise("placed")
-    return rows.select("id", "asset", F.when(F.abs("angle") <= 0.05, 0.0).otherwise(F.col("angle")).alias("yaw"), reason.alias("reason"))
-
-
-def surface_assignments(named: DataFrame) -> DataFrame:
-    """Entities with the ground they ride on, in the order of kinds and names; entities without one are left out."""
-    order = F.array_position(F.array(*[F.lit(k) for k in ("Road", "Forest", "Lake", "River")]), F.col("kind"))
-    rows = named.withColumn("ground", C.expected_surface(F.col("kind"), F.col("surface"), F.col("forest"))).where("ground IS NOT NULL")
-    return rows.select(order.cast("int").alias("place"), "entity", "ground")
-
-
 def terrain(cells: DataFrame, roads: DataFrame, water: DataFrame, cell_m: float, height: int, width: int) -> DataFrame:
     """The height map: flatten under roads, carve water, smooth, move the lowest land to zero, quantise."""
     from .coverage import land_datum
@@ -250,13 +230,6 @@ def reproject(cells: DataFrame, targets: DataFrame, cell_m: float, east0: float,
     return near.join(source, ["_r", "_c"]).groupBy("r", "c").agg((F.sum(F.col("z") * F.col("_w")) / F.sum("_w")).alias("z"))
 
 
-def river_lines(points: DataFrame, rivers: DataFrame, box: tuple[float, float, float, float], tolerance: float) -> DataFrame:
-    """Rivers without hairpins, cut to the terrain, simplified, with a width by type."""
-    kept = N.simplify(N.in_bounds(N.drop_hairpins(points), *box), tolerance)
-    rows = kept.groupBy("line_id").agg(F.count("*").alias("n"))
-    return rows.join(rivers, rows["line_id"] == rivers["id"]).select("id", "n", C.river_width(F.col("water_type")).alias("width"))
-
-
 def mosaic_grid(tiles: DataFrame) -> DataFrame:
     """One row: the coarsest resolution, bounds snapped outward to its multiples, the size; tiles under three bands are skipped."""
     used = tiles.where("bands >= 3")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import composites as M
 from ..operators import spatial
-from . import networks, rules
+from . import networks
 from .derive import GRID, derived, with_tables
 from .rules import box_ring
 
@@ -83,11 +83,25 @@ _BOX = with_tables("boxes") + ", b AS (SELECT id, (x - 16) * 1000 AS x0, (y - 59
 
 @query(_BOX + "SELECT id, count(*) AS cells FROM b, range(0, 910) r(r), range(0, 910) c(c) WHERE r + 0.5 >= y0 AND r + 0.5 < y1 AND c + 0.5 >= x0 AND c + 0.5 < x1 GROUP BY id")
 def g1_rasterize_polygons(spark, sf_dir):
+    return M.rasterize_polygons(_box_edges(spark, sf_dir), 1.0).groupBy("id").agg(F.count("*").alias("cells"))
+
+
+@query(
+    _BOX
+    + """, m AS (SELECT DISTINCT r, c FROM b JOIN boxes USING (id), range(0, 700) r(r), range(0, 700) c(c) WHERE (leaf_type = 'mixed' OR water_type IN ('lake', 'pond')) AND r + 0.5 >= y0 AND r + 0.5 < y1 AND c + 0.5 >= x0 AND c + 0.5 < x1)
+SELECT DISTINCT r + i AS r, c + j AS c FROM m, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) d(i, j) WHERE r + i BETWEEN 0 AND 699 AND c + j BETWEEN 0 AND 699"""
+)
+def g1_burn_by_tags(spark, sf_dir):
+    """Areas that either tag lets pass, widened by one cell."""
+    boxes = derived(spark, sf_dir, "boxes").select("id", "leaf_type", "water_type")
+    return M.burn_areas(boxes, _box_edges(spark, sf_dir), 1.0, 700, 700, {"leaf_type": ["mixed"], "water_type": ["lake", "pond"]}, 1)
+
+
+def _box_edges(spark, sf_dir):
     boxes = derived(spark, sf_dir, "boxes").withColumns({"w": col("w") * 3000 + 0.25, "h": col("h") * 3000 + 0.25, "x": (col("x") - 16) * 1000, "y": (col("y") - 59) * 1000})
     corners = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
     ends = [F.struct((col("x") + a * col("w")).alias("ax"), (col("y") + b * col("h")).alias("ay"), (col("x") + c * col("w")).alias("bx"), (col("y") + d * col("h")).alias("by")) for (a, b), (c, d) in zip(corners, corners[1:])]
-    edges = boxes.select("id", F.explode(F.array(*ends)).alias("e")).select("id", "e.*")
-    return M.rasterize_polygons(edges, 1.0).groupBy("id").agg(F.count("*").alias("cells"))
+    return boxes.select("id", F.explode(F.array(*ends)).alias("e")).select("id", "e.*")
 
 
 @query(
@@ -149,6 +163,16 @@ def g22_mosaic(spark, sf_dir):
     return M.mosaic(tiles, 0.0, 0.0, 4.0)
 
 
+@query(
+    with_tables("dem")
+    + """, t AS (SELECT r * 1.5::DOUBLE + 0.25::DOUBLE AS y, c * 1.5::DOUBLE + 0.25::DOUBLE AS x, r % 3 AS tile_id, CASE WHEN c % 4 > 0 AND r % 5 > 0 THEN z END AS z FROM dem)
+SELECT r, c, z FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY z IS NULL, tile_id, z) AS k FROM (SELECT CAST(floor((y - 3) / 2) AS BIGINT) AS r, CAST(floor((x - 5) / 2) AS BIGINT) AS c, tile_id, z FROM t)) WHERE k = 1 AND r BETWEEN 0 AND 9 AND c BETWEEN 0 AND 79"""
+)
+def g22_cropped_mosaic(spark, sf_dir):
+    tiles = derived(spark, sf_dir, "dem").selectExpr("r * 1.5D + 0.25D AS y", "c * 1.5D + 0.25D AS x", "r % 3 AS tile_id", "CASE WHEN c % 4 > 0 AND r % 5 > 0 THEN z END AS z")
+    return M.mosaic(tiles, 5.0, 3.0, 2.0, 10, 80)
+
+
 @query(
     with_tables("boxes")
     + """, w AS (SELECT id AS tile_id, greatest(CAST(floor((x - 16.2) / 0.01::DOUBLE) AS BIGINT), 0) AS c0, greatest(CAST(floor((y - 59.2) / 0.01::DOUBLE) AS BIGINT), 0) AS r0, least(CAST(ceil((x + w * 50 - 16.2) / 0.01::DOUBLE) AS BIGINT), 40) AS c1, least(CAST(ceil((y + h * 50 - 59.2) / 0.01::DOUBLE) AS BIGINT), 40) AS r1 FROM boxes) SELECT * FROM w WHERE c0 < c1 AND r0 < r1""".replace("- 16.2)", "- 16.2003::DOUBLE)").replace("- 59.2)", "- 59.2003::DOUBLE)")
@@ -158,34 +182,12 @@ def d10_tile_windows(spark, sf_dir):
     return M.tile_windows(tiles, 16.2003, 59.2003, 0.01, 40, 40)
 
 
-@query()
-def m1_road_splines(spark, sf_dir):
-    roads = rules.classified_roads(spark, sf_dir).groupBy("id").agg(F.min("surface").alias("surface"), lit("").alias("name"))
-    return M.road_splines(derived(spark, sf_dir, "line_points"), roads, (16.0, 59.0, 16.03, 59.025), 300.0, 3)
-
-
 @query()
 def m2_m3_outlines(spark, sf_dir):
     rings = M.outlines(_rings(spark, sf_dir, 1000.0), (100.0, 100.0, 600.0, 600.0), 0.001, 5.0)
     return rings.select("line_id", "seq", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-@query()
-def m5_building_placements(spark, sf_dir):
-    x, y = (col("id") * 7 % 997).cast("double"), (col("id") * 13 % 991).cast("double")
-    buildings = networks.QUERIES["b5_building_features"](spark, sf_dir).select("id", "building_type", "height_m", x.alias("x"), y.alias("y"), (col("id") % 11 * 0.01).alias("angle"))
-    segments = derived(spark, sf_dir, "boxes").select(col("x").alias("sx"), (col("id") * 9 % 900).cast("double").alias("ax"), (col("id") * 5 % 900).cast("double").alias("ay")).withColumns({"bx": col("ax") + 60, "by": col("ay") + 10, "reach": lit(6.5)})
-    kept = spatial.drop_near_lines(buildings.select("id", "x", "y"), segments, "reach", 20.0)
-    return M.building_placements(buildings, kept, (0.0, 0.0, 900.0, 900.0))
-
-
-@query()
-def m6_surface_assignments(spark, sf_dir):
-    named = networks.QUERIES["f2_name_features"](spark, sf_dir)
-    kind = F.get(F.array(lit("Road"), lit("Lake"), lit("Building")), (col("id") % 3).cast("int"))
-    return M.surface_assignments(named.select("entity", kind.alias("kind"), lit("gravel").alias("surface"), lit("").alias("forest")))
-
-
 @query()
 def a9_run_summary(spark, sf_dir):
     return M.run_summary(networks.QUERIES["e2_feature_counts"](spark, sf_dir), derived(spark, sf_dir, "dem"))
@@ -225,12 +227,6 @@ def g23_reproject(spark, sf_dir):
     return M.reproject(dem, targets, 20.0, 500000.0, 6500000.0, 15.0).withColumn("z", F.round("z", 3))
 
 
-@query()
-def m4_river_lines(spark, sf_dir):
-    rivers = derived(spark, sf_dir, "boxes").select("id", "water_type")
-    return M.river_lines(derived(spark, sf_dir, "line_points"), rivers, (16.0, 59.0, 16.03, 59.025), 300.0)
-
-
 @query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'wetland' ELSE 'river' END AS water_type FROM supplier")
 def b9_b14_constant_water(spark, sf_dir):
     from ..operators.features import constant_water

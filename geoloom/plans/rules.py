@@ -182,6 +182,13 @@ def c8_square_bbox(spark, sf_dir):
     return derived(spark, sf_dir, "boxes").select("id", box.alias("b")).select("id", *[F.round(f"b.{c}", 6).alias(c) for c in ("west", "south", "east", "north")])
 
 
+@query(with_tables("boxes") + f"SELECT coalesce(kind, 'all') AS kind, count(*) AS n, round(sum(area), 3) AS area FROM (SELECT water_type AS kind, {_AREA} AS area FROM boxes WHERE geom_type <> 'LineString') GROUP BY GROUPING SETS ((kind), ())")
+def e5_area_summary(spark, sf_dir):
+    """Areas by type and all together, as for buildings and the summary."""
+    boxes = derived(spark, sf_dir, "boxes").where(col("geom_type") != "LineString").select(col("water_type").alias("kind"), F.round(G.area_km2(box_ring()), 4).alias("area"))
+    return boxes.rollup("kind").agg(F.count("*").alias("n"), F.round(F.sum("area"), 3).alias("area")).withColumn("kind", F.coalesce("kind", lit("all")))
+
+
 @query(
     with_tables("boxes")
     + f"SELECT kind, count(*) AS n, round(sum({_AREA}), 3) AS area FROM (SELECT *, {_FOREST} AS kind FROM boxes) WHERE geom_type <> 'LineString' GROUP BY kind"

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from geoloom.operators import lines
-from geoloom.plans import networks, outputs, rasters, rules, shapes
+from geoloom.plans import networks, outputs, projects, rasters, rules, shapes
 from geoloom.streaming import stateful
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
