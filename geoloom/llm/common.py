@@ -54,6 +54,12 @@ def map_batches(
     return df.mapInArrow(lambda batches: work(sliced(batches)), schema)
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that clash with none of an operator's, and each column's new name."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def task_number() -> int:
     """The partition number of the running task (0 outside a task)."""
     context = TaskContext.get()

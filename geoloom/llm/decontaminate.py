@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, map_batches
+from .common import lower_ascii, map_batches, renamed
 
 WINDOW = 13
 BLOCK_WORDS = 500_000
@@ -278,8 +278,9 @@ def overlap_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that the rule leaves, unchanged."""
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    return find_overlap(rows, benchmark).where(~contaminated()).select("row.*")
+    rows, name = renamed(docs)
+    found = find_overlap(rows, benchmark.select(F.col("item_id").alias("_item"), F.col("text").alias(name["text"])), "_item", name["text"])
+    return found.where(~contaminated()).select(*[F.col(n).alias(c) for c, n in name.items()])
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, longest: int = WINDOW, coverage: float = 0.5) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import held_out, map_batches
+from .common import held_out, map_batches, renamed
 
 SAMPLE_ROWS = 200
 SAMPLE_BYTES = 60_000
@@ -207,10 +207,10 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     Null texts and texts without a letter go. Where nothing can be learned, no language
     is predicted and all other documents stay.
     """
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    found = predict(rows, learn(docs)).where(F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    lang = F.coalesce(F.col("row.lang"), F.nullif(F.col("_lang"), F.lit(UNKNOWN)))
-    return found.select(*[lang.alias(c) if c == "lang" else F.col("row").getField(c).alias(c) for c in docs.columns])
+    rows, name = renamed(docs)
+    found = predict(rows, learn(docs), name["text"]).where(F.col(name["text"]).isNotNull() & F.col(name["text"]).rlike(r"\p{L}"))
+    lang = F.coalesce(F.col(name["lang"]), F.nullif(F.col("_lang"), F.lit(UNKNOWN)))
+    return found.select(*[lang.alias(c) if c == "lang" else F.col(n).alias(c) for c, n in name.items()])
 
 
 def brute_force_phrases(data: bytes, text: bytes) -> int:
