@@ -19,17 +19,6 @@ def box_cells(boxes: DataFrame, size: float, west="xmin", south="ymin", east="xm
     return boxes.withColumn("cx", across).withColumn("cy", up)
 
 
-def inside_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Even-odd test of a point against a closed ring."""
-    n = F.size(ring)
-    crossings = F.zip_with(
-        F.slice(ring, 1, n - 1),
-        F.slice(ring, 2, n),
-        lambda a, b: (((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"])).cast("int"),
-    )
-    return F.aggregate(crossings, F.lit(0), lambda acc, v: acc + F.coalesce(v, F.lit(0))) % 2 == 1
-
-
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, reach: float = 0.25) -> DataFrame:
     """The containing box of each point (smallest code on ties), else the nearest within ``reach`` degrees, else null.
 

@@ -121,6 +121,17 @@ def b6_rings(spark, sf_dir):
     return derived(spark, sf_dir, "boxes").select("id", F.size(E.closed_ring(ring)).alias("points"))
 
 
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END AS rings, CASE WHEN s_suppkey % 2 = 0 THEN 10 ELSE 5 END AS points, CASE WHEN s_suppkey % 2 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind FROM supplier")
+def b6_outer_rings(spark, sf_dir):
+    """Relations with an outer ring, an inner one, an open one of either role and an outer one that is too short."""
+    member = lambda role, ring: F.struct(role.alias("role"), ring.alias("ring"))
+    either = F.when(col("id") % 2 == 0, "outer").otherwise("inner")
+    members = F.array(member(lit("outer"), box_ring()), member(lit("inner"), box_ring()), member(either, F.slice(box_ring(), 1, 4)), member(lit("outer"), F.slice(box_ring(), 1, 3)))
+    rings = derived(spark, sf_dir, "boxes").select("id", E.outer_rings(members).alias("rings"))
+    points = F.aggregate("rings", lit(0), lambda n, r: n + F.size(r))
+    return rings.select("id", F.size("rings").alias("n"), points.alias("points")).select("id", col("n").alias("rings"), "points", F.when(col("n") > 1, "MultiPolygon").otherwise("Polygon").alias("kind"))
+
+
 @query(
     "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'canal' ELSE 'stream' END AS line, 'lake' AS standing, CASE WHEN c_custkey % 3 = 0 THEN 'yes' ELSE 'no' END AS intermittent FROM customer"
 )

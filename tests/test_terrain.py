@@ -9,7 +9,8 @@ import __spark_entry__
 from geoloom.operators import terrain as T
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-NO_SQL = sorted(n for n in __spark_entry__.queries() if n not in __spark_entry__.oracle_sql() and not n.startswith("op") and n != "pipeline")
+#: Queries without SQL whose operators no other test holds against plain loops.
+NO_SQL = ["a9_run_summary", "c12_projected", "c13_projected_envelope", "e16_cleanup_stats", "g15_carve_all", "g16_flatten_roads", "g20_preview", "m2_m3_outlines", "m5_skip_reasons"]
 
 
 @pytest.fixture(scope="module")
