@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, chat, decontaminate, jaccard, language, licenses, secrets, token_store, toxicity
+from . import audio, bpe, byte_bpe, chat, decontaminate, filter_audit, jaccard, language, licenses, merkle, secrets, token_store, toxicity
 from .common import table
 
 
@@ -55,11 +55,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proof_report(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.byte_report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secrets, op2_licenses, op3_bpe, op4_token_store, op5_language,
-        op6_decontaminate, op7_chat, op8_jaccard, op9_audio, op10_toxicity,
+        op6_decontaminate, op7_chat, op8_jaccard, op9_audio, op10_toxicity, op11_merkle, op12_filter_audit, op13_byte_bpe,
     )
 }
-SQL = {"op1_secrets": secrets.SQL, "op7_chat": chat.SQL}
+SQL = {"op1_secrets": secrets.SQL, "op7_chat": chat.SQL, "op11_merkle": merkle.SQL, "op12_filter_audit": filter_audit.SQL}
