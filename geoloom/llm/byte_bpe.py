@@ -40,8 +40,8 @@ from .common import file_text
 #: Longest word, in bytes, that is folded.
 LONG = 2048
 #: Rows and bytes of text in a slice; a longer text is a slice of its own.
-SLICE_ROWS = 20_000
-SLICE_BYTES = 16 << 20
+SLICE_ROWS = 40_000
+SLICE_BYTES = 32 << 20
 #: Buckets of the literal map.
 BUCKETS = 1 << 16
 
@@ -95,13 +95,22 @@ def _shown(piece: bytes) -> str:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal map: the low bits of a token's crc32 name the bucket that holds it."""
+    """Numbers by bytes, such as the ranks of tokens, as a literal map: the low bits of crc32 name the bucket with an entry."""
     buckets: list[list] = [[] for _ in range(BUCKETS)]
     for token, rank in ranks.items():
         buckets[zlib.crc32(token) & (BUCKETS - 1)].append({"token": base64.b64encode(token).decode(), "rank": rank})
     return F.transform(_read(buckets, "array<array<struct<token: binary, rank: int>>>"), F.map_from_entries)
 
 
+def reach(ranks: dict[bytes, int]) -> dict[bytes, int]:
+    """The bytes of the longest token that starts with each three bytes."""
+    longest: dict[bytes, int] = {}
+    for token in ranks:
+        if len(token) > 2:
+            longest[token[:3]] = max(len(token), longest.get(token[:3], 0))
+    return longest
+
+
 def merge_list(ranks: dict[bytes, int]) -> Column:
     """The merges by rank as a literal array: the two parts side by side, and their whole."""
     rows: list[dict | None] = [None] * (max(ranks.values(), default=-1) + 1)
@@ -123,12 +132,13 @@ def _rank(held: Column, token: Column) -> Column:
     return F.try_element_at(F.get(held, F.crc32(token).bitwiseAND(BUCKETS - 1).cast("int")), token)
 
 
-def fold_word(held: Column, joined: Column, word: Column, longest: int) -> Column:
-    """The ids (array<int>) of one word (binary) by ``rank_map`` and ``merge_list``; ``longest``: bytes of the longest token."""
+def fold_word(held: Column, reached: Column, joined: Column, word: Column) -> Column:
+    """The ids (array<int>) of one word (binary) by maps of the ranks and of ``reach``, and by ``merge_list``."""
     size = F.octet_length(word)
 
     def stretches(i: Column) -> Column:
-        lengths = F.sequence(F.lit(2), F.least(F.lit(longest), size - i + 1))
+        longest = F.coalesce(_rank(reached, F.substring(word, i, F.lit(3))), F.lit(2))
+        lengths = F.sequence(F.lit(2), F.least(longest, size - i + 1))
         return F.transform(lengths, lambda n: _rank(held, F.substring(word, i, n)))
 
     def step(state: Column, rank: Column) -> Column:
@@ -211,7 +221,6 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", out: str = "ids
     """
     docs = docs.drop(out)
     ranks = rank_table(path)
-    longest = max(map(len, ranks))
     keep = [c for c in docs.columns if keep_text or c != text]
     inside = {c: f"c{k}" for k, c in enumerate(keep)}  # no name of a caller meets a name of ours
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inside.items()], F.col(f"`{text}`").alias("_text"))
@@ -224,7 +233,10 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", out: str = "ids
         return F.transform("docs", one)
 
     def encoded(held: Column) -> Column:
-        return _let(merge_list(ranks), lambda joined: F.transform("words", lambda w: F.coalesce(w["ids"], fold_word(held, joined, w["w"], longest))))
+        def by(reached: Column, joined: Column) -> Column:
+            return F.transform("words", lambda w: F.coalesce(w["ids"], fold_word(held, reached, joined, w["w"])))
+
+        return _let(rank_map(reach(ranks)), lambda reached: _let(merge_list(ranks), lambda joined: by(reached, joined)))
 
     found = sliced.select(F.inline(_let(_let(rank_map(ranks), encoded), rows)))
     return found.select(*[F.col(n).alias(c) for c, n in inside.items()], F.col("_ids").alias(out))
