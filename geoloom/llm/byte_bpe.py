@@ -25,6 +25,7 @@ import base64
 import heapq
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +41,8 @@ from .common import file_text
 #: Longest word, in bytes, that is folded.
 LONG = 2048
 #: Rows and bytes of text in a slice; a longer text is a slice of its own.
-SLICE_ROWS = 40_000
-SLICE_BYTES = 32 << 20
+SLICE_ROWS = 20_000
+SLICE_BYTES = 12 << 20
 #: Buckets of the literal map.
 BUCKETS = 1 << 16
 
@@ -193,23 +194,27 @@ def _worded(docs: DataFrame, text: str, ranks: dict[bytes, int], keep: list[str]
     inner = ", ".join([*(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in keep), "`_places`: array<int>"])
     frame = docs.sparkSession.createDataFrame([], f"words array<struct<w: binary, ids: array<int>>>, docs array<struct<{inner}>>")
     kinds = to_arrow_schema(frame.schema)
-    row = kinds.field("docs").type.value_type
+    row, word = kinds.field("docs").type.value_type, kinds.field("words").type.value_type
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = regex.compile(WORD)
         for batch in _slices(batches, at):
             numbers: dict[str, int] = {}
-            places, ends = [], [0]
-            for value in batch.column(at).to_pylist():
-                value = value or ""
-                places += [numbers.setdefault(w, len(numbers)) for w in (odd if ODD.search(value) else LATIN_WORD).findall(value)]
+            places, ends = array("i"), [0]
+            for value in batch.column(at):
+                value = value.as_py() or ""
+                places.extend(numbers.setdefault(w, len(numbers)) for w in (odd if ODD.search(value) else LATIN_WORD).findall(value))
                 ends.append(len(places))
-            words = [{"w": b, "ids": heap_word(ranks, b) if len(b) > LONG else None} for b in (w.encode() for w in numbers)]
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(places, np.int32)))
+            words = [w.encode() for w in numbers]
+            long = pa.array([heap_word(ranks, w) if len(w) > LONG else None for w in words], word.field("ids").type)
+            words = pa.StructArray.from_arrays([pa.array(words, word.field("w").type), long], fields=list(word))
+            numbers.clear()
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(places, np.int32)))
             columns = [batch.column(names.index(c)).cast(row.field(c).type) for c in keep]
             rows = pa.StructArray.from_arrays([*columns, lists.cast(row.field("_places").type)], fields=list(row))
             held = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-            yield pa.RecordBatch.from_arrays([pa.array([words], kinds.field("words").type), held.cast(kinds.field("docs").type)], schema=kinds)
+            words = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+            yield pa.RecordBatch.from_arrays([words.cast(kinds.field("words").type), held.cast(kinds.field("docs").type)], schema=kinds)
 
     return docs.mapInArrow(work, frame.schema)
 
