@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,15 +13,42 @@ ATOMIC = {
     "Ø": "O", "ø": "o", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Þ": "Th", "þ": "th", "Ð": "D", "ð": "d", "ß": "ss",
     "Ł": "L", "ł": "l", "Đ": "D", "đ": "d",
 }
-MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćČčĎďĒēĖėĘęĚěĞğĢģĪīĮįĶķĹĺĻļĽľŃńŅņŇňŌōŐőŔŕŘřŚśŞşŠšŢţŤťŪūŮůŰűŲųŹźŻżŽž"
-BARE = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyAaAaAaCcCcDdEeEeEeEeGgGgIiIiKkLlLlLlNnNnNnOoOoRrRrSsSsSsTtTtUuUuUuUuZzZzZz"
-SECRET_KEYS = ("token", "api_key", "apikey", "access_token", "key", "password", "secret")
+# Parameters whose value is a secret.
+SECRET_KEYS = ("api-key", "API_Key", "api_key", "apikey", "token", "access_token", "key")
+# Loggers of the application, by name and by the start of the name.
+APP_LOGGERS = ("main", "services", "middleware")
+APP_PREFIXES = ("main", "services.", "middleware.")
+
+
+def _plain_letters() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition holds one ASCII character, those characters, and texts of the longer ones."""
+    marked, bare, longer = [], [], {}
+    for code in (c for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000):
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            marked.append(chr(code))
+            bare.append(plain)
+        elif plain:
+            longer[chr(code)] = plain
+    return "".join(marked), "".join(bare), longer
+
+
+MARKED, BARE, LONGER = _plain_letters()
 
 
 def folded(text: Column) -> Column:
-    """Plain ASCII letters: atomic letters spelled out, marks dropped, the rest removed."""
+    """ASCII text: atomic letters spelled out, all others by their decomposition, the rest removed.
+
+    Characters that stand for several (ligatures, fractions, squared units) are looked up
+    one by one, which only texts that hold one pay for.
+    """
     for letter, plain in ATOMIC.items():
         text = F.replace(text, F.lit(letter), F.lit(plain))
+    some = "[" + "".join(LONGER) + "]"
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(some), F.lit(0)))
+    table = F.from_json(F.lit(json.dumps(LONGER)), "map<string, string>")
+    spelled = F.aggregate(found, text, lambda t, c: F.replace(t, c, F.element_at(table, c)))
+    text = F.when(text.rlike(some), spelled).otherwise(text)
     return F.regexp_replace(F.translate(text, MARKED, BARE), r"[^\x00-\x7F]", "")
 
 
@@ -50,8 +80,8 @@ def auto_name(country: Column, lat: Column, lon: Column) -> Column:
 
 
 def mask_secrets(url: Column) -> Column:
-    """Values of secret parameters replaced, with = or %3D, in any case."""
-    return F.regexp_replace(url, rf"(?i)(\b(?:{'|'.join(SECRET_KEYS)})(?:=|%3D))[^&\s]+", "$1***")
+    """Values of secret parameters replaced up to the next ``&``, with = or %3D, in any case, whatever stands before the name."""
+    return F.regexp_replace(url, rf"(?i)((?:{'|'.join(SECRET_KEYS)})(?:=|%3D))[^&]+", "$1***")
 
 
 def host_label(url: Column) -> Column:
@@ -60,18 +90,26 @@ def host_label(url: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes as B, KB or MB with one decimal."""
-    return (
-        F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024 * 1024, F.concat(F.format_string("%.1f", F.round(n / 1024, 1)), F.lit(" KB")))
-        .otherwise(F.concat(F.format_string("%.1f", F.round(n / (1024 * 1024), 1)), F.lit(" MB")))
-    )
+    """Bytes in the first of B, KB, MB, GB that stays under 1024, else TB; one decimal, half to even."""
+
+    def shown(power: int, unit: str) -> Column:
+        return F.concat(F.format_string("%.1f", F.bround(n / float(1024**power), 1)), F.lit(f" {unit}"))
+
+    size = F.when(n < 1024, shown(0, "B"))
+    for power, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
+        size = size.when(n < 1024 ** (power + 1), shown(power, unit))
+    return size.when(n.isNotNull(), shown(4, "TB"))
 
 
 def log_level(level: Column) -> Column:
-    """Application log levels to job levels."""
+    """Application log levels to job levels; what is below a warning is information."""
     low = F.lower(level)
-    return F.when(low.isin("critical", "error"), "error").when(low == "warning", "warning").when(low == "debug", "debug").otherwise("info")
+    return F.when(low.isin("critical", "error"), "error").when(low == "warning", "warning").otherwise("info")
+
+
+def app_logger(name: Column) -> Column:
+    """Whether records of this logger belong to a job's log."""
+    return name.isin(*APP_LOGGERS) | F.coalesce(name.rlike("^(?:" + "|".join(p.replace(".", "[.]") for p in APP_PREFIXES) + ")"), F.lit(False))
 
 
 def strip_job_tag(message: Column) -> Column:

@@ -186,15 +186,6 @@ def tile_windows(tiles: DataFrame, west: float, south: float, cell: float, width
     return tiles.select("tile_id", *cols).where("c0 < c1 AND r0 < r1")
 
 
-def outlines(rings: DataFrame, box: tuple[float, float, float, float], tolerance: float, push: float = 0.0) -> DataFrame:
-    """Outer rings pushed outward, clipped, simplified; rings that cross themselves or have under three points go."""
-    rings = buffer_rings(rings, push) if push else rings
-    clipped = N.clip_polygon(rings, *box)
-    slim = N.simplify(clipped, tolerance)
-    sized = slim.withColumn("_n", F.count("*").over(Window.partitionBy("line_id"))).where("_n >= 3").drop("_n")
-    return sized.join(simple_rings(sized), "line_id", "left_semi")
-
-
 def terrain(cells: DataFrame, roads: DataFrame, water: DataFrame, cell_m: float, height: int, width: int) -> DataFrame:
     """The height map: flatten under roads, carve water, smooth, move the lowest land to zero, quantise."""
     from .coverage import land_datum

@@ -16,7 +16,7 @@ from . import lines as N
 from . import polygons as P
 from . import raster as R
 from .features import classify_buildings
-from .naming import name_features
+from .naming import name_features, shown
 
 #: Points of a road part, of a river and of an outline at most.
 ROAD_POINTS, NATURAL_POINTS = 200, 120
@@ -46,7 +46,7 @@ class Terrain:
 def road_splines(points: DataFrame, roads: DataFrame, terrain: Terrain, most: int = ROAD_POINTS) -> DataFrame:
     """One row per road part: line_id, chunk, entity, prefab, ground, vertices (x, y, z) in order.
 
-    ``points``: line_id, seq, x, y in degrees; ``roads``: id, name, surface, prefab. Lines are
+    ``points``: line_id, seq, x, y in degrees; ``roads``: id, name, surface, prefab and, where known, ref. Lines are
     brought to the terrain, cut to it, simplified on sideways and height error, and cut
     into parts of ``most`` points whose names end in _partN where there are several.
     """
@@ -54,9 +54,10 @@ def road_splines(points: DataFrame, roads: DataFrame, terrain: Terrain, most: in
     parts = N.chunk_line(N.simplify_roads(inside, most), most)
     rows = parts.groupBy("line_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y", "z"))).alias("vertices"))
     count = F.count("*").over(Window.partitionBy("line_id"))
-    rows = rows.withColumn("_parts", count).join(roads.select(F.col("id").alias("line_id"), "name", "surface", "prefab"), "line_id")
+    ref = (F.col("ref") if "ref" in roads.columns else F.lit(None).cast("string")).alias("ref")
+    rows = rows.withColumn("_parts", count).join(roads.select(F.col("id").alias("line_id"), "name", ref, "surface", "prefab"), "line_id")
     first = F.get("vertices", 0)
-    start = rows.where("chunk = 0").select(F.col("line_id").alias("id"), F.lit("Road").alias("kind"), F.initcap("surface").alias("category"), "name", first["x"].alias("x"), first["y"].alias("z"))
+    start = rows.where("chunk = 0").select(F.col("line_id").alias("id"), F.lit("Road").alias("kind"), shown("Road", F.col("surface")).alias("category"), "name", "ref", first["x"].alias("x"), first["y"].alias("z"))
     named = name_features(start, terrain.width, terrain.depth).withColumnRenamed("id", "line_id")
     entity = F.when(F.col("_parts") > 1, F.concat("entity", F.lit("_part"), (F.col("chunk") + 1).cast("string"))).otherwise(F.col("entity"))
     ground = C.expected_surface(F.lit("Road"), F.col("surface"), F.lit(""))
@@ -73,7 +74,7 @@ def river_lines(points: DataFrame, rivers: DataFrame, terrain: Terrain, most: in
     rows = rows.join(wide.select(F.col("id").alias("line_id"), "name", "water_type", "width"), "line_id")
     first = F.get("vertices", 0)
     named = name_features(
-        rows.select(F.col("line_id").alias("id"), F.lit("River").alias("kind"), F.initcap("water_type").alias("category"), "name", first["x"].alias("x"), first["y"].alias("z")), terrain.width, terrain.depth
+        rows.select(F.col("line_id").alias("id"), F.lit("River").alias("kind"), shown("River", F.col("water_type")).alias("category"), "name", first["x"].alias("x"), first["y"].alias("z")), terrain.width, terrain.depth
     )
     return rows.join(named.withColumnRenamed("id", "line_id"), "line_id").select("line_id", "entity", "width", "vertices")
 
@@ -81,7 +82,8 @@ def river_lines(points: DataFrame, rivers: DataFrame, terrain: Terrain, most: in
 def outlines(areas: DataFrame, edges: DataFrame, terrain: Terrain, kind: str, push: float = 0.0, most: int = NATURAL_POINTS, sliver: float = 100.0) -> DataFrame:
     """One row per outer ring of dissolved areas: group, ring, entity, category, vertices.
 
-    ``areas``: id, name, category; ``edges``: their outer rings (pid, ax, ay, bx, by) in local
+    ``areas``: id, name, category and, where names show another class, label (that of the
+    smallest id of those that became one); ``edges``: their outer rings (pid, ax, ay, bx, by) in local
     metres. Areas of one category that overlap or touch become one; holes are dropped;
     outlines are pushed outward, clipped to the terrain and a metre around it, simplified;
     rings of under three points and those that cross themselves go.
@@ -105,8 +107,9 @@ def outlines(areas: DataFrame, edges: DataFrame, terrain: Terrain, kind: str, pu
     if out is None:
         return areas.sparkSession.createDataFrame([], "group long, ring long, entity string, category string, vertices array<struct<seq:int,x:double,y:double>>")
     first = F.get("vertices", 0)
-    start = out.withColumn("id", F.struct("category", "group", "line_id"))
-    named = name_features(start.select("id", F.lit(kind).alias("kind"), F.initcap("category").alias("category"), "name", first["x"].alias("x"), first["y"].alias("z")), terrain.width, terrain.depth)
+    labels = areas.select(F.col("id").alias("group"), (F.col("label") if "label" in areas.columns else F.col("category")).alias("label"))
+    start = out.join(labels, "group").withColumn("id", F.struct("category", "group", "line_id"))
+    named = name_features(start.select("id", F.lit(kind).alias("kind"), shown(kind, F.col("label")).alias("category"), "name", first["x"].alias("x"), first["y"].alias("z")), terrain.width, terrain.depth)
     return start.join(named, "id").select("group", F.col("line_id").alias("ring"), "entity", "category", "vertices")
 
 
@@ -118,7 +121,7 @@ def forest_outlines(forests: DataFrame, edges: DataFrame, terrain: Terrain) -> D
 
 def lake_outlines(waters: DataFrame, edges: DataFrame, terrain: Terrain) -> DataFrame:
     """Outlines of standing water (id, name, water_type), pushed LAKE_PUSH metres outward."""
-    lakes = waters.where(F.col("water_type").isin(*LAKES)).select("id", "name", F.lit("lake").alias("category"))
+    lakes = waters.where(F.col("water_type").isin(*LAKES)).select("id", "name", F.lit("lake").alias("category"), F.col("water_type").alias("label"))
     return outlines(lakes, edges.join(lakes.select(F.col("id").alias("pid")), "pid", "left_semi"), terrain, "Lake", LAKE_PUSH)
 
 
@@ -133,7 +136,7 @@ def building_placements(buildings: DataFrame, kept: DataFrame, terrain: Terrain)
     reason = F.when(F.col("_kept").isNull(), "near road").when(~inside, "outside").when(F.col("asset").isNull(), "no asset").otherwise("placed")
     rows = rows.withColumn("reason", reason)
     named = name_features(
-        rows.where("reason = 'placed'").select("id", F.lit("Building").alias("kind"), F.initcap("building_type").alias("category"), "name", "x", F.col("y").alias("z")), terrain.width, terrain.depth
+        rows.where("reason = 'placed'").select("id", F.lit("Building").alias("kind"), shown("Building", F.col("building_type")).alias("category"), "name", "x", F.col("y").alias("z")), terrain.width, terrain.depth
     )
     yaw = F.when(F.abs("angle") <= 0.05, 0.0).otherwise(F.col("angle"))
     return rows.join(named, "id", "left").select("id", "entity", "asset", "x", "y", "z", yaw.alias("yaw"), "reason")

@@ -182,12 +182,6 @@ def d10_tile_windows(spark, sf_dir):
     return M.tile_windows(tiles, 16.2003, 59.2003, 0.01, 40, 40)
 
 
-@query()
-def m2_m3_outlines(spark, sf_dir):
-    rings = M.outlines(_rings(spark, sf_dir, 1000.0), (100.0, 100.0, 600.0, 600.0), 0.001, 5.0)
-    return rings.select("line_id", "seq", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
-
-
 @query()
 def a9_run_summary(spark, sf_dir):
     return M.run_summary(networks.QUERIES["e2_feature_counts"](spark, sf_dir), derived(spark, sf_dir, "dem"))

@@ -251,7 +251,7 @@ _TOKEN = "regexp_replace(regexp_replace(regexp_replace(t, '[^A-Za-z0-9_]', '_',
 def _sql_folded(x: str) -> str:
     for letter, plain in S.ATOMIC.items():
         x = f"replace({x}, '{letter}', '{plain}')"
-    return f"regexp_replace(translate({x}, '{S.MARKED}', '{S.BARE}'), '[^\\x00-\\x7F]', '', 'g')"
+    return f"regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]', '', 'g')"  # the texts hold no ligatures or such
 
 
 _NAMES = "regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')"
@@ -286,35 +286,49 @@ def j4_auto_name(spark, sf_dir):
     return derived(spark, sf_dir, "boxes").select("id", S.auto_name(col("country"), col("y") - 60, col("x")).alias("name"))
 
 
+def _sql_masked(x: str) -> str:
+    """The rule as it stands: one parameter after another, with = and with %3D."""
+    for name in ("api-key", "API_Key", "api_key", "apikey", "token", "access_token", "key"):
+        for sign in ("=", "%3D"):
+            x = f"regexp_replace({x}, '({name}{sign})[^&]+', '\\1***', 'gi')"
+    return x
+
+
 @query(
-    r"""SELECT page_id, regexp_replace(u, '(\b(?:token|api_key|apikey|access_token|key|password|secret)(?:=|%3D))[^&\s]+', '\1***', 'gi') AS masked,
+    rf"""SELECT page_id, {_sql_masked("u")} AS masked,
   coalesce(nullif(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1), ''), u) AS host
-FROM (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '?Token=ab' || page_id WHEN 1 THEN '&x=1&api_key%3Dzz' ELSE '' END AS u FROM pages)"""
+FROM (SELECT page_id, url || ['?Token=ab' || page_id, '&x=1&api_key%3Dzz', '', '?subscription_key=S e&mykey=T&y=2', '?accesskey%3dU&API-Key=key=V', '?key=&monkey=1&password=p'][page_id % 6 + 1] AS u FROM pages)"""
 )
 def j5_j6_urls(spark, sf_dir):
-    tail = F.when(col("page_id") % 3 == 0, F.concat(lit("?Token=ab"), col("page_id").cast("string"))).when(col("page_id") % 3 == 1, "&x=1&api_key%3Dzz").otherwise("")
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat("url", tail).alias("u"))
+    tails = [F.concat(lit("?Token=ab"), col("page_id").cast("string")), *map(lit, ("&x=1&api_key%3Dzz", "", "?subscription_key=S e&mykey=T&y=2", "?accesskey%3dU&API-Key=key=V", "?key=&monkey=1&password=p"))]
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat("url", F.get(F.array(*tails), (col("page_id") % 6).cast("int"))).alias("u"))
     return pages.select("page_id", S.mask_secrets(col("u")).alias("masked"), S.host_label(col("u")).alias("host"))
 
 
 @query(
-    """SELECT o_orderkey AS id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', round(n / 1024.0::DOUBLE, 1)) || ' KB' ELSE printf('%.1f', round(n / 1048576.0::DOUBLE, 1)) || ' MB' END AS size
-FROM (SELECT o_orderkey, CAST(o_custkey AS BIGINT) * o_custkey * 7 AS n FROM orders)"""
+    """SELECT o_orderkey AS id, printf('%.1f', n / pow(1024, p)::DOUBLE) || ' ' || ['B', 'KB', 'MB', 'GB', 'TB'][p + 1] AS size
+FROM (SELECT *, CASE WHEN n < 1024 THEN 0 ELSE least(4, CAST(floor(log2(n) / 10) AS INTEGER)) END AS p FROM (SELECT o_orderkey, CAST(o_custkey AS BIGINT) * 7 * CAST(pow(64, o_orderkey % 7) AS BIGINT) AS n FROM orders))"""
 )
 def j7_human_size(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.select(col("o_orderkey").alias("id"), S.human_size(col("o_custkey").cast("long") * col("o_custkey") * 7).alias("size"))
+    n = col("o_custkey").cast("long") * 7 * F.call_function("shiftleft", lit(1).cast("long"), (col("o_orderkey") % 7 * 6).cast("int"))
+    return orders.select(col("o_orderkey").alias("id"), S.human_size(n).alias("size"))
+
+
+_LOGGERS = ("main", "services.dem", "uvicorn.access", "services", "servicesx", "middleware.rate", "mainly")
 
 
 @query(
     with_tables("requests")
-    + """SELECT id, CASE lower(l) WHEN 'critical' THEN 'error' WHEN 'error' THEN 'error' WHEN 'warning' THEN 'warning' WHEN 'debug' THEN 'debug' ELSE 'info' END AS level, regexp_replace('[job:' || key || '] did ' || action, '^\\[job:[^\\]]*\\]\\s*', '') AS message
-FROM (SELECT *, ['ERROR', 'Warning', 'DEBUG', 'INFO', 'CRITICAL', 'NOTICE'][id % 6 + 1] AS l FROM requests)"""
+    + f"""SELECT id, CASE lower(l) WHEN 'critical' THEN 'error' WHEN 'error' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'info' END AS level, regexp_replace('[job:' || key || '] did ' || action, '^\\[job:[^\\]]*\\]\\s*', '') AS message
+FROM (SELECT *, ['ERROR', 'Warning', 'DEBUG', 'INFO', 'CRITICAL', 'NOTICE'][id % 6 + 1] AS l, {list(_LOGGERS)}[id % 7 + 1] AS logger FROM requests)
+WHERE logger IN ('main', 'services', 'middleware') OR starts_with(logger, 'main') OR starts_with(logger, 'services.') OR starts_with(logger, 'middleware.')"""
 )
 def j8_log_levels(spark, sf_dir):
     level = F.get(F.array(*[lit(x) for x in ("ERROR", "Warning", "DEBUG", "INFO", "CRITICAL", "NOTICE")]), (col("id") % 6).cast("int"))
+    logger = F.get(F.array(*map(lit, _LOGGERS)), (col("id") % 7).cast("int"))
     message = F.concat(lit("[job:"), col("key").cast("string"), lit("] did "), "action")
-    return derived(spark, sf_dir, "requests").select("id", S.log_level(level).alias("level"), S.strip_job_tag(message).alias("message"))
+    return derived(spark, sf_dir, "requests").where(S.app_logger(logger)).select("id", S.log_level(level).alias("level"), S.strip_job_tag(message).alias("message"))
 
 
 _HAV = "2 * 6371000 * asin(least(1, sqrt(pow(sin(radians(y2 - y1) / 2), 2) + cos(radians(y1)) * cos(radians(y2)) * pow(sin(radians(x2 - x1) / 2), 2))))"
