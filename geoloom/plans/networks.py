@@ -8,6 +8,7 @@ from ..operators import features as E
 from ..operators import lines as N
 from ..operators import naming, spatial
 from ..streaming import stateful as K
+from ..streaming import timers
 from .derive import derived, with_tables
 from .rules import box_ring
 
@@ -469,6 +470,37 @@ def k5_retention(spark, sf_dir):
     return K.retention(jobs, downloads).select("job", "expiry")
 
 
+@query(
+    _RQ
+    + """, s AS (SELECT id // 2 AS id, epoch_us(min(ts) FILTER (id % 2 = 0)) // 1000 AS b, epoch_us(min(ts) FILTER (id % 2 = 1)) // 1000 AS e FROM requests WHERE key % 5 <> 0 OR id % 2 = 0 GROUP BY 1),
+o AS (SELECT id, 'stalled' AS event, b + 60000 AS ms FROM s WHERE e IS NULL OR e > b + 60000
+  UNION ALL SELECT id, 'done', greatest(b, e) FROM s WHERE e - b < 600000
+  UNION ALL SELECT id, 'failed', b + 600000 FROM s WHERE e IS NULL OR e - b >= 600000)
+SELECT id, event, ms FROM o WHERE ms <= (SELECT epoch_us(max(ts)) // 1000 FROM requests)"""
+)
+def k4_attempt_events(spark, sf_dir):
+    rows = derived(spark, sf_dir, "requests").where("key % 5 <> 0 OR id % 2 = 0")
+    rows = rows.select(F.floor(col("id") / 2).cast("long").alias("id"), F.when(col("id") % 2 == 0, "begin").otherwise("end").alias("kind"), "ts")
+    until = derived(spark, sf_dir, "requests").agg(F.max("ts")).first()[0]  # one time
+    return timers.attempt_events(rows, lit(until)).select("id", "event", F.unix_millis("at").alias("ms"))
+
+
+@query(
+    _RQ
+    + """, j AS (SELECT key AS job, epoch_us(max(ts)) // 1000 AS done FROM requests WHERE key % 4 <> 0 GROUP BY key),
+d AS (SELECT key AS job, epoch_us(ts) // 1000 + 300000 AS b, CASE WHEN id % 2 = 0 THEN epoch_us(ts) // 1000 + 1800000 ELSE epoch_us(ts) // 1000 + 300000 + 86400000 END AS f FROM requests WHERE id % 3 = 0)
+SELECT job, done + 600000 + CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.job = j.job AND b <= done + 600000 AND f > done + 600000) THEN 300000 ELSE 0 END AS ms FROM j"""
+)
+def k5_expiries(spark, sf_dir):
+    rows = derived(spark, sf_dir, "requests")
+    job, none = col("key").alias("job"), lit(None).cast("long").alias("download")
+    done = rows.where("key % 4 <> 0").groupBy(job).agg(F.max("ts").alias("ts")).select("job", lit("done").alias("kind"), none, "ts")
+    some = rows.where("id % 3 = 0")
+    begins = some.select(job, lit("begin").alias("kind"), col("id").alias("download"), F.expr("ts + INTERVAL 5 MINUTE").alias("ts"))
+    ends = some.where("id % 2 = 0").select(job, lit("finish").alias("kind"), col("id").alias("download"), F.expr("ts + INTERVAL 30 MINUTE").alias("ts"))
+    return timers.expiries(done.unionByName(begins).unionByName(ends)).select("job", F.unix_millis("expiry").alias("ms"))
+
+
 @query(_RQ + "SELECT key, arg_max(action, (ts, id)) AS status, count(*) AS steps, max(ts) AS at FROM requests GROUP BY key".replace(" AS at ", ' AS "at" '))
 def k6_job_progress(spark, sf_dir):
     return K.job_progress(derived(spark, sf_dir, "requests"))
