@@ -6,22 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .jsonsplit import json_objects
+
 POINT = "struct<lon:double,lat:double>"
 ELEMENT = f"struct<id:bigint,type:string,tags:map<string,string>,geometry:array<{POINT}>,members:array<struct<role:string,geometry:array<{POINT}>>>>"
 
 
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
-    """Element JSON ({"elements": [...]}) as typed rows; missing tags are an empty map."""
-    raw = spark.read.schema(f"elements array<{ELEMENT}>").json(path, multiLine=True)
-    rows = raw.select(F.explode("elements").alias("e")).select("e.*")
+    """Element JSON ({"elements": [...]}) as typed rows, read in splits; missing tags are an empty map."""
+    rows = json_objects(spark, path, "elements").select(F.from_json("value", ELEMENT).alias("e")).select("e.*")
     return rows.withColumn("tags", F.coalesce("tags", F.create_map().cast("map<string,string>")))
 
 
 def read_countries(spark: SparkSession, path: str) -> DataFrame:
-    """Country features of a FeatureCollection: upper-case code and geometry as JSON; codes missing or -99 are dropped."""
-    raw = spark.read.text(path, wholetext=True)
+    """Country features of a FeatureCollection, read in splits: upper-case code and geometry as JSON; codes missing or -99 are dropped."""
     feature = "struct<properties:struct<ISO_A2:string,ISO_A2_EH:string,NAME:string>,geometry:struct<type:string,coordinates:string>>"
-    rows = raw.select(F.explode(F.from_json("value", f"struct<features:array<{feature}>>")["features"]).alias("f"))
+    rows = json_objects(spark, path, "features").select(F.from_json("value", feature).alias("f"))
 
     def given(name: str):
         return F.nullif(F.nullif(F.trim(F.col(f"f.properties.{name}")), F.lit("-99")), F.lit(""))

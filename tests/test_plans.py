@@ -6,12 +6,12 @@ import duckdb
 import pytest
 
 from geoloom.operators import lines
-from geoloom.plans import networks, outputs, projects, rasters, rules, shapes
+from geoloom.plans import files, networks, outputs, projects, rasters, rules, shapes
 from geoloom.streaming import stateful
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
-CASES = [(plan, name) for plan in (rules, rasters, networks, outputs, shapes) for name in plan.SQL]
+CASES = [(plan, name) for plan in (rules, rasters, networks, outputs, shapes, files) for name in plan.SQL]
 
 
 @pytest.fixture(scope="module")
