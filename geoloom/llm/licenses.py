@@ -63,6 +63,21 @@ def within(key: str, edits: int, flags: int = 0) -> regex.Pattern:
     return regex.compile(f"(?:{plain}){{e<={edits}}}" if edits else plain, flags)
 
 
+def apart(near: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of stretches (edits, first, end) of one notice that overlap, those with the fewest edits, then the first, stay."""
+    firsts: list[int] = []
+    ends: dict[int, int] = {}
+    kept = []
+    for edits, first, end in sorted(set(near)):
+        at = bisect_left(firsts, first)
+        if (at < len(firsts) and firsts[at] < end) or (at and ends[firsts[at - 1]] > first):
+            continue
+        firsts.insert(at, first)
+        ends[first] = end
+        kept.append((edits, first, end))
+    return kept
+
+
 class Scanner:
     """Seed automaton and verifiers for phrases and notices."""
 
@@ -103,21 +118,17 @@ class Scanner:
                         first = bisect_left(starts, begin)
                         found.append((first, first + notice.count(" ") + 1, label, 0, k))
                 continue
-            begins.sort()
-            joined = [[begins[0] - edits, begins[0] + len(notice) + edits]]
-            for begin in begins[1:]:
-                if begin - edits <= joined[-1][1]:
-                    joined[-1][1] = begin + len(notice) + edits
-                else:
-                    joined.append([begin - edits, begin + len(notice) + edits])
-            for begin, end in joined:
-                for m in self.verify[k].finditer(line, max(0, begin), min(len(line), end)):
+            near = []
+            for begin in sorted(set(begins)):
+                # wide enough for a notice that shifted by its edits; no window grows with its neighbours
+                for m in self.verify[k].finditer(line, max(0, begin - 2 * edits), min(len(line), begin + len(notice) + 2 * edits)):
                     a, b = m.span()
                     a += len(m.group()) - len(m.group().lstrip())
                     first = max(0, bisect_right(starts, a) - 1)
                     last = min(max(first + 1, bisect_left(starts, b)), len(words))
                     if all(any(key.fullmatch(w) for w in words[first:last]) for key in self.keys[k]):
-                        found.append((first, last, label, sum(m.fuzzy_counts), k))
+                        near.append((sum(m.fuzzy_counts), first, last))
+            found += [(first, last, label, e, k) for e, first, last in apart(near)]
         return len(words), self.fittest(sorted(set(found)))
 
     def fittest(self, found: list[tuple]) -> list[tuple]:

@@ -44,6 +44,20 @@ KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 _SPAN = "array<struct<start:int,end:int,kind:int>>"
 
 
+def running(values: Column, join) -> Column:
+    """Running totals of an array by ``join``: in log n rounds each value meets the one 1, 2, 4, ... places before it.
+
+    A fold that grows its result would copy it at every step.
+    """
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+    back = lambda i, r: i - F.call_function("shiftleft", F.lit(1), r)
+
+    def doubled(held: Column, r: Column) -> Column:
+        return F.transform(held, lambda x, i: F.coalesce(join(F.get(held, back(i, r)), x), x))
+
+    return F.aggregate(rounds, values, doubled)
+
+
 def _located(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """Spans of the matches of ``pattern``; ``keep``: the group that needs MIN_ASSIGNED characters.
 
@@ -64,16 +78,13 @@ def _located(text: Column, pattern: str, kind: int, keep=None) -> Column:
         matches,
         lambda gap, hit: F.struct(gap.alias("gap"), hit["n"].alias("hit"), hit["good"].alias("good")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    ends = running(F.transform(pairs, lambda x: x["gap"] + F.coalesce(x["hit"], F.lit(0))), lambda a, b: a + b)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.coalesce(x["hit"], F.lit(0))
-        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"))
-        out = F.when(x["good"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+    def placed(x: Column, end: Column) -> Column:
+        begin = end - F.coalesce(x["hit"], F.lit(0))
+        return F.when(x["good"], F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind")))
 
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    found = F.filter(F.zip_with(pairs, ends, placed), lambda s: s.isNotNull())
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
 
 
@@ -117,8 +128,7 @@ def _entropy_spans(text: Column, allowed: tuple[str, ...]) -> Column:
     """Candidates over their class's limit, without those that ``allowed`` covers."""
     spans = _located(text, CANDIDATE, 3)
 
-    def judged(s: Column) -> Column:
-        piece = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    def judged(s: Column, piece: Column) -> Column:
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), piece.alias("piece"), piece.rlike(HEX_CLASS).alias("hex"))
 
     def likely(s: Column) -> Column:
@@ -130,7 +140,7 @@ def _entropy_spans(text: Column, allowed: tuple[str, ...]) -> Column:
     def random(s: Column) -> Column:
         return highest_entropy(s["piece"]) >= F.when(s["hex"], HEX_BITS).otherwise(BASE64_BITS)
 
-    kept = F.filter(F.filter(F.transform(spans, judged), likely), random)
+    kept = F.filter(F.filter(F.zip_with(spans, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), judged), likely), random)
     return F.transform(
         kept,
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["hex"], 3).otherwise(4).alias("kind")),
@@ -185,18 +195,25 @@ def scan_report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span (overlapping ones joined) replaced by ``mark``; ``n_chars`` follows the text."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    def bound(value: Column, body) -> Column:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(
-            s["start"] >= acc["at"],
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out")),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+    def cut(wide: Column, begin: Column, n: Column) -> Column:
+        return F.decode(F.substring(wide, 4 * begin + 1, 4 * n), "UTF-32")
 
-    rest = F.aggregate(
-        "_secrets", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, 2147483647))
-    )
+    def joined(wide: Column, until: Column) -> Column:
+        """Each span that ends a gap: the text since the furthest end before it, and the mark."""
+
+        def piece(s: Column, k: Column) -> Column:
+            at = F.coalesce(F.get(until, k - 1), F.lit(0))
+            return F.when(s["start"] >= at, F.concat(cut(wide, at, s["start"] - at), F.lit(mark)))
+
+        pieces = F.array_join(F.transform("_secrets", piece), "")
+        return F.concat(pieces, cut(wide, F.element_at(until, -1), F.char_length("text")))
+
+    # four bytes a character, so a cut costs its own length wherever it is
+    ends = running(F.transform("_secrets", lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    rest = bound(F.encode("text", "UTF-32"), lambda wide: bound(ends, lambda until: joined(wide, until)))
     found = find_secrets(docs.select(F.struct("*").alias("row"), "text"))
     found = found.select("row", F.when(F.size("_secrets") > 0, rest).alias("clean"))
     new = {"text": F.col("clean"), "n_chars": F.char_length("clean").cast("long")}
