@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import spatial
 from ..operators import terrain as T
@@ -84,8 +85,9 @@ def _buildings(spark, sf_dir):
     )
     roads = rules.classified_roads(spark, sf_dir).where("surface = 'asphalt'").select("id", (col("width_m") / 2 + 1.5).alias("reach"))
     terrain = _terrain(spark, sf_dir)
-    ends = terrain.local(derived(spark, sf_dir, "line_points").where("seq <= 2")).groupBy("line_id").agg(F.min_by(F.struct("x", "y"), "seq").alias("p"), F.max_by(F.struct("x", "y"), "seq").alias("q"))
-    segments = ends.join(roads, ends["line_id"] == roads["id"]).select(col("p.x").alias("ax"), col("p.y").alias("ay"), col("q.x").alias("bx"), col("q.y").alias("by"), "reach")
+    after = Window.partitionBy("line_id").orderBy("seq")
+    ends = terrain.local(derived(spark, sf_dir, "line_points")).withColumn("bx", F.lead("x").over(after)).withColumn("by", F.lead("y").over(after)).where("bx IS NOT NULL")
+    segments = ends.join(roads, ends["line_id"] == roads["id"]).select(col("x").alias("ax"), col("y").alias("ay"), "bx", "by", "reach")
     kept = spatial.drop_near_lines(terrain.local(buildings.select("id", "x", "y")).select("id", "x", "y"), segments, "reach", 100.0)
     return T.building_placements(buildings, kept, terrain)
 

@@ -106,15 +106,15 @@ def c10_choose_crs(spark, sf_dir):
 
 #: A mask of 30 x 40 cells over the terrain of the lines.
 _BOX = (16.0, 59.0, 16.04, 59.03)
-_MASK = "(SELECT DISTINCT CAST((p_partkey - p_partkey % 40) / 40 AS BIGINT) % 30 AS r, p_partkey % 40 AS c FROM part WHERE p_partkey % 5 < 2)"
+_MASK = "(SELECT CAST((p_partkey - p_partkey % 40) / 40 AS BIGINT) % 30 AS r, p_partkey % 40 AS c FROM part GROUP BY 1, 2 HAVING sum(p_partkey) % 5 < 2)"
 _MIDDLE = with_tables("roads", "line_points") + f""", m AS (SELECT line_id AS id, x, y FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY line_id) AS n FROM line_points) WHERE n >= 2 AND i = n // 2),
 h AS (SELECT m.*, least(CAST(trunc((59.03::DOUBLE - y) / (59.03::DOUBLE - 59.0::DOUBLE) * 30) AS BIGINT), 29) AS r, least(CAST(trunc((x - 16.0::DOUBLE) / (16.04::DOUBLE - 16.0::DOUBLE) * 40) AS BIGINT), 39) AS c FROM m),
 hit AS (SELECT id, h.x BETWEEN 16.0::DOUBLE AND 16.04::DOUBLE AND h.y BETWEEN 59.0::DOUBLE AND 59.03::DOUBLE AND k.r IS NOT NULL AS hit FROM h LEFT JOIN {_MASK} k ON k.r = h.r AND k.c = h.c) """
 
 
 def _middle_hits(spark, sf_dir):
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 5 < 2")
-    mask = part.selectExpr("CAST((p_partkey - p_partkey % 40) / 40 AS BIGINT) % 30 AS r", "p_partkey % 40 AS c")
+    cells = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey", "CAST((p_partkey - p_partkey % 40) / 40 AS BIGINT) % 30 AS r", "p_partkey % 40 AS c")
+    mask = cells.groupBy("r", "c").agg(F.sum("p_partkey").alias("all")).where("all % 5 < 2").select("r", "c")  # every part bears on its cell
     return P.cell_lookup(P.middle_vertices(derived(spark, sf_dir, "line_points")), mask, _BOX, 30, 40)
 
 
