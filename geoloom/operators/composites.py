@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.geometry import point_segment, project_tm
+from ..functions.lookups import LAKES, RIVER_WIDTHS, looked_up
 from . import lines as N
 from . import raster as R
 from .staging import written
@@ -121,15 +125,47 @@ def rasterize_polygons(edges: DataFrame, cell: float) -> DataFrame:
     return pairs.where(a <= b).select("id", "r", F.explode(F.sequence(a, b)).alias("c")).distinct()
 
 
-def rasterize_lines(segments: DataFrame, half: int) -> DataFrame:
-    """Cells within ``half`` + 0.5 of a segment given in cell units (ax, ay, bx, by)."""
-    from ..functions.geometry import point_segment
-
-    def reach(p: str, q: str) -> Column:
-        return F.explode(F.sequence((F.floor(F.least(p, q)) - half - 1).cast("long"), (F.ceil(F.greatest(p, q)) + half + 1).cast("long")))
+def rasterize_lines(segments: DataFrame, half: int | Column, height: int | None = None, width: int | None = None) -> DataFrame:
+    """Cells within ``half`` + 0.5 of a segment given in cell units (ax, ay, bx, by); ``half`` may be a column, a width for each feature.
 
-    cells = segments.withColumn("c", reach("ax", "bx")).withColumn("r", reach("ay", "by"))
-    return cells.where(point_segment(F.col("c"), F.col("r"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= half + 0.5).select("r", "c").distinct()
+    A row of cells meets a stroke in one interval, the hull of what its two round ends and its
+    straight part meet there, so a segment emits the cells of its stroke and one beside each end,
+    whatever its bounding box; the exact distance decides. With ``height`` and ``width``
+    nothing outside the grid is emitted. Segments with a null end or width burn nothing.
+    """
+    half = F.lit(half) if isinstance(half, int) else half
+    ax, ay, bx, by, reach = (F.col(c) for c in ("ax", "ay", "bx", "by", "_reach"))
+    first, last = F.floor(F.least(ay, by) - reach), F.ceil(F.greatest(ay, by) + reach)
+    if height is not None:
+        first, last = F.greatest(first, F.lit(0)), F.least(last, F.lit(height - 1))
+    rows = segments.select(*[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")], (half + 0.5).alias("_reach")).withColumn("_first", first.cast("long")).withColumn("_last", last.cast("long"))
+    rows = rows.where("_first <= _last").withColumn("r", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
+    dx, dy = bx - ax, by - ay
+    span = F.sqrt(dx * dx + dy * dy)
+
+    def between(at: Column, rise: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        """Where low <= at + rise * x <= high, as the least and greatest x; without rise everywhere or nowhere."""
+        p, q = (low - at) / F.nullif(rise, F.lit(0.0)), (high - at) / F.nullif(rise, F.lit(0.0))
+        held = at.between(low, high)
+        ends = [F.when(rise != 0, pick(p, q)).when(held, F.lit(all_)).otherwise(F.lit(none)) for pick, all_, none in ((F.least, -1e18, 1e18), (F.greatest, 1e18, -1e18))]
+        return ends[0], ends[1]
+
+    up = F.col("r") - ay
+    along = between(up * dy, dx, F.lit(0.0), span * span)
+    beside = between(-up * dx, dy, -reach * span, reach * span)
+    flat = (F.greatest(along[0], beside[0]), F.least(along[1], beside[1]))
+    straight = (span > 0) & (flat[0] <= flat[1])
+    lows, highs = [F.when(straight, ax + flat[0])], [F.when(straight, ax + flat[1])]
+    for x, y in ((ax, ay), (bx, by)):
+        left = reach * reach - (F.col("r") - y) * (F.col("r") - y)
+        lows.append(F.when(left >= 0, x - F.sqrt(left)))
+        highs.append(F.when(left >= 0, x + F.sqrt(left)))
+    start, end = F.floor(F.least(*lows)) - 1, F.ceil(F.greatest(*highs)) + 1
+    if width is not None:
+        start, end = F.greatest(start, F.lit(0)), F.least(end, F.lit(width - 1))
+    strokes = rows.withColumn("_start", start.cast("long")).withColumn("_end", end.cast("long")).where("_start <= _end")
+    cells = strokes.withColumn("c", F.explode(F.sequence("_start", "_end")))
+    return cells.where(point_segment(F.col("c"), F.col("r"), ax, ay, bx, by) <= reach).select("r", "c").distinct()
 
 
 def flatten_roads(cells: DataFrame, roads: DataFrame, height: int, width: int, sigma: float = 1.0) -> DataFrame:
@@ -142,14 +178,42 @@ def flatten_roads(cells: DataFrame, roads: DataFrame, height: int, width: int, s
     return cells.join(blend, ["r", "c"]).join(smooth, ["r", "c"]).select("r", "c", (F.col("z") * (1 - b) + F.col("s") * b).alias("z"))
 
 
-def carve_all(cells: DataFrame, water: DataFrame, cell_m: float, height: int, width: int) -> DataFrame:
-    """Beds of every water kind in order, later kinds win where they overlap."""
+def carve_all(cells: DataFrame, water: DataFrame, cell_m: float, height: int, width: int, ring: int = 0) -> DataFrame:
+    """Beds of every water kind in order, later kinds win where they overlap; ``ring`` cells of shore are blended."""
     for kind, deepest, steepness in BEDS:
         mask = written(water.where(F.col("kind") == kind).select("r", "c").distinct(), "mask")
-        cells = written(R.carve_water(cells, mask, cell_m, deepest, steepness, height, width), "carved")
+        if not mask.isEmpty():
+            cells = written(R.carve_water(cells, mask, cell_m, deepest, steepness, height, width, ring), "carved")
     return cells
 
 
+def water_masks(cells: DataFrame, areas: DataFrame, edges: DataFrame, lines: DataFrame, cell_m: float, height: int, width: int) -> DataFrame:
+    """Cells of every water kind (kind, r, c) from features; a cell may have several.
+
+    ``areas`` (id, natural, water_type) with all rings' ``edges`` (id, ax, ay, bx, by) give lakes,
+    by either tag, and wetlands; segments ``lines`` (water_type, ax, ay, bx, by) give rivers as wide as
+    their type, one cell to each side at least, and the coast, from which the sea is flooded over
+    low cells. All in cell units, rows from the north. Other and null types give nothing.
+    """
+    type_ = F.col("water_type")
+    half = F.greatest(F.bround(looked_up(type_, RIVER_WIDTHS) / (2.0 * cell_m), 0).cast("int"), F.lit(1))
+    rivers = rasterize_lines(lines.where(type_.isin(*RIVER_WIDTHS)), half, height, width)
+    coast = rasterize_lines(lines.where(type_ == "coastline"), 0, height, width)
+    masks = {
+        "river": rivers,
+        "wetland": burn_areas(areas, edges, 1.0, height, width, {"water_type": ["wetland"]}),
+        "sea": R.sea_cells(cells, coast, height, width),
+        "lake": burn_areas(areas, edges, 1.0, height, width, {"natural": ["water"], "water_type": list(LAKES)}),
+    }
+    every = [m.select(F.lit(k).alias("kind"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")) for k, m in masks.items()]
+    return written(reduce(DataFrame.unionByName, every), "water")
+
+
+def carve_features(cells: DataFrame, areas: DataFrame, edges: DataFrame, lines: DataFrame, cell_m: float, height: int, width: int, ring: int = 3) -> DataFrame:
+    """Beds of rivers, wetlands, the sea and lakes from their features (see ``water_masks``), with blended shores."""
+    return carve_all(cells, water_masks(cells, areas, edges, lines, cell_m, height, width), cell_m, height, width, ring)
+
+
 def surface_weights(cells: DataFrame, masks: DataFrame, cell_m: float, line: float) -> DataFrame:
     """Rock from slope and treeline, forests below it, the other surfaces by their factor; grass takes the rest."""
     rock = R.slope(cells, cell_m).join(cells, ["r", "c"]).select(
@@ -209,8 +273,6 @@ def reproject(cells: DataFrame, targets: DataFrame, cell_m: float, east0: float,
 
     Every target is projected, joins its two by two source cells by key and sums them by weight.
     """
-    from ..functions.geometry import project_tm
-
     at = targets.withColumn("_p", project_tm(F.col("lon"), F.col("lat"), central))
     at = at.select("r", "c", ((F.col("_p.x") - east0) / cell_m).alias("_x"), ((F.col("_p.y") - north0) / cell_m).alias("_y"))
     near = at.withColumn("_dy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_dx", F.explode(F.array(F.lit(0), F.lit(1))))

@@ -220,6 +220,30 @@ def flood_from(seeds: DataFrame, mask: DataFrame) -> DataFrame:
     return regions.join(hit, "region", "left_semi").select("r", "c")
 
 
+def sea_cells(cells: DataFrame, coast: DataFrame, height: int, width: int, level: float = 0.5, near: int = 50) -> DataFrame:
+    """Cells of the sea: low cells (z up to ``level``) joined to low cells of the grid's border within ``near`` steps of the coast.
+
+    Where the coast reaches no low border cell, all low border cells start; without a coast there is
+    no sea. A coast cell marks an interval on each border in reach, so no area is spread. Empty
+    heights are not low.
+    """
+    low = cells.where(F.col("z") <= level).select("r", "c")
+    border = low.where(F.col("r").isin(0, height - 1) | F.col("c").isin(0, width - 1))
+    reached = None
+    for axis, other, size, across in (("r", "c", height, width), ("c", "r", width, height)):
+        for side in (0, size - 1):
+            left = near - F.abs(F.col(axis) - side)
+            ends = F.greatest(F.col(other) - left, F.lit(0)), F.least(F.col(other) + left, F.lit(across - 1))
+            close = coast.where(left >= 0).withColumn("_o", F.explode(F.sequence(*[e.cast("long") for e in ends])))
+            rows = close.select(F.lit(side).cast("long").alias(axis), F.col("_o").alias(other)).select("r", "c")
+            reached = rows if reached is None else reached.unionByName(rows)
+    marked = border.join(reached.distinct().withColumn("_near", F.lit(True)), ["r", "c"], "left")
+    found = marked.agg(F.coalesce(F.bool_or("_near"), F.lit(False)).alias("_some"))
+    shores = coast.agg((F.count("*") > 0).alias("_coast"))  # one row each
+    seeds = marked.crossJoin(F.broadcast(found)).crossJoin(F.broadcast(shores)).where("_coast AND (_near OR NOT _some)")
+    return flood_from(seeds, low)
+
+
 def region_levels(own: DataFrame, part: float = 0.1, value: str = "z") -> DataFrame:
     """Each region's quantile (linear between ranks): region, level. Ranks come from a sort over all tasks, so a sea is no single task's."""
     ranked = numbered(own.select("region", value), ["region"], [value], "_k", 0)
@@ -263,43 +287,67 @@ def carve_water(
     return rows.select("r", "c", z.alias("z"))
 
 
+def nearest_sources(c: np.ndarray, gap: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each cell of a row the index of the column whose source is nearest (-1: there is none); ties by the source's row, then column.
+
+    ``c``: whole column numbers in order, ``gap``: rows between the cell and its column's
+    source (NaN: none), ``row``: that source's row. The lower envelope of the columns' parabolas
+    takes time linear in the row; parabolas that only touch it stay, since they tie there.
+    """
+    seen = np.flatnonzero(~np.isnan(gap))
+    if not len(seen):
+        return np.full(len(c), -1)
+    hull, cuts = [], []
+    height, at = (gap**2 + c**2).tolist(), c.tolist()
+    for k in seen.tolist():
+        while hull:
+            j = hull[-1]
+            x = (height[k] - height[j]) / (2 * (at[k] - at[j]))
+            if not cuts or x >= cuts[-1]:
+                cuts.append(x)
+                break
+            hull.pop()
+            cuts.pop()
+        hull.append(k)
+    first, last = np.searchsorted(cuts, c, side="left"), np.searchsorted(cuts, c, side="right")
+    owner = np.array(hull)[first]
+    for x in np.flatnonzero(first < last).tolist():
+        owner[x] = min(hull[first[x] : last[x] + 1], key=lambda k: (row[k], at[k]))
+    return owner
+
+
 def fill_nodata(cells: DataFrame, value: str = "z") -> DataFrame:
-    """Null cells take the value of the nearest valid one; ties by row, then column.
+    """Null (or NaN) cells take the value of the nearest valid one; ties by row, then column.
 
-    Along columns the nearest valid cells above and below, along rows the best of them:
-    tasks stream whole rows, and a row's empty cells meet its sources in numpy blocks.
+    Along columns windows find the nearest valid cells above and below, also for places that
+    have no cell; along rows the lower envelope of the nearer ones tells the best: tasks stream
+    whole rows, each in time linear in its width. A grid without valid cells stays empty.
     """
     window = Window.partitionBy("c").orderBy("r")
-    up, down = window.rowsBetween(Window.unboundedPreceding, 0), window.rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col(value).isNotNull(), F.col("r"))
-    near = [F.last(at, True).over(up).alias("_r0"), F.last(value, True).over(up).alias("_v0"), F.first(at, True).over(down).alias("_r1"), F.first(value, True).over(down).alias("_v1")]
+    up, down, after = window.rowsBetween(Window.unboundedPreceding, 0), window.rowsBetween(0, Window.unboundedFollowing), window.rowsBetween(1, Window.unboundedFollowing)
+    own = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
     kinds = dict(cells.dtypes)
-
-    def filled(r: float, c: np.ndarray, v: np.ndarray, above: np.ndarray, below: np.ndarray) -> np.ndarray:
-        empty = np.flatnonzero(np.isnan(v))
-        rows, values = np.concatenate([above[:, 0], below[:, 0]]), np.concatenate([above[:, 1], below[:, 1]])
-        columns, good = np.concatenate([c, c]), ~np.isnan(np.concatenate([above[:, 0], below[:, 0]]))
-        rows, values, columns = rows[good], values[good], columns[good]
-        if not len(empty) or not len(rows):
-            return v
-        order = np.lexsort((columns, rows))
-        rows, values, columns = rows[order], values[order], columns[order]
-        v = v.copy()
-        for k in range(0, len(empty), 256):
-            some = empty[k : k + 256]
-            far = (columns[None, :] - c[some][:, None]) ** 2 + (rows[None, :] - r) ** 2
-            v[some] = values[far.argmin(axis=1)]
-        return v
+    span = cells.agg(F.min("r").alias("_top"), F.max("r").alias("_bottom"))  # one row
+    source = F.when(F.col(value).isNotNull(), F.struct(F.col("r").cast("double").alias("r"), F.col(value).alias("v")))
+    seen = cells.select("r", "c", own.alias(value)).select(
+        "r", "c", F.last(source, True).over(up).alias("_up"), F.first(source, True).over(down).alias("_down"), F.first(source, True).over(after).alias("_after"),
+        F.lag("r").over(window).alias("_before"), F.lead("r").over(window).alias("_next"),
+    )
+    places = F.sequence(F.when(F.col("_before").isNull(), F.col("_top")).otherwise(F.col("r")), F.coalesce(F.col("_next") - 1, F.col("_bottom")))
+    every = seen.crossJoin(F.broadcast(span)).withColumn("_at", F.explode(places))
+    above, below = F.when(F.col("_at") >= F.col("r"), F.col("_up")), F.when(F.col("_at") > F.col("r"), F.col("_after")).otherwise(F.col("_down"))
+    best = F.when(above.isNull() | (below["r"] - F.col("_at") < F.col("_at") - above["r"]), below).otherwise(above)  # the smaller row where both are as near
+    marked = every.select(F.col("_at").alias("r"), "c", (F.col("_at") == F.col("r")).alias("_real"), best.alias("_s")).select("r", "c", "_real", "_s.r", "_s.v").toDF("r", "c", "_real", "_row", "_best")
 
     def work(frames):
         for pdf in whole_rows(frames, ["r"]):
-            r, c, v = pdf["r"].to_numpy(float), pdf["c"].to_numpy(float), pdf[value].to_numpy(float)
-            above, below = pdf[["_r0", "_v0"]].to_numpy(float), pdf[["_r1", "_v1"]].to_numpy(float)
-            cuts = row_starts(pdf, ["r"])
-            out = [filled(r[a], c[a:b], v[a:b], above[a:b], below[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pdf[["r", "c"]].assign(**{value: np.concatenate(out)})
+            r, c, row, best, real = (pdf[k].to_numpy(t) for k, t in (("r", float), ("c", float), ("_row", float), ("_best", float), ("_real", bool)))
+            out, cuts = [], row_starts(pdf, ["r"])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                owner = nearest_sources(c[a:b], np.abs(r[a:b] - row[a:b]), row[a:b])
+                out.append(np.where(owner < 0, np.nan, best[a:b][owner]))
+            yield pdf[["r", "c"]].assign(**{value: np.concatenate(out)})[real]
 
-    marked = cells.select("r", "c", F.col(value).cast("double").alias(value), *near)
     found = marked.repartition("r").sortWithinPartitions("r", "c").mapInPandas(work, f"r {kinds['r']}, c {kinds['c']}, {value} double")
     return found.withColumn(value, F.when(~F.isnan(value), F.col(value)))
 

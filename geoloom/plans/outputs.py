@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import composites as M
+from ..operators import raster as R
 from ..operators import spatial
 from . import networks
 from .derive import GRID, derived, with_tables
@@ -115,6 +116,34 @@ def g2_rasterize_lines(spark, sf_dir):
     return M.rasterize_lines(segments, 1)
 
 
+_WIDE = with_tables("boxes") + """, s AS (SELECT id % 300 AS ax, id % 170 AS ay, id % 300 + id % 37 AS bx, id % 170 + id % 23 AS by_, id % 4 + 0.5::DOUBLE AS reach FROM boxes),
+t AS (SELECT *, CASE WHEN bx = ax AND by_ = ay THEN 0 ELSE greatest(0, least(1, ((c - ax) * (bx - ax) + (r - ay) * (by_ - ay))::DOUBLE / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) END AS t FROM s, range(0, 180) r(r), range(0, 320) c(c) WHERE r BETWEEN ay - 4 AND by_ + 4 AND c BETWEEN ax - 4 AND bx + 4) """
+
+
+@query(_WIDE + "SELECT DISTINCT r, c FROM t WHERE sqrt(pow(c - ax - t * (bx - ax), 2) + pow(r - ay - t * (by_ - ay), 2)) <= reach")
+def g2_strokes_by_width(spark, sf_dir):
+    """Strokes of one, three, five and seven cells, cut to a grid of 180 by 320."""
+    k, real = col("id"), lambda c: c.cast("double")
+    segments = derived(spark, sf_dir, "boxes").select(real(k % 300).alias("ax"), real(k % 170).alias("ay"), real(k % 300 + k % 37).alias("bx"), real(k % 170 + k % 23).alias("by"), (k % 4).cast("int").alias("half"))
+    return M.rasterize_lines(segments, col("half"), 180, 320)
+
+
+_SEA = """WITH RECURSIVE z AS (SELECT CAST((p_partkey - p_partkey % 64) / 64 AS BIGINT) AS r, CAST(p_partkey % 64 AS BIGINT) AS c, p_size / 66.0::DOUBLE AS z FROM part),
+low AS (SELECT r, c FROM z WHERE z <= 0.5), h AS (SELECT max(r) AS h FROM z), coast AS (SELECT DISTINCT CAST(s_suppkey % 5 AS BIGINT) AS r, CAST(20 + s_suppkey % 3 AS BIGINT) AS c FROM supplier),
+border AS (SELECT r, c, EXISTS (SELECT 1 FROM coast k WHERE abs(k.r - low.r) + abs(k.c - low.c) <= 8) AS near FROM low, h WHERE r IN (0, h) OR c IN (0, 63)),
+sea AS (SELECT r, c FROM border WHERE near OR NOT (SELECT bool_or(near) FROM border)
+  UNION SELECT low.r, low.c FROM sea, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(i, j), low WHERE low.r = sea.r + i AND low.c = sea.c + j)
+SELECT r, c FROM sea"""
+
+
+@query(_SEA)
+def g13_sea(spark, sf_dir):
+    """Low cells that the coast's low border cells reach; heights by part size."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("CAST((p_partkey - p_partkey % 64) / 64 AS BIGINT) AS r", "CAST(p_partkey % 64 AS BIGINT) AS c", "p_size / 66D AS z")
+    coast = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("CAST(s_suppkey % 5 AS BIGINT) AS r", "CAST(20 + s_suppkey % 3 AS BIGINT) AS c").distinct()
+    return R.sea_cells(parts, coast, _height(parts), 64, near=8)
+
+
 def _height(dem):
     return dem.agg(F.max("r") + 1).first()[0]
 
@@ -134,6 +163,16 @@ def g16_flatten_roads(spark, sf_dir):
     return M.flatten_roads(dem, _roads(dem), _height(dem), GRID).withColumn("z", F.round("z", 3))
 
 
+@query()
+def g15_carve_features(spark, sf_dir):
+    """Beds of lakes and wetlands from boxes and of rivers and the sea from lines, of every supplier, in the grid of the orders."""
+    dem, k = derived(spark, sf_dir, "dem").select("r", "c", "z"), col("id")
+    boxes = derived(spark, sf_dir, "boxes")
+    lines = boxes.select("water_type", *[(e % n).cast("double").alias(c) for c, e, n in (("ax", k * 7, GRID), ("ay", k * 11, 400), ("bx", k * 7 + k % 13, GRID), ("by", k * 11 + k % 17, 400))])
+    areas = boxes.select("id", F.when(k % 9 == 0, "water").alias("natural"), "water_type")
+    return M.carve_features(dem, areas, _box_edges(spark, sf_dir), lines, 2.0, _height(dem), GRID).withColumn("z", F.round("z", 3))
+
+
 @query()
 def g15_carve_all(spark, sf_dir):
     dem = derived(spark, sf_dir, "dem").select("r", "c", "z")

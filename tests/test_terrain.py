@@ -10,7 +10,7 @@ from geoloom.operators import terrain as T
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 #: Queries without SQL whose operators no other test holds against plain loops.
-NO_SQL = ["a9_run_summary", "c12_projected", "c13_projected_envelope", "e16_cleanup_stats", "g15_carve_all", "g16_flatten_roads", "g20_preview", "m5_skip_reasons"]
+NO_SQL = ["a9_run_summary", "c12_projected", "c13_projected_envelope", "e16_cleanup_stats", "g15_carve_all", "g15_carve_features", "g16_flatten_roads", "g20_preview", "m5_skip_reasons"]
 
 
 @pytest.fixture(scope="module")
