@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from ..functions import lookups as L
 from ..operators import features as E
 from ..operators import lines as N
-from ..operators import naming, spatial
+from ..operators import attribution, naming, spatial
 from ..streaming import stateful as K
 from ..streaming import timers
-from .derive import derived, with_tables
+from .derive import derived, pick, with_tables
 from .rules import box_ring
 
 QUERIES, SQL = {}, {}
@@ -511,6 +511,22 @@ def e14_sources_used(spark, sf_dir):
     return derived(spark, sf_dir, "requests").groupBy("key").agg(F.concat_ws(",", F.array_sort(F.collect_set("action"))).alias("sources"))
 
 
+#: Providers as jobs state them, by supplier and part of a line; some name two sources, some none.
+_PROVIDERS = (
+    "openstreetmap (Overpass)", "Lantmäteriet STAC Höjd", "Sentinel-2 cloudless by EOX", "OpenTopography COP30", "AWS terrain tiles", "ALOS AW3D30",
+    "Kartverket N50", "maa-amet", "NLS Finland 2 m", "Dataforsyningen", "GUGiK NMT", "none", "Marktäcke and Hydrografi", None, "",
+)
+_PROVIDER = pick("(l_suppkey + l_linenumber)", *_PROVIDERS)
+_LINES = ", ".join(f"({i}, '{source}', '{n}')" for i, (source, _, needles) in enumerate(attribution.LICENCES) for n in (needles or ("",)))
+
+
+@query(f"SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS job, CAST(place AS INTEGER) AS place, source FROM (SELECT l_orderkey, {_PROVIDER} AS provider FROM lineitem) JOIN (VALUES {_LINES}) v(place, source, needle) ON needle = '' OR contains(lower(provider), lower(needle))")
+def e14_attribution(spark, sf_dir):
+    """Licence lines of every order's providers."""
+    used = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("CAST(l_orderkey AS BIGINT) AS job", f"{_PROVIDER} AS provider")
+    return attribution.attribution(used).select("job", "place", "source")
+
+
 @query("SELECT id, kind FROM (SELECT c_custkey AS id, 'national' AS kind FROM customer UNION ALL SELECT s_suppkey, 'cover' FROM supplier UNION ALL SELECT n_nationkey, 'cover' FROM nation)")
 def i1_concat_features(spark, sf_dir):
     return _concat_features(spark, sf_dir)

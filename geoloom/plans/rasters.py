@@ -206,8 +206,8 @@ def e9_meaningful(spark, sf_dir):
 
 @query(_DEM + "SELECT r % 10 AS region, round(quantile_cont(z, 0.1), 4) AS level FROM dem WHERE water GROUP BY 1")
 def e10_region_levels(spark, sf_dir):
-    dem = derived(spark, sf_dir, "dem").where("water")
-    return dem.groupBy((col("r") % 10).alias("region")).agg(F.round(F.percentile("z", F.lit(0.1)), 4).alias("level"))
+    own = derived(spark, sf_dir, "dem").where("water").select((col("r") % 10).alias("region"), "z")
+    return R.region_levels(own).select("region", F.round("level", 4).alias("level"))
 
 
 @query(
