@@ -25,6 +25,12 @@ def along(axis: str, by: Keys = ()):
     return Window.partitionBy(*by, "r" if axis == "c" else "c").orderBy(axis)
 
 
+def both_ways(column: str, by: Keys = ()):
+    """Windows down and up a column. A frame that grows takes time linear in the column; one that ends at its end is run anew for each row."""
+    keys = Window.partitionBy(*by, column)
+    return keys.orderBy("r"), keys.orderBy(F.desc("r"))
+
+
 def neighbour(value: str, axis: str, step: int, by: Keys = ()) -> Column:
     """The value ``step`` cells along an axis, null where that cell is missing."""
     return F.first(value).over(along(axis, by).rangeBetween(step, step))
@@ -115,9 +121,7 @@ def distance_transform(grid: DataFrame, by: Keys = ()) -> DataFrame:
     unbounded; tasks stream whole rows. Without background the distance is null.
     """
     back = F.when(~F.col("mask"), F.col("r"))
-    window = Window.partitionBy(*by, "c").orderBy("r")
-    above = F.last(back, True).over(window.rowsBetween(Window.unboundedPreceding, 0))
-    below = F.first(back, True).over(window.rowsBetween(0, Window.unboundedFollowing))
+    above, below = (F.last(back, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for w in both_ways("c", by))
     gap = F.least(F.col("r") - above, below - F.col("r")).cast("double")
 
     def row(c, f):
@@ -323,14 +327,14 @@ def fill_nodata(cells: DataFrame, value: str = "z") -> DataFrame:
     have no cell; along rows the lower envelope of the nearer ones tells the best: tasks stream
     whole rows, each in time linear in its width. A grid without valid cells stays empty.
     """
-    window = Window.partitionBy("c").orderBy("r")
-    up, down, after = window.rowsBetween(Window.unboundedPreceding, 0), window.rowsBetween(0, Window.unboundedFollowing), window.rowsBetween(1, Window.unboundedFollowing)
+    window, back = both_ways("c")
+    up, (down, after) = window.rowsBetween(Window.unboundedPreceding, 0), (back.rowsBetween(Window.unboundedPreceding, k) for k in (0, -1))
     own = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
     kinds = dict(cells.dtypes)
     span = cells.agg(F.min("r").alias("_top"), F.max("r").alias("_bottom"))  # one row
     source = F.when(F.col(value).isNotNull(), F.struct(F.col("r").cast("double").alias("r"), F.col(value).alias("v")))
     seen = cells.select("r", "c", own.alias(value)).select(
-        "r", "c", F.last(source, True).over(up).alias("_up"), F.first(source, True).over(down).alias("_down"), F.first(source, True).over(after).alias("_after"),
+        "r", "c", F.last(source, True).over(up).alias("_up"), F.last(source, True).over(down).alias("_down"), F.last(source, True).over(after).alias("_after"),
         F.lag("r").over(window).alias("_before"), F.lead("r").over(window).alias("_next"),
     )
     places = F.sequence(F.when(F.col("_before").isNull(), F.col("_top")).otherwise(F.col("r")), F.coalesce(F.col("_next") - 1, F.col("_bottom")))

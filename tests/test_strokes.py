@@ -151,3 +151,14 @@ def test_a_wide_row_is_filled_in_linear_time():
     order = np.where(tied, row[None, :] * 10_000 + c[None, :], np.inf)
     assert (owner == order.argmin(axis=1)).all()
     assert (R.nearest_sources(c, np.full(4096, np.nan), row) == -1).all()
+
+
+def test_long_columns_take_linear_time(spark):
+    """A column of 60 000 cells: a frame that is run anew for each row would take minutes."""
+    n = 60_000
+    cells = spark.range(n).selectExpr("id AS r", "0L AS c", "CASE WHEN id IN (0, 59999) THEN CAST(id AS DOUBLE) END AS z")
+    start = time.monotonic()
+    far = R.distance_transform(cells.selectExpr("r", "c", "z IS NULL AS mask")).agg({"distance": "max"}).first()[0]
+    filled = {tuple(r) for r in R.fill_nodata(cells).groupBy("z").count().collect()}
+    assert far == (n - 1) // 2 and filled == {(0.0, n // 2), (59999.0, n // 2)}
+    assert time.monotonic() - start < 30
