@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.geometry import LON_M, dist_equirect, point_segment, turn_angle
@@ -11,6 +15,10 @@ from .components import components
 from .staging import drop_stages, stage
 
 
+#: Lines of up to so many vertices are simplified whole in a task, longer ones by rounds over all tasks.
+LONG = 20_000
+
+
 def order():
     return Window.partitionBy("line_id").orderBy("seq")
 
@@ -91,6 +99,137 @@ def _along(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Colum
     return F.when(size == 0, 0.0).otherwise(F.least(F.greatest((ux * dx + uy * dy) / size, F.lit(0.0)), F.lit(1.0)))
 
 
+def _whole_lines(batches):
+    """Arrow tables of whole lines from sorted batches (``_i``: place in its line) that may part one: the last line waits for the next batch."""
+    held = []
+    for batch in batches:
+        starts = np.flatnonzero(batch["_i"].to_numpy() == 1)
+        if len(starts):
+            done = [b for b in (*held, batch.slice(0, starts[-1])) if b.num_rows]
+            if done:
+                yield pa.Table.from_batches(done).combine_chunks()
+            held = [batch.slice(starts[-1])]
+        elif batch.num_rows:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+class _Laid:
+    """Lines laid end to end as arrays: values with their nulls, the lines' first places and sizes."""
+
+    def __init__(self, table: pa.Table):
+        self.size = table.num_rows
+        self.starts = np.flatnonzero(table["_i"].to_numpy() == 1)
+        self.counts = np.diff(np.append(self.starts, self.size))
+        self.line = np.repeat(np.arange(len(self.starts)), self.counts)
+        names = [n for n in ("x", "y", "z") if n in table.column_names]
+        self.void = {n: pc.is_null(table[n]).to_numpy() for n in names}
+        self.gone = self.void["x"] | self.void["y"]
+        self.value = {n: pc.fill_null(table[n].cast("double"), 0.0).to_numpy() for n in names}
+
+    def split(self, lines: np.ndarray, far, closed: bool = False) -> np.ndarray:
+        """The places that Douglas-Peucker keeps of the chosen lines (true by line), level by level for all at once.
+
+        ``far(a, b, p, line)`` tells how far vertices are from their segments, in tolerances. A closed line ends in its first vertex.
+        """
+        at = np.flatnonzero(lines[self.line])
+        last = np.cumsum(self.counts[lines])
+        first = last - self.counts[lines]
+        if closed:
+            first, last, at = first + np.arange(len(first)), last + 1 + np.arange(len(last)), np.insert(at, last, at[first])
+        kept = np.zeros(len(at), bool)
+        kept[first], kept[last - 1] = True, True
+        todo = np.flatnonzero(~kept)
+        with np.errstate(all="ignore"):
+            while len(todo):
+                ends = np.flatnonzero(kept)
+                after = np.searchsorted(ends, todo)
+                a, b, p = at[ends[after - 1]], at[ends[after]], at[todo]
+                d = np.round(far(a, b, p, self.line[p]), 9)
+                d = np.where(np.isnan(d), np.inf, d)
+                cuts = np.flatnonzero(np.append(True, after[1:] != after[:-1]))
+                segment = np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, len(p))))
+                top = np.maximum.reduceat(d, cuts)
+                best = np.flatnonzero(d == top[segment])
+                best = best[np.unique(segment[best], return_index=True)[1]]  # the first of the farthest
+                kept[todo[best[top > 1]]] = True
+                todo = todo[(top > 1)[segment]]
+                todo = todo[~kept[todo]]
+        if closed:
+            kept[last - 1] = False
+        out = np.zeros(self.size, bool)
+        out[at[kept]] = True
+        return out
+
+    def sideways(self, a, b, p):
+        """Distance of p from the segment between a and b (-1 where a place is null) and the share of the way at its foot (then as SQL's least and greatest tell)."""
+        x, y = self.value["x"], self.value["y"]
+        dx, dy, ux, uy = x[b] - x[a], y[b] - y[a], x[p] - x[a], y[p] - y[a]
+        size = dx * dx + dy * dy
+        t = np.where(size == 0, 0.0, np.maximum(0.0, np.minimum(1.0, (ux * dx + uy * dy) / size)))
+        gone = self.gone[a] | self.gone[b]
+        t = np.where(gone | self.gone[p] & (size != 0), 1.0, t)
+        return np.where(gone | self.gone[p], -1.0, np.sqrt((ux - t * dx) ** 2 + (uy - t * dy) ** 2)), t
+
+    def offset(self, a, b, p):
+        """The same in degrees, as metres from the line through a and b (to a, where they coincide)."""
+        x, y = self.value["x"], self.value["y"]
+        shrink = np.cos(np.radians(y[a]))
+        scale = LON_M * shrink
+        dx, dy, ux, uy = (x[b] - x[a]) * scale, (y[b] - y[a]) * LON_M, (x[p] - x[a]) * scale, (y[p] - y[a]) * LON_M
+        size = np.sqrt(dx * dx + dy * dy)
+        away = np.where(size == 0, np.sqrt(ux * ux + uy * uy), np.abs(dx * uy - dy * ux) / size)
+        dx, dy, ux, uy = (x[b] - x[a]) * shrink, y[b] - y[a], (x[p] - x[a]) * shrink, y[p] - y[a]
+        size = dx * dx + dy * dy
+        gone = self.gone[a] | self.gone[b] | self.gone[p]
+        return np.where(gone, -1.0, away), np.where((size == 0) | gone, 0.0, np.minimum(np.maximum((ux * dx + uy * dy) / size, 0.0), 1.0))
+
+    def above(self, a, b, p, t):
+        """Height of p off the segment at ``t``; -1 where one has no height."""
+        z = self.value["z"]
+        return np.where(self.void["z"][a] | self.void["z"][b] | self.void["z"][p], -1.0, np.abs(z[p] - z[a] - t * (z[b] - z[a])))
+
+
+def _by_line(points: DataFrame, names: list[str], fit, rounds) -> DataFrame:
+    """``points`` simplified: ``fit`` tells which vertices of whole lines in a task stay, ``rounds`` does the lines of over LONG vertices.
+
+    One shuffle by line; tasks stream their lines. Written to the shared folder.
+    """
+    count = F.count("*").over(Window.partitionBy("line_id"))
+    rows = points.select(*names, count.alias("_n")).withColumn("_i", F.row_number().over(order()))
+    long, fields = LONG, rows.select(*names).schema.fields
+
+    def marked(table, open_):
+        return table.select(names).append_column("_open", pa.array(np.full(table.num_rows, open_)))
+
+    def work(batches):
+        apart = []
+
+        def short():
+            for batch in batches:
+                over = pc.greater(batch["_n"], long)
+                if pc.any(over).as_py():
+                    apart.append(batch.filter(over))
+                    batch = batch.filter(pc.invert(over))
+                yield batch
+
+        for table in _whole_lines(short()):
+            yield from marked(table.filter(pa.array(fit(_Laid(table)))), False).to_batches()
+            while apart:
+                yield from marked(pa.Table.from_batches([apart.pop()]), True).to_batches()
+        while apart:
+            yield from marked(pa.Table.from_batches([apart.pop()]), True).to_batches()
+
+    out, path = stage(rows.mapInArrow(work, StructType([*fields, StructField("_open", BooleanType())])), "lines")
+    rest = out.where("_open").drop("_open")
+    if rest.isEmpty():
+        return out.drop("_open")
+    full, _ = stage(out.where("NOT _open").drop("_open").unionByName(rounds(rest)), "lines")
+    drop_stages(points.sparkSession, path)
+    return full
+
+
 def _split_rounds(points: DataFrame, names: list[str], far) -> DataFrame:
     """Douglas-Peucker, level by level: every open segment of every line splits at its farthest vertex at once.
 
@@ -107,11 +246,11 @@ def _split_rounds(points: DataFrame, names: list[str], far) -> DataFrame:
         if now == kept:
             return rows.where("keep").drop("_i", "keep")
         kept = now
-        ahead = order().rowsBetween(Window.unboundedPreceding, 0)
-        behind = order().rowsBetween(0, Window.unboundedFollowing)
+        whole = Window.partitionBy("line_id")
+        ahead, behind = (whole.orderBy(i).rowsBetween(Window.unboundedPreceding, 0) for i in (F.col("_i"), F.desc("_i")))
         ends = {n: F.when(F.col("keep"), F.col(n)) for n in ("_i", *names[2:])}
         a = {n: F.last(e, True).over(ahead) for n, e in ends.items()}
-        b = {n: F.first(e, True).over(behind) for n, e in ends.items()}
+        b = {n: F.last(e, True).over(behind) for n, e in ends.items()}
         seen = rows.select("*", a["_i"].alias("_seg"), F.round(far(a, b), 9).alias("_d"))
         segment = Window.partitionBy("line_id", "_seg")
         pick = F.first("_i").over(segment.orderBy(F.col("keep"), F.desc("_d"), "_i"))
@@ -129,12 +268,19 @@ def simplify(points: DataFrame, tolerance: float, rise: float | None = None) ->
     """
     names = ["line_id", "seq", "x", "y", *(["z"] if rise else [])]
 
+    def fit(laid: _Laid):
+        def far(a, b, p, line):
+            away, t = laid.offset(a, b, p)
+            return np.maximum(away / tolerance, laid.above(a, b, p, t) / rise) if rise else away / tolerance
+
+        return laid.split(np.ones(len(laid.starts), bool), far)
+
     def far(a, b):
         place = (a["x"], a["y"], b["x"], b["y"], F.col("x"), F.col("y"))
         sideways = _offset(*place) / tolerance
         return F.greatest(sideways, F.abs(F.col("z") - a["z"] - (b["z"] - a["z"]) * _along(*place)) / rise) if rise else sideways
 
-    return _split_rounds(points, names, far)
+    return _by_line(points, names, fit, lambda rest: _split_rounds(rest, names, far))
 
 
 def _local_far(rise: Column | None):
@@ -164,6 +310,34 @@ def simplify_schedule(points: DataFrame, most: int, closed: bool = False, rising
     keep more points take the larger ones of ``rising`` in turn, and at last every n-th
     point (lines keep their end as well). Rings of under four points stay as they are.
     """
+    least = 3 if closed else 2
+
+    def fit(laid: _Laid):
+        span = []
+        for c in "xy":
+            low, high = (f.reduceat(np.where(laid.void[c], -k, laid.value[c]), laid.starts) for f, k in ((np.minimum, -np.inf), (np.maximum, np.inf)))
+            span.append(high - low)
+        base = np.maximum(1.0, np.fmin(5.0, 0.005 * np.sqrt(span[0] ** 2 + span[1] ** 2)))
+        todo = laid.counts > least
+        out = ~todo[laid.line]
+        for step in (None, *rising):
+            now, tol = (todo, base) if step is None else (todo & (base < step), np.full(len(base), step))
+            if not now.any():
+                continue
+            kept = laid.split(now, lambda a, b, p, line: laid.sideways(a, b, p)[0] / tol[line], closed)  # noqa: B023
+            n = np.add.reduceat(kept.astype(int), laid.starts)
+            good = now & (n >= least) & (n <= most)
+            out |= kept & good[laid.line]
+            todo = todo & ~good
+        i, step = np.arange(laid.size) - laid.starts[laid.line], -(-laid.counts // most)[laid.line]
+        thin = (i % step == 0) & (i // step < most) | (i == laid.counts[laid.line] - 1) & (not closed)
+        return out | thin & todo[laid.line]
+
+    return _by_line(points, ["line_id", "seq", "x", "y"], fit, lambda rest: _schedule_rounds(rest, most, closed, rising))
+
+
+def _schedule_rounds(points: DataFrame, most: int, closed: bool, rising: tuple[float, ...]) -> DataFrame:
+    """``simplify_schedule`` by rounds over all tasks."""
     spark, names, least = points.sparkSession, ["line_id", "seq", "x", "y"], 3 if closed else 2
     size = Window.partitionBy("line_id")
     wide, high = (F.max(c).over(size) - F.min(c).over(size) for c in ("x", "y"))
@@ -196,6 +370,27 @@ def simplify_schedule(points: DataFrame, most: int, closed: bool = False, rising
 
 def simplify_roads(points: DataFrame, most: int = 200, across: float = 1.0, rise: float = 0.25) -> DataFrame:
     """Roads in metres (with z) simplified on sideways and height error together; tolerances double, up to 32 times, while over ``most`` points."""
+
+    def fit(laid: _Laid):
+        todo, out = np.ones(len(laid.starts), bool), np.zeros(laid.size, bool)
+        for scale in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0):
+            def far(a, b, p, line):
+                away, t = laid.sideways(a, b, p)
+                return np.maximum(away / (across * scale), laid.above(a, b, p, t) / (rise * scale))  # noqa: B023
+
+            kept = laid.split(todo, far)
+            good = todo & ((np.add.reduceat(kept.astype(int), laid.starts) <= most) | (scale == 32.0))
+            out |= kept & good[laid.line]
+            todo = todo & ~good
+            if not todo.any():
+                break
+        return out
+
+    return _by_line(points, ["line_id", "seq", "x", "y", "z"], fit, lambda rest: _road_rounds(rest, most, across, rise))
+
+
+def _road_rounds(points: DataFrame, most: int, across: float, rise: float) -> DataFrame:
+    """``simplify_roads`` by rounds over all tasks."""
     spark, names = points.sparkSession, ["line_id", "seq", "x", "y", "z"]
     todo, done, paths = points.select(*names), None, []
     for scale in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0):
