@@ -208,3 +208,7 @@ def test_scheduled_simplification(spark):
             if len(slim) <= 6:
                 break
         assert got[i] == slim
+
+
+def test_every_event_has_its_level(spark):
+    assert rules.j8_log_levels(spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
