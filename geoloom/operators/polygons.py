@@ -185,10 +185,18 @@ def _directed(edges: DataFrame) -> DataFrame:
     return rows.select("pid", turn("ax", "bx").alias("ax"), turn("ay", "by").alias("ay"), turn("bx", "ax").alias("bx"), turn("by", "ay").alias("by"))
 
 
+def _copies(edges: DataFrame) -> DataFrame:
+    """Each polygon (pid) with the smallest id (first) of those that have the same edges; sets of edges are told apart by their number and 128 bits of sums."""
+    one = [F.xxhash64(F.lit(k), "ax", "ay", "bx", "by").cast("decimal(38,0)") for k in (1, 2)]
+    marks = edges.groupBy("pid").agg(F.count("*").alias("n"), *[F.sum(h).alias(f"s{k}") for k, h in enumerate(one)])
+    least = marks.groupBy("n", "s0", "s1").agg(F.min("pid").alias("first"))
+    return marks.join(least, ["n", "s0", "s1"]).select("pid", "first")
+
+
 def dissolve(polygons: DataFrame, edges: DataFrame, size: float, sliver: float, scale: float = 1.0, digits: int = 9) -> tuple[DataFrame, DataFrame]:
     """Overlapping and touching polygons (id, name, area) become one feature, with the outline of their union.
 
-    ``edges``: the polygons' outer rings (pid: the id). Edges are cut where they meet others
+    ``edges``: the polygons' outer rings (pid: the id). One polygon stands for its exact copies. Edges are cut where they meet others
     of their group; pieces inside another member go, pieces on a common border stay once
     or cancel out; the rest is the outline, whose pieces chain into rings. Parts below
     ``sliver`` (in units of area times ``scale``) go. Returns the features (group, members,
@@ -196,10 +204,13 @@ def dissolve(polygons: DataFrame, edges: DataFrame, size: float, sliver: float,
     clockwise). A feature's name is that of the named, then largest, then first member.
     """
     spark = polygons.sparkSession
-    turned, turned_path = stage(_directed(edges), "turned")
+    every, every_path = stage(_directed(edges), "directed")
+    copies, copies_path = stage(_copies(every), "copies")
+    turned, turned_path = stage(every.join(copies.where("pid = first").select("pid"), "pid", "left_semi"), "turned")
     touching = intersecting(turned, turned, size).where("id > pid")
     groups = components(touching.select(F.col("id").alias("a"), F.col("pid").alias("b")))
-    grouped, group_path = stage(polygons.join(groups, polygons["id"] == groups["node"], "left").select("id", "name", "area", F.coalesce("component", "id").alias("group")), "groups")
+    known = polygons.join(copies.withColumnRenamed("pid", "id"), "id", "left")
+    grouped, group_path = stage(known.join(groups, known["first"] == groups["node"], "left").select("id", "name", "area", F.coalesce("component", "first", "id").alias("group")), "groups")
     own = ["pid", "ax", "ay", "bx", "by"]
     # cut: at crossings with other members, and at ends of others that lie on the edge
     met = crossing(turned, turned, size).where("a_pid <> b_pid")
@@ -247,5 +258,5 @@ def dissolve(polygons: DataFrame, edges: DataFrame, size: float, sliver: float,
     best = F.max_by("name", F.struct((F.trim(F.coalesce("name", F.lit(""))) != "").alias("named"), F.round("area", 9).alias("area"), (-F.col("id")).alias("first")))
     features = grouped.groupBy("group").agg(F.count("*").alias("members"), best.alias("name")).join(sizes, "group").where(F.col("area") * scale >= sliver)
     features, _ = stage(features, "features")
-    drop_stages(spark, turned_path, group_path, merged_path, rim_path, linked_path, ring_path, path)
+    drop_stages(spark, every_path, copies_path, turned_path, group_path, merged_path, rim_path, linked_path, ring_path, path)
     return features, outline.join(features.select("group"), "group", "left_semi").select("group", "ring", "seq", "x", "y", "area")

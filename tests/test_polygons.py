@@ -171,3 +171,13 @@ def test_cell_lookup(spark):
     assert {r.id: r.hit for r in P.cell_lookup(points, mask, (0.0, 0.0, 1.0, 1.0), 4, 4).collect()} == {1: True, 2: False, 3: True, 4: False}
     lines = spark.createDataFrame([(7, k, float(k), 0.0) for k in range(5)] + [(8, k, float(k), 1.0) for k in range(2)] + [(9, 0, 0.0, 0.0)], "line_id long, seq long, x double, y double")
     assert sorted(map(tuple, P.middle_vertices(lines).collect())) == [(7, 2.0, 0.0), (8, 1.0, 1.0)]
+
+
+def test_copies_meet_as_one(spark):
+    """Of 300 copies each of two touching squares only one each is joined with the other."""
+    rows = [(i, "n" if i == 7 else None, 1.0, float(i % 2)) for i in range(600)]
+    squares = spark.createDataFrame(rows, "id long, name string, area double, x double")
+    edges = P.polygon_edges(squares.selectExpr("id AS pid", "array(array(struct(x, 0D AS y), struct(x + 1 AS x, 0D AS y), struct(x + 1 AS x, 1D AS y), struct(x, 1D AS y), struct(x, 0D AS y))) AS rings"))
+    first = P._copies(edges).select("first").distinct().count()
+    features, outline = P.dissolve(squares.select("id", "name", "area"), edges, 2.0, 0.5)
+    assert first == 2 and [tuple(r) for r in features.collect()] == [(0, 600, "n", 2.0)] and outline.count() == 6
