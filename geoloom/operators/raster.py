@@ -203,18 +203,58 @@ def resample(cells: DataFrame, height: int, width: int, new_height: int, new_wid
     return near.join(source, ["_r", "_c"]).groupBy("r", "c").agg((F.sum(F.col(value) * F.col("_w")) / F.sum("_w")).alias(value))
 
 
-def label_regions(mask: DataFrame) -> DataFrame:
-    """4-connected regions of mask cells: r, c, region (the smallest run number).
+def tile_labels(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """For each of some cells the index of the first cell, by row and column, of its 4-connected region among them."""
+    wide = int(c.max()) - int(c.min()) + 2
+    keys, at, copy = np.unique((r - r.min()) * wide + (c - c.min()), return_index=True, return_inverse=True)
+    r, c, place = r[at], c[at], np.arange(len(keys))
+    beside = np.flatnonzero((np.diff(c) == 1) & (np.diff(r) == 0))
+    under = np.minimum(np.searchsorted(keys, keys + wide), len(keys) - 1)
+    down = np.flatnonzero(keys[under] == keys + wide)
+    # a run's cells start at its first cell, so links join runs
+    head = np.ones(len(keys), bool)
+    head[beside + 1] = False
+    label = np.maximum.accumulate(np.where(head, place, 0))
+    a, b = label[down], label[under[down]]
+    while True:
+        p, q = label[a], label[b]
+        if (p == q).all():
+            break
+        low, high = np.minimum(p, q), np.maximum(p, q)
+        np.minimum.at(label, high, low)
+        while True:
+            jumped = label[label]
+            if (jumped == label).all():
+                break
+            label = jumped
+    return at[label][copy]
+
+
+def label_regions(mask: DataFrame, tile: int = 256) -> DataFrame:
+    """4-connected regions of mask cells: r, c, region (the smallest run number, that of the region's first cell).
 
-    Cells of a row first form runs; runs of adjacent rows link where a column holds both;
-    so the graph has runs for nodes, not cells.
+    Each square tile of the grid labels its own cells; only cells along the tiles' borders
+    link labels, so the graph that the rounds rewrite has a few nodes for each tile, however
+    long and winding a region is. Cells without a place are in no region.
     """
-    gap = F.when(F.lag("c").over(along("c")) == F.col("c") - 1, F.lit(None)).otherwise(F.col("c"))
-    runs = mask.select("r", "c", F.last(gap, True).over(along("c").rowsBetween(Window.unboundedPreceding, 0)).alias("_first"))
-    runs = runs.select("r", "c", (F.col("r").cast("long") * F.lit(1 << 31) + F.col("_first")).alias("run"))
-    lower = runs.select((F.col("r") - 1).alias("r"), "c", F.col("run").alias("b"))
-    found = components(runs.join(lower, ["r", "c"]).select(F.col("run").alias("a"), "b").distinct())
-    return runs.join(found, runs["run"] == found["node"], "left").select("r", "c", F.coalesce("component", "run").alias("region"))
+    kinds = dict(mask.dtypes)
+    placed = mask.where("r IS NOT NULL AND c IS NOT NULL").select("r", "c")
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = pdf["r"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64)
+        first = tile_labels(r, c)
+        return pdf[["r", "c"]].assign(node=r[first] * (1 << 31) + c[first])
+
+    keyed = placed.withColumn("_y", F.floor(F.col("r") / tile)).withColumn("_x", F.floor(F.col("c") / tile))
+    cells = written(keyed.groupBy("_y", "_x").applyInPandas(work, f"r {kinds['r']}, c {kinds['c']}, node long"), "tiles")
+    links = None
+    for axis in ("r", "c"):
+        last = cells.where(F.pmod(F.col(axis), F.lit(tile)) == tile - 1).select("r", "c", F.col("node").alias("a"))
+        first = cells.where(F.pmod(F.col(axis), F.lit(tile)) == 0).withColumn(axis, F.col(axis) - 1).select("r", "c", F.col("node").alias("b"))
+        met = last.join(first, ["r", "c"]).select("a", "b")
+        links = met if links is None else links.unionByName(met)
+    found = components(links.distinct()).withColumnRenamed("node", "_node")
+    return cells.join(found, cells["node"] == found["_node"], "left").select("r", "c", F.coalesce("component", "node").alias("region"))
 
 
 def flood_from(seeds: DataFrame, mask: DataFrame) -> DataFrame:

@@ -109,3 +109,35 @@ def test_queries_without_sql_run_whole(spark, name):
     df = __spark_entry__.queries()[name](spark, SF)
     rows = df.collect()
     assert rows and len(set(df.columns)) == len(df.columns)
+
+
+def test_region_labels_across_tiles(spark):
+    """Labels by tiles are those of a flood fill, for winding regions, negative places and copies of cells."""
+    import random
+
+    from geoloom.operators import raster as R
+
+    rnd = random.Random(3)
+    cells = {(r, c) for r in range(-9, 30) for c in range(-5, 40) if rnd.random() < 0.6} | {(r, 50) for r in range(60)}
+    want = {}
+    for start in sorted(cells):
+        todo = [start] if start not in want else []
+        while todo:
+            r, c = todo.pop()
+            if (r, c) in cells and (r, c) not in want:
+                want[r, c] = start[0] * (1 << 31) + start[1]
+                todo += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
+    rows = spark.createDataFrame([*cells, (50, 50)], "r long, c long")
+    got = R.label_regions(rows, 8).collect()
+    assert len(got) == len(cells) + 1 and {(x.r, x.c): x.region for x in got} == want
+    assert R.label_regions(rows.limit(0)).count() == 0
+
+
+def test_regions_link_by_tiles(spark, monkeypatch):
+    """A long region's graph has a node for each tile, not one for each row."""
+    from geoloom.operators import raster as R
+
+    sizes = []
+    monkeypatch.setattr(R, "components", lambda links, real=R.components: sizes.append(links.count()) or real(links))
+    column = spark.range(2000).selectExpr("id AS r", "7L AS c")
+    assert R.label_regions(column).select("region").distinct().count() == 1 and sizes == [7]
