@@ -102,3 +102,46 @@ def test_snapping_equals_a_plain_search(spark):
                     moves += 1
             assert [got[(i, k)][:2] for k in range(len(pts))] == new
         assert moves == sum(v[2] for v in got.values()) and moves > 3
+
+
+def test_near_lines_walk_in_tasks(spark, monkeypatch):
+    """A chain of near numbers takes no round of the links, and few of the walks, however long it is; batches that part it change nothing."""
+    from geoloom.operators import components as K
+    from geoloom.operators import topology as T
+
+    ids = [*range(400), *range(1000, 1003)]
+    points = spark.createDataFrame([(i, s, 0.001 * (i + s), 0.0) for i in ids for s in (0, 1)], "line_id long, seq long, x double, y double")
+    kinds = points.select("line_id").distinct().selectExpr("line_id", "'track' AS highway")
+    rounds, written = [], []
+    monkeypatch.setattr(K, "_rounds", lambda links, real=K._rounds: rounds.append(links.count()) or real(links))
+    monkeypatch.setattr(T, "stage", lambda df, name, real=T.stage: written.append(name) or real(df, name))
+    monkeypatch.setattr(T, "MOST_POINTS", 1000)
+    for parts in ("1", "4"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        _, roads = T.stitch_lines(points, kinds, ("highway",))
+        assert {(r.line_id, tuple(r.ids)) for r in roads.collect()} == {(0, tuple(range(400))), (1000, (1000, 1001, 1002))}
+        assert (rounds == []) == (parts == "1") and written.count("walks") <= 5
+        written.clear()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_links_settled_in_tasks(spark):
+    import random
+
+    from geoloom.operators import components as K
+
+    rnd = random.Random(5)
+    links = [(i, i + 1) for i in range(0, 300) if i % 50] + [(rnd.randrange(300), rnd.randrange(300)) for _ in range(5)] + [(1000, x) for x in range(1001, 1100)]
+    root = {x: x for link in links for x in link}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    got = K.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()
+    assert len(got) == len(linked) and {r.node: r.component for r in got} == {x: find(x) for x in linked}
