@@ -55,3 +55,14 @@ def test_levels_and_loggers(spark):
     assert one(spark, ["DEBUG", "Info", "WARNING", "critical", None], "string", S.log_level) == ["info", "info", "warning", "error", "info"]
     names = ["main", "mainly", "services", "services.x", "servicesx", "middleware.y", "uvicorn", ""]
     assert one(spark, names, "string", S.app_logger) == [True, True, True, True, False, True, False, False]
+
+
+def test_folding_takes_time_linear_in_the_text(spark):
+    """No character of a long text meets the list of all long characters one by one."""
+    import time
+
+    spark.range(1).select(S.folded(F.lit("é"))).collect()
+    text = spark.range(1).select(F.repeat(F.lit("Vägen är låg. "), 150_000).alias("v"))
+    start = time.time()
+    assert text.select(F.md5(S.folded(F.col("v"))) == F.md5(F.repeat(F.lit("Vagen ar lag. "), 150_000))).first()[0]
+    assert time.time() - start < 8
