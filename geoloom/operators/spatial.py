@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import dist_equirect, point_segment
+from .staging import drop_stages, stage
+
+#: Rounds of segments near points: parts told apart by hash, segments of the first round, growth of the rounds.
+PARTS, FIRST, GROWTH = 1 << 20, 4000, 16
+#: Narrow cells in a side of a wide one; cells that are broadcast at most.
+FAN, FEW_CELLS = 8, 500_000
 
 
 def cell(x: Column, size: float) -> Column:
@@ -51,18 +57,58 @@ def largest_overlap(overlaps: DataFrame) -> DataFrame:
     )
 
 
+def stroke_cells(strokes: DataFrame, size: float, name: str, inside: str | None = None) -> DataFrame:
+    """A row for each cell (``name`` x and y) that a stroke (ax, ay, bx, by, _reach) may touch: its rows of cells, in each the columns that its part there reaches.
+
+    ``inside`` names cells FAN times as wide; then only their own cells come.
+    """
+    ax, ay, bx, by, reach = (F.col(c) for c in ("ax", "ay", "bx", "by", "_reach"))
+    x, y, wide = f"{name}x", f"{name}y", reach + 1e-6
+    ends = [cell(F.least(ay, by) - wide, size), cell(F.greatest(ay, by) + wide, size)]
+    if inside:
+        ends = [F.greatest(ends[0], F.col(f"{inside}y") * FAN), F.least(ends[1], F.col(f"{inside}y") * FAN + FAN - 1)]
+    rows = strokes.withColumn("_a", ends[0]).withColumn("_b", ends[1]).where("_a <= _b").withColumn(y, F.explode(F.sequence("_a", "_b")))
+    rise = F.nullif(by - ay, F.lit(0.0))
+    p, q = ((F.col(y) + k) * size + sign * wide for k, sign in ((0, -1), (1, 1)))
+    t = [F.coalesce((v - ay) / rise, F.lit(d)) for v, d in ((p, 0.0), (q, 1.0))]
+    across = [ax + F.least(F.greatest(f(*t), F.lit(0.0)), F.lit(1.0)) * (bx - ax) for f in (F.least, F.greatest)]
+    ends = [cell(F.least(*across) - wide, size), cell(F.greatest(*across) + wide, size)]
+    if inside:
+        ends = [F.greatest(ends[0], F.col(f"{inside}x") * FAN), F.least(ends[1], F.col(f"{inside}x") * FAN + FAN - 1)]
+    return rows.withColumn("_a", ends[0]).withColumn("_b", ends[1]).where("_a <= _b").withColumn(x, F.explode(F.sequence("_a", "_b"))).drop("_a", "_b")
+
+
 def drop_near_lines(points: DataFrame, segments: DataFrame, reach: str, size: float) -> DataFrame:
-    """Points (id, x, y) farther than a segment's ``reach`` from every segment (ax, ay, bx, by)."""
-    spread = segments.select(
-        "ax", "ay", "bx", "by", F.col(reach).alias("_reach"),
-        (F.least("ax", "bx") - F.col(reach)).alias("xmin"), (F.least("ay", "by") - F.col(reach)).alias("ymin"),
-        (F.greatest("ax", "bx") + F.col(reach)).alias("xmax"), (F.greatest("ay", "by") + F.col(reach)).alias("ymax"),
-    )
-    cells = box_cells(spread, size)
-    keyed = points.select("id", "x", "y", cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
-    d = point_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    near = keyed.join(cells, ["cx", "cy"]).where(d <= F.col("_reach")).select("id").distinct()
-    return points.join(near, "id", "left_anti")
+    """Points (id, x, y) farther than a segment's ``reach`` from every segment (ax, ay, bx, by).
+
+    Segments come in rounds, in the order of a hash, FIRST at first and then ever more, all in
+    the end: most points that lie near some segment go by the first few, so their pairs with all
+    others never meet. Strokes go to the cells of ``size`` where points are left and there
+    to cells FAN times as narrow, which an equi-join pairs.
+    """
+    spark, fine = points.sparkSession, size / FAN
+    part = F.pmod(F.xxhash64("ax", "ay", "bx", "by", "_reach"), F.lit(PARTS))
+    strokes, path = stage(segments.select("ax", "ay", "bx", "by", F.col(reach).alias("_reach")).withColumn("_part", part), "strokes")
+    n = strokes.count()
+    left, left_path = stage(points, "left")
+    low, high = -1, max(1, PARTS * FIRST // max(n, 1))
+    while low < PARTS - 1:
+        high = min(high, PARTS - 1)
+        keyed = left.select("id", "x", "y", cell(F.col("x"), fine).alias("fx"), cell(F.col("y"), fine).alias("fy")).where("fx IS NOT NULL AND fy IS NOT NULL")
+        narrow, narrow_path = stage(keyed.select("fx", "fy").distinct(), "cells")
+        few = narrow.count() <= FEW_CELLS
+        near = lambda cells: F.broadcast(cells) if few else cells  # noqa: B023, E731
+        broad = narrow.select(F.floor(F.col("fx") / FAN).alias("cx"), F.floor(F.col("fy") / FAN).alias("cy")).distinct()
+        now = strokes.where((F.col("_part") > low) & (F.col("_part") <= high)).drop("_part")
+        now = stroke_cells(now, size, "c").join(near(broad), ["cx", "cy"], "left_semi")
+        now = stroke_cells(now, fine, "f", "c").join(near(narrow), ["fx", "fy"], "left_semi")
+        d = point_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+        hit = now.join(keyed, ["fx", "fy"]).where(d <= F.col("_reach")).select("id").distinct()
+        after, new = stage(left.join(hit, "id", "left_anti").select(*points.columns), "left")
+        drop_stages(spark, left_path, narrow_path)
+        left, left_path, low, high = after, new, high, (high + 1) * GROWTH
+    drop_stages(spark, path)
+    return left
 
 
 def snap_ends(ends: DataFrame, vertices: DataFrame, reach: float = 12.0) -> DataFrame:
