@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import written
+
+#: Lines that one number marks.
+BITS = 62
 # Source, licence line and the texts that tell it (in any case); a source without texts is always named.
 LICENCES = (
     ("OpenStreetMap", "© OpenStreetMap contributors, licensed under the Open Database License (ODbL)", ("OpenStreetMap",)),
@@ -48,19 +52,22 @@ def attribution(used: DataFrame, licences: tuple = LICENCES) -> DataFrame:
     """One row per licence line of a job: job, place (its number in the table), source, licence.
 
     ``used`` has the jobs' providers (job, provider). Each distinct provider meets the table
-    once, however many jobs name it. Lines come once for a job, whatever names them; those
+    once, however many jobs name it; a job gathers a bit for each line, so one aggregation of
+    fixed width finds its lines. Lines come once for a job, whatever names them; those
     without texts come for every job, also one with a null provider.
     """
     spark = used.sparkSession
     table = [(i, source, licence) for i, (source, licence, _) in enumerate(licences)]
     lines = spark.createDataFrame(table, "place int, source string, licence string")
-    told = [(i, n) for i, (*_, needles) in enumerate(licences) for n in needles]
-    needles = spark.createDataFrame(told, "place int, needle string")
-    always = F.array(*[F.lit(i) for i, (*_, texts) in enumerate(licences) if not texts]).cast("array<int>")
-    pairs = used.select("job", "provider").distinct()
-    names = contained(pairs.select(F.col("provider").alias("text")), needles).join(F.broadcast(needles), "needle")
-    by_name = names.groupBy("text").agg(F.collect_set("place").alias("_places"))  # no more than the table's lines
-    found = pairs.join(by_name, pairs["provider"] == by_name["text"], "left")
-    places = F.array_union(F.coalesce("_places", F.array().cast("array<int>")), always)
-    rows = found.select("job", F.explode(places).alias("place")).distinct()
+    told = [(i // BITS, 1 << i % BITS, n) for i, (*_, needles) in enumerate(licences) for n in needles]
+    needles = spark.createDataFrame(told, "word int, bit long, needle string")
+    words = range(len(licences) // BITS + 1)
+    names = contained(used.select(F.col("provider").alias("text")), needles).join(F.broadcast(needles), "needle")
+    marks = [F.bit_or(F.when(F.col("word") == w, F.col("bit"))).alias(f"_m{w}") for w in words]
+    by_name = written(names.groupBy("text").agg(*marks), "licences")
+    found = used.select("job", "provider").join(by_name, F.col("provider") == F.col("text"), "left")
+    by_job = found.groupBy("job").agg(*[F.bit_or(f"_m{w}").alias(f"_m{w}") for w in words])
+    has = lambda i: F.col(f"_m{i // BITS}").bitwiseAND(F.lit(1 << i % BITS)) != 0
+    places = F.array(*[F.when(has(i), F.lit(i)) if texts else F.lit(i) for i, (*_, texts) in enumerate(licences)])
+    rows = by_job.select("job", F.explode(F.array_compact(places)).alias("place"))
     return rows.join(F.broadcast(lines), "place").select("job", "place", "source", "licence")

@@ -26,3 +26,13 @@ def test_lines_of_jobs(spark):
     }
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted([*v, "Natural Earth"]) for k, v in want.items()}
     assert A.attribution(rows.limit(0)).isEmpty()
+
+
+def test_a_job_gathers_bits_not_providers(spark):
+    """One aggregation by job of fixed width; tables of more lines than a number has bits too."""
+    licences = tuple((f"s{i}", f"l{i}", (f"<{i}>",) if i % 50 else ()) for i in range(130))
+    used = spark.createDataFrame([(1, "<3> <61> <62>"), (1, "<129><3>"), (2, None), (3, "<63>")], "job long, provider string")
+    out = A.attribution(used, licences)
+    assert sorted((r.job, r.place) for r in out.collect()) == sorted([(j, k) for j in (1, 2, 3) for k in (0, 50, 100)] + [(1, k) for k in (3, 61, 62, 129)] + [(3, 63)])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(job" in plan and not [x for x in plan.splitlines() if "hashpartitioning(job" in x and "," in x.split("hashpartitioning(")[1].split(", 4)")[0]]
