@@ -73,7 +73,8 @@ def gaussian(cells: DataFrame, sigma: float, height: int, width: int, value: str
     """Separable Gaussian with radius int(4 sigma + 0.5) and mirrored borders.
 
     Each pass sends a cell's weighted value to the cells in reach and sums there; borders
-    send from their mirrored places too. Two passes of 2 radius + 1, never a square.
+    send from their mirrored places too. Two passes of 2 radius + 1, never a square; cells are
+    shuffled once a pass by their line, what they send is summed in place.
     """
     radius = int(4 * sigma + 0.5)
     weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
@@ -82,7 +83,7 @@ def gaussian(cells: DataFrame, sigma: float, height: int, width: int, value: str
     def one_pass(df: DataFrame, axis: str, size: int) -> DataFrame:
         other = "c" if axis == "r" else "r"
         place = F.explode(F.array(F.col(axis), -1 - F.col(axis), 2 * size - 1 - F.col(axis)))
-        sent = df.select(*by, other, value, place.alias("_p")).where(F.col("_p").between(-radius, size - 1 + radius))
+        sent = df.repartition(*by, other).select(*by, other, value, place.alias("_p")).where(F.col("_p").between(-radius, size - 1 + radius))
         low, high = F.greatest(F.col("_p") - radius, F.lit(0)), F.least(F.col("_p") + radius, F.lit(size - 1))
         got = sent.where(low <= high).withColumn(axis, F.explode(F.sequence(low, high)))
         share = F.col(value) * F.get(table, (F.col(axis) - F.col("_p") + radius).cast("int"))

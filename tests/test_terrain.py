@@ -141,3 +141,12 @@ def test_regions_link_by_tiles(spark, monkeypatch):
     monkeypatch.setattr(R, "components", lambda links, real=R.components: sizes.append(links.count()) or real(links))
     column = spark.range(2000).selectExpr("id AS r", "7L AS c")
     assert R.label_regions(column).select("region").distinct().count() == 1 and sizes == [7]
+
+
+def test_smoothing_sends_cells_once_a_pass(spark):
+    """What a cell sends along its line is summed where the line is: no shuffle of the sent values."""
+    from geoloom.operators import raster as R
+
+    cells = spark.range(400).selectExpr("id div 20 AS r", "id % 20 AS c", "id % 7 + 0D AS z")
+    plan = R.gaussian(cells, 1.0, 20, 20)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Exchange") == 2
