@@ -92,6 +92,79 @@ def gaussian(cells: DataFrame, sigma: float, height: int, width: int, value: str
     return one_pass(one_pass(cells, "r", height), "c", width).select(*by, "r", "c", value)
 
 
+def by_tiles(cells: DataFrame, reach: int, work, schema: str, tile: int = 256) -> DataFrame:
+    """``work(pdf, rows, cols)`` on square tiles of the grid; a tile gets its own cells and all within ``reach`` steps of it.
+
+    ``rows`` and ``cols`` are the numbers of the tile's window, with the ``reach`` around it. One shuffle; cells near a border go to both tiles.
+    """
+    tile = max(tile, 2 * reach)
+
+    def tiles(axis: str) -> Column:
+        return F.explode(F.sequence(*[F.floor((F.col(axis) + k) / tile) for k in (-reach, reach)]))
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return work(pdf, *[np.arange(k * tile - reach, (k + 1) * tile + reach) for k in key])
+
+    return cells.withColumn("_ty", tiles("r")).withColumn("_tx", tiles("c")).groupBy("_ty", "_tx").applyInPandas(one, schema)
+
+
+def shifted(plane: np.ndarray, dy: int, dx: int) -> np.ndarray:
+    """At each place the value ``dy`` rows and ``dx`` columns on; 0 beyond the window."""
+    out = np.zeros_like(plane)
+    h, w = plane.shape
+    out[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)] = plane[max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)]
+    return out
+
+
+def window_slope(z: np.ndarray, cell_m: float) -> np.ndarray:
+    """``slope`` of a window's heights (NaN: none)."""
+    known, high = ~np.isnan(z), np.nan_to_num(z)
+
+    def gradient(dy: int, dx: int) -> np.ndarray:
+        (b, has_b), (a, has_a) = ((shifted(high, k * dy, k * dx), shifted(known, k * dy, k * dx)) for k in (-1, 1))
+        return np.select([has_a & has_b, has_a & known, has_b & known], [(a - b) / (2 * cell_m), (a - high) / cell_m, (high - b) / cell_m], 0.0)
+
+    return np.degrees(np.arctan(np.hypot(gradient(0, 1), gradient(1, 0))))
+
+
+def window_gaussian(plane: np.ndarray, rows: np.ndarray, cols: np.ndarray, sigma: float, height: int, width: int) -> np.ndarray:
+    """``gaussian`` of a window (0: no cell), right for places int(4 sigma + 0.5) and more steps inside it."""
+    radius = int(4 * sigma + 0.5)
+    weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    for axis, at, size in ((0, rows, height), (1, cols, width)):
+        mirrored = np.where(at < 0, -1 - at, np.where(at >= size, 2 * size - 1 - at, at))
+        held = (mirrored >= 0) & (mirrored < size) & (mirrored >= at[0]) & (mirrored <= at[-1])
+        lines = np.moveaxis(plane, axis, 0)
+        full = np.where(held[:, None], lines[np.where(held, mirrored - at[0], 0)], 0.0)
+        done = np.zeros_like(full)
+        inner = len(at) - 2 * radius
+        for k, w in enumerate(weights / weights.sum()):
+            done[radius : radius + inner] += w * full[k : k + inner]
+        plane = np.moveaxis(done, 0, axis)
+    return plane
+
+
+def window_edge(mask: np.ndarray, real: np.ndarray, t: int) -> np.ndarray:
+    """``soft_edge`` of a mask by its ``distance_transform``, right for places ``t`` and more steps inside the window.
+
+    Only other cells nearer than ``t`` count, since from there on the edge is 1.
+    """
+    out = mask.astype(float)
+    if mask.any():
+        back = real & ~mask
+        near = [(math.sqrt(y * y + x * x) / t, y, x) for y in range(-t, t + 1) for x in range(-t, t + 1) if 0 < y * y + x * x < t * t]
+        for share, y, x in sorted(near, reverse=True):
+            out[shifted(back, y, x) & mask] = share
+    return out
+
+
+def window_dilate(mask: np.ndarray, n: int) -> np.ndarray:
+    """``dilate`` of a window, right for places ``n`` and more steps inside it."""
+    for _ in range(n):
+        mask = mask | shifted(mask, 0, 1) | shifted(mask, 0, -1) | shifted(mask, 1, 0) | shifted(mask, -1, 0)
+    return mask
+
+
 def row_starts(pdf: pd.DataFrame, keys: list[str]) -> list[int]:
     """Where the rows of a sorted frame begin, and its end."""
     values = pdf[keys]

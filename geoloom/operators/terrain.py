@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -161,45 +163,52 @@ def surface_assignments(roads: DataFrame, forests: DataFrame, lakes: DataFrame,
     return every.where("ground IS NOT NULL")
 
 
-def surface_weights(cells: DataFrame, masks: DataFrame, cell_m: float, line: float, height: int, width: int) -> DataFrame:
+def surface_weights(cells: DataFrame, masks: DataFrame, cell_m: float, line: float, height: int, width: int, tile: int = 256) -> DataFrame:
     """Weights of the ten surfaces (r, c): every mask (surface, r, c) gets a soft edge by its distance transform.
 
     Rock is slope or height above the treeline, smoothed; forest floors stop at the
     treeline; sand and water's edge are rings around the mask ``water``, as wide as the
-    shore's transition; grass takes what is left.
+    shore's transition; grass takes what is left. All of this reaches a bounded number of cells far, so
+    each tile of the grid settles its own cells from those in reach; a NaN height counts as none.
     """
     sigma = max(1.0, 2.0 * (cell_m / 2.0))
     edge, shore = max(3, int(20.0 / cell_m)), max(2, int(10.0 / cell_m))
-    high = cells.select("r", "c", R.above_treeline(F.col("z"), F.lit(line)).alias("_high"))
-    steep = R.slope(cells, cell_m).join(high, ["r", "c"]).select("r", "c", F.greatest(R.slope_ramp(F.col("slope")), F.col("_high")).alias("rock"))
-    out = R.gaussian(steep, sigma, height, width, "rock").join(high, ["r", "c"])
-    mask = lambda *names: masks.where(F.col("surface").isin(*names)).select("r", "c").distinct()
-    water = mask("water")
-    near, far = R.dilate(water, shore, height, width), R.dilate(water, 2 * shore, height, width)
-    rings = {"sand": near.join(water, ["r", "c"], "left_anti"), "water_edge": far.join(near, ["r", "c"], "left_anti")}
-    # surface: (mask, cells of transition, factor, whether it ends at the treeline)
+    # surface: (cells of transition, factor, whether it ends at the treeline)
     recipes = {
-        "forest_floor": (mask("forest_floor").join(mask("pine_floor"), ["r", "c"], "left_anti"), edge, 1.0, True), "pine_floor": (mask("pine_floor"), edge, 1.0, True),
-        "asphalt": (mask("asphalt"), 2, 1.0, False), "gravel": (mask("gravel"), 2, 0.8, False), "crop": (mask("crop"), 8, 0.7, False), "dirt": (mask("dirt"), 2, 1.0, False),
-        "sand": (rings["sand"], shore, 1.0, False), "water_edge": (rings["water_edge"], shore, 0.7, False),
+        "forest_floor": (edge, 1.0, True), "pine_floor": (edge, 1.0, True), "asphalt": (2, 1.0, False), "gravel": (2, 0.8, False),
+        "crop": (8, 0.7, False), "dirt": (2, 1.0, False), "sand": (shore, 1.0, False), "water_edge": (shore, 0.7, False),
     }
-    # all masks go through one distance transform, apart by name
-    every = None
-    for name, (own, *_) in recipes.items():
-        rows = own.select(F.lit(name).alias("surface"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.lit(True).alias("on"))
-        every = rows if every is None else every.unionByName(rows)
-    names = F.explode(F.array(*[F.lit(n) for n in recipes])).alias("surface")
-    grid = cells.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), names).join(every, ["surface", "r", "c"], "left").withColumn("mask", F.coalesce("on", F.lit(False))).drop("on")
-    soft = R.distance_transform(grid.select("surface", "r", "c", "mask"), ("surface",))
-    weight = F.lit(0.0)
-    for name, (_, t, factor, _) in recipes.items():
-        weight = F.when(F.col("surface") == name, R.soft_edge(F.col("distance"), t, F.col("mask")) * factor).otherwise(weight)
-    got = soft.withColumn("_w", weight).groupBy("r", "c").agg(*[F.max(F.when(F.col("surface") == n, F.col("_w"))).alias(n) for n in recipes])
-    wide = out.join(got, ["r", "c"]).join(water.withColumn("water", F.lit(True)), ["r", "c"], "left").withColumn("water", F.coalesce("water", F.lit(False)))
-    for name, (*_, ends) in recipes.items():
-        if ends:
-            wide = wide.withColumn(name, F.col(name) * (1 - F.col("_high")))
-    return R.normalize_weights(wide.drop("_high"), ["rock", *recipes])
+    reach = max(int(4 * sigma + 0.5) + 1, *(t for t, *_ in recipes.values()), 3 * shore)
+    given = ["water", *[s for s in recipes if s not in ("sand", "water_edge")]]
+    bit = looked_up(F.col("surface"), {s: 1 << k for k, s in enumerate(given)})
+    r, c = (F.col(k).cast("long").alias(k) for k in "rc")
+    own = cells.where(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1))
+    own = own.select(r, c, F.col("z").cast("double").alias("z"), R.above_treeline(F.col("z"), F.lit(line)).alias("high"), F.lit(-1).alias("bits"))
+    marks = masks.where(F.col("surface").isin(*given) & F.col("r").isNotNull() & F.col("c").isNotNull()).groupBy(r, c).agg(F.bit_or(bit.cast("int")).alias("bits"))
+    marks = marks.select("r", "c", F.lit(None).cast("double").alias("z"), F.lit(None).cast("double").alias("high"), "bits")
+
+    def work(pdf, rows, cols):
+        y, x, bits = pdf["r"].to_numpy() - rows[0], pdf["c"].to_numpy() - cols[0], pdf["bits"].to_numpy()
+        cell = bits < 0
+        y, x, yy, xx = y[cell], x[cell], y[~cell], x[~cell]
+        shape = len(rows), len(cols)
+        z, high, real, marked = np.full(shape, np.nan), np.zeros(shape), np.zeros(shape, bool), np.zeros(shape, int)
+        z[y, x], high[y, x], real[y, x], marked[yy, xx] = pdf["z"].to_numpy()[cell], pdf["high"].to_numpy()[cell], True, bits[~cell]
+        ramp = np.clip((R.window_slope(z, cell_m) - 25.0) / 15.0, 0.0, 1.0)
+        rock = R.window_gaussian(np.where(real, np.maximum(ramp, high), 0.0), rows, cols, sigma, height, width)
+        on = {s: marked & (1 << k) > 0 for k, s in enumerate(given)}
+        on["forest_floor"] &= ~on["pine_floor"]
+        near, far = R.window_dilate(on["water"], shore), R.window_dilate(on["water"], 2 * shore)
+        on["sand"], on["water_edge"] = near & ~on["water"], far & ~near
+        mine = (y >= reach) & (y < shape[0] - reach) & (x >= reach) & (x < shape[1] - reach)
+        y, x = y[mine], x[mine]
+        out = {"r": rows[y], "c": cols[x], "rock": rock[y, x], "water": on["water"][y, x]}
+        for name, (t, factor, ends) in recipes.items():
+            out[name] = R.window_edge(on[name], real, t)[y, x] * factor * (1 - high[y, x] if ends else 1.0)
+        return pd.DataFrame(out)
+
+    schema = ", ".join(["r long, c long, rock double, water boolean", *(f"{s} double" for s in recipes)])
+    return R.normalize_weights(R.by_tiles(own.unionByName(marks), reach, work, schema, tile), ["rock", *recipes])
 
 
 def height_map(source: DataFrame, size: tuple[int, int], roads: DataFrame, water: DataFrame, cell_m: float, height: int, width: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import spatial
 from ..operators import terrain as T
+from ..operators.staging import written
 from . import networks, rules
 from .derive import GRID, derived
 from .rules import box_ring
@@ -109,7 +110,7 @@ def m6_surface_assignments(spark, sf_dir):
 
 @query
 def g19_ten_surfaces(spark, sf_dir):
-    dem = derived(spark, sf_dir, "dem").select("r", "c", "z")
+    dem = written(derived(spark, sf_dir, "dem").select("r", "c", "z"), "dem")
     masks = derived(spark, sf_dir, "masks").where("weight > 128 AND surface NOT IN ('sand', 'water_edge', 'rock', 'grass')").select("surface", "r", "c")
     water = dem.where("r % 29 < 6 AND c % 31 < 7").select(lit("water").alias("surface"), "r", "c")
     height = dem.agg(F.max("r") + 1).first()[0] or 1

@@ -104,6 +104,42 @@ def test_ten_surfaces(spark):
     assert got[(10, 6)].sand > 0 and got[(10, 8)].water_edge > 0 and got[(10, 6)].water_edge == 0.0 and got[(10, 15)].sand == 0.0 and got[(3, 22)].rock > 0.5 > got[(3, 5)].rock
 
 
+def test_ten_surfaces_by_tiles(spark):
+    """Tiles give what the whole-grid operators give, across tile borders, holes in the grid and masks outside it; cells are not multiplied by surfaces."""
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    from geoloom.operators import raster as R
+
+    rnd, n, m = random.Random(5), 150, 100
+    grid = [(r, c, rnd.uniform(0, 30) if rnd.random() < 0.9 else None) for r in range(n) for c in range(m) if rnd.random() < 0.95]
+    cells = spark.createDataFrame(grid, "r long, c long, z double")
+    rows = [(s, r, c) for k, s in enumerate(("crop", "water")) for r in range(-2, n + 2) for c in range(m) if (r // 20 + c // 20) % 4 == k]
+    masks = spark.createDataFrame(rows + rows[:50] + [("water", 70, -1), ("none", 1, 1), ("crop", None, 2)], "surface string, r long, c long")
+    df = T.surface_weights(cells, masks, 5.0, 20.0, n, m, tile=32)
+    assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {(r.r, r.c): r for r in df.collect()}
+    assert len(got) == len(grid)
+    steep = R.slope(cells, 5.0).join(cells, ["r", "c"]).select("r", "c", F.greatest(R.slope_ramp(F.col("slope")), R.above_treeline(F.col("z"), F.lit(20.0))).alias("rock"))
+    rock = {(r.r, r.c): r.rock for r in R.gaussian(steep, 5.0, n, m, "rock").collect()}
+    real = {k[:2] for k in grid}
+    water = {(r, c) for s, r, c in rows if s == "water"} | {(70, -1)}
+    near, far = ({(r + d, c + e) for r, c in water for d in range(-k, k + 1) for e in range(abs(d) - k, k - abs(d) + 1)} for k in (2, 4))
+    want = {}
+    for s, mask, t, factor in (("crop", {(r, c) for s, r, c in rows if s == "crop"}, 8, 0.7), ("sand", near - water, 2, 1.0), ("water_edge", far - near, 2, 0.7)):
+        steps = [(y, x) for y in range(-t, t + 1) for x in range(-t, t + 1)]
+        back = real - mask
+        away = {k: min([math.hypot(y, x) for y, x in steps if (k[0] + y, k[1] + x) in back] or [t]) for k in real & mask}
+        want[s] = {k: factor * min(away.get(k, 0.0) / t, 1.0) for k in real}
+    for k, r in got.items():
+        every = [rock[k], want["crop"][k], want["sand"][k], want["water_edge"][k]]
+        assert r.water == (k in water)
+        if not r.water:
+            assert [r.rock, r.crop, r.sand, r.water_edge] == pytest.approx([v / max(1.0, sum(every)) for v in every])
+
+
 @pytest.mark.parametrize("name", NO_SQL)
 def test_queries_without_sql_run_whole(spark, name):
     df = __spark_entry__.queries()[name](spark, SF)
