@@ -7,7 +7,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.geometry import LON_M, dist_equirect, point_segment, turn_angle
@@ -191,13 +192,27 @@ class _Laid:
         return np.where(self.void["z"][a] | self.void["z"][b] | self.void["z"][p], -1.0, np.abs(z[p] - z[a] - t * (z[b] - z[a])))
 
 
+def _counted(points: DataFrame, names: list[str]) -> DataFrame:
+    """Vertices in order with ``_i``, the place in the line, and ``_n``, the line's size: counted after the places, so that one sort serves both."""
+    return points.select(*names, F.row_number().over(order()).alias("_i")).withColumn("_n", F.count("*").over(Window.partitionBy("line_id")))
+
+
+def _short(batches, long: int, apart: list):
+    """The batches without lines of over ``long`` vertices, which go to ``apart``."""
+    for batch in batches:
+        over = pc.greater(batch["_n"], long)
+        if pc.any(over).as_py():
+            apart.append(batch.filter(over))
+            batch = batch.filter(pc.invert(over))
+        yield batch
+
+
 def _by_line(points: DataFrame, names: list[str], fit, rounds) -> DataFrame:
     """``points`` simplified: ``fit`` tells which vertices of whole lines in a task stay, ``rounds`` does the lines of over LONG vertices.
 
     One shuffle by line; tasks stream their lines. Written to the shared folder.
     """
-    count = F.count("*").over(Window.partitionBy("line_id"))
-    rows = points.select(*names, count.alias("_n")).withColumn("_i", F.row_number().over(order()))
+    rows = _counted(points, names)
     long, fields = LONG, rows.select(*names).schema.fields
 
     def marked(table, open_):
@@ -205,16 +220,7 @@ def _by_line(points: DataFrame, names: list[str], fit, rounds) -> DataFrame:
 
     def work(batches):
         apart = []
-
-        def short():
-            for batch in batches:
-                over = pc.greater(batch["_n"], long)
-                if pc.any(over).as_py():
-                    apart.append(batch.filter(over))
-                    batch = batch.filter(pc.invert(over))
-                yield batch
-
-        for table in _whole_lines(short()):
+        for table in _whole_lines(_short(batches, long, apart)):
             yield from marked(table.filter(pa.array(fit(_Laid(table)))), False).to_batches()
             while apart:
                 yield from marked(pa.Table.from_batches([apart.pop()]), True).to_batches()
@@ -368,8 +374,8 @@ def _schedule_rounds(points: DataFrame, most: int, closed: bool, rising: tuple[f
     return out
 
 
-def simplify_roads(points: DataFrame, most: int = 200, across: float = 1.0, rise: float = 0.25) -> DataFrame:
-    """Roads in metres (with z) simplified on sideways and height error together; tolerances double, up to 32 times, while over ``most`` points."""
+def _road_fit(most: int, across: float, rise: float):
+    """Which vertices ``simplify_roads`` keeps of whole lines in a task."""
 
     def fit(laid: _Laid):
         todo, out = np.ones(len(laid.starts), bool), np.zeros(laid.size, bool)
@@ -386,7 +392,68 @@ def simplify_roads(points: DataFrame, most: int = 200, across: float = 1.0, rise
                 break
         return out
 
-    return _by_line(points, ["line_id", "seq", "x", "y", "z"], fit, lambda rest: _road_rounds(rest, most, across, rise))
+    return fit
+
+
+def simplify_roads(points: DataFrame, most: int = 200, across: float = 1.0, rise: float = 0.25) -> DataFrame:
+    """Roads in metres (with z) simplified on sideways and height error together; tolerances double, up to 32 times, while over ``most`` points."""
+    return _by_line(points, ["line_id", "seq", "x", "y", "z"], _road_fit(most, across, rise), lambda rest: _road_rounds(rest, most, across, rise))
+
+
+def road_parts(points: DataFrame, most: int = 200, across: float = 1.0, rise: float = 0.25) -> DataFrame:
+    """Roads of two vertices and more, simplified as by ``simplify_roads`` and cut as by ``chunk_line``: line_id, chunk, parts (of the line), vertices (seq, x, y, z).
+
+    Both are done in the task that holds the line: one shuffle and one sort by line. Written to the shared folder.
+    """
+    names, long, fit = ["line_id", "seq", "x", "y", "z"], LONG, _road_fit(most, across, rise)
+    rows = _counted(points, names)
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    vertex = StructType([StructField(n, kinds[n]) for n in names[1:]])
+    schema = StructType([StructField("line_id", kinds["line_id"]), StructField("chunk", IntegerType()), StructField("parts", IntegerType()), StructField("vertices", ArrayType(vertex)), StructField("_open", BooleanType())])
+    laid_out = to_arrow_schema(schema)
+
+    def pieces(table, first, size, chunk, parts, open_):
+        """A row for each run of ``size`` vertices from place ``first`` on; runs may share vertices."""
+        ends = np.cumsum(size)
+        flat = table.take(pa.array(np.repeat(first - ends + size, size) + np.arange(size.sum())))
+        points = pa.StructArray.from_arrays([flat[n].combine_chunks() for n in names[1:]], names=names[1:])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), points)
+        columns = [table["line_id"].take(pa.array(first)), pa.array(chunk), pa.array(parts), lists, pa.array(np.full(len(first), open_))]
+        return pa.table([c.cast(f.type) for c, f in zip(columns, laid_out, strict=True)], schema=laid_out).to_batches()
+
+    def work(batches):
+        apart = []
+
+        def loose():
+            while apart:
+                table = pa.Table.from_batches([apart.pop()])
+                one = np.ones(table.num_rows, int)
+                yield from pieces(table, np.arange(table.num_rows), one, one, one, True)
+
+        for table in _whole_lines(_short(batches, long, apart)):
+            laid = _Laid(table)
+            kept = fit(laid) & (laid.counts > 1)[laid.line]
+            size = np.add.reduceat(kept.astype(int), laid.starts)
+            start, last, n = np.cumsum(size) - size, np.cumsum(size), -(-(size - 1) // (most - 1))
+            n = np.where(size > 0, n, 0)
+            line = np.repeat(np.arange(len(n)), n)
+            chunk = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+            first = start[line] + chunk * (most - 1)
+            if len(first):
+                yield from pieces(table.filter(pa.array(kept)), first, np.minimum(first + most, last[line]) - first, chunk, n[line], False)
+            yield from loose()
+        yield from loose()
+
+    out, path = stage(rows.mapInArrow(work, schema), "parts")
+    rest = out.where("_open")
+    if rest.isEmpty():
+        return out.drop("_open")
+    slim = chunk_line(_road_rounds(rest.select("line_id", F.inline("vertices")), most, across, rise), most)
+    cut = slim.groupBy("line_id", "chunk").agg(F.array_sort(F.collect_list(F.struct(*names[1:]))).alias("vertices"))
+    cut = cut.withColumn("parts", F.count("*").over(Window.partitionBy("line_id")).cast("int"))
+    full, _ = stage(out.where("NOT _open").drop("_open").unionByName(cut), "parts")
+    drop_stages(points.sparkSession, path)
+    return full
 
 
 def _road_rounds(points: DataFrame, most: int, across: float, rise: float) -> DataFrame:

@@ -19,6 +19,7 @@ from . import polygons as P
 from . import raster as R
 from .features import classify_buildings
 from .naming import name_features, shown
+from .staging import written
 
 #: Points of a road part, of a river and of an outline at most.
 ROAD_POINTS, NATURAL_POINTS = 200, 120
@@ -52,18 +53,17 @@ def road_splines(points: DataFrame, roads: DataFrame, terrain: Terrain, most: in
     brought to the terrain, cut to it, simplified on sideways and height error, and cut
     into parts of ``most`` points whose names end in _partN where there are several.
     """
-    inside = N.in_bounds(terrain.local(points.select("line_id", "seq", "x", "y")), 0.0, 0.0, terrain.width, terrain.depth)
-    parts = N.chunk_line(N.simplify_roads(inside, most), most)
-    rows = parts.groupBy("line_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y", "z"))).alias("vertices"))
-    count = F.count("*").over(Window.partitionBy("line_id"))
+    local = terrain.local(points.select("line_id", "seq", "x", "y"))
+    parts = N.road_parts(local.where(F.col("x").between(0.0, terrain.width) & F.col("y").between(0.0, terrain.depth)), most)
     ref = (F.col("ref") if "ref" in roads.columns else F.lit(None).cast("string")).alias("ref")
-    rows = rows.withColumn("_parts", count).join(roads.select(F.col("id").alias("line_id"), "name", ref, "surface", "prefab"), "line_id")
     first = F.get("vertices", 0)
-    start = rows.where("chunk = 0").select(F.col("line_id").alias("id"), F.lit("Road").alias("kind"), shown("Road", F.col("surface")).alias("category"), "name", "ref", first["x"].alias("x"), first["y"].alias("z"))
-    named = name_features(start, terrain.width, terrain.depth).withColumnRenamed("id", "line_id")
-    entity = F.when(F.col("_parts") > 1, F.concat("entity", F.lit("_part"), (F.col("chunk") + 1).cast("string"))).otherwise(F.col("entity"))
+    start = parts.where("chunk = 0").select("line_id", first["x"].alias("x"), first["y"].alias("z"))
+    start = start.join(roads.select(F.col("id").alias("line_id"), "name", ref, "surface", "prefab"), "line_id")
     ground = C.expected_surface(F.lit("Road"), F.col("surface"), F.lit(""))
-    return rows.join(named, "line_id").select("line_id", "chunk", entity.alias("entity"), "prefab", ground.alias("ground"), "vertices")
+    known = written(start.select(F.col("line_id").alias("id"), F.lit("Road").alias("kind"), shown("Road", F.col("surface")).alias("category"), "name", "ref", "x", "z", "prefab", ground.alias("ground")), "roads")
+    named = name_features(known.drop("prefab", "ground"), terrain.width, terrain.depth).join(known.select("id", "prefab", "ground"), "id").withColumnRenamed("id", "line_id")
+    entity = F.when(F.col("parts") > 1, F.concat("entity", F.lit("_part"), (F.col("chunk") + 1).cast("string"))).otherwise(F.col("entity"))
+    return parts.join(named, "line_id").select("line_id", "chunk", entity.alias("entity"), "prefab", "ground", "vertices")
 
 
 def river_lines(points: DataFrame, rivers: DataFrame, terrain: Terrain, most: int = NATURAL_POINTS) -> DataFrame:
@@ -213,7 +213,5 @@ def surface_weights(cells: DataFrame, masks: DataFrame, cell_m: float, line: flo
 
 def height_map(source: DataFrame, size: tuple[int, int], roads: DataFrame, water: DataFrame, cell_m: float, height: int, width: int) -> DataFrame:
     """The height map from an elevation grid of another size: resampled by cubic weights to the terrain's cells, then as ``terrain``."""
-    from .staging import written
-
     cells = written(R.resample(source, *size, height, width, cubic=True), "resampled")
     return M.terrain(cells, roads, water, cell_m, height, width)

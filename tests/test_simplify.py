@@ -34,6 +34,28 @@ def test_tasks_equal_rounds(spark, monkeypatch, form):
     assert got and got == sorted(map(str, FORMS[form](points).collect()))
 
 
+@pytest.mark.parametrize("long", [20_000, 3])
+def test_road_parts_equal_simplified_and_cut_vertices(spark, monkeypatch, long):
+    """Parts made in the tasks, and by rounds for long lines, with one shuffle and no window after them."""
+    monkeypatch.setattr(N, "LONG", long)
+    rng = random.Random(2)
+    more = spark.createDataFrame([(50 + k, i, float(i), rng.uniform(-50, 50), 0.0) for k, n in enumerate((7, 8, 9, 40)) for i in range(n)], "line_id long, seq int, x double, y double, z double")
+    points = some_lines(spark).where("line_id IS NOT NULL").unionByName(more)
+    want = {}
+    for r in N.chunk_line(N.simplify_roads(points, 12), 4).collect():
+        want.setdefault((r.line_id, r.chunk), []).append((r.seq, r.x, r.y, r.z))
+    single = {r.line_id for r in points.groupBy("line_id").count().where("count = 1").collect()}
+    want = {k: sorted(v) for k, v in want.items() if k[0] not in single}
+    fit, rounds = N._road_fit, N._road_rounds
+    monkeypatch.setattr(N, "_road_fit", lambda most, *rest: fit(12, *rest))
+    monkeypatch.setattr(N, "_road_rounds", lambda rows, most, *rest: rounds(rows, 12, *rest))
+    got = N.road_parts(points, 4)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = {(r.line_id, r.chunk): r for r in got.collect()}
+    assert {k: [tuple(v) for v in r.vertices] for k, r in rows.items()} == want
+    assert all(r.parts == sum(k[0] == r.line_id for k in want) for r in rows.values()) and max(r.parts for r in rows.values()) == 4
+
+
 def test_few_jobs_however_deep(spark):
     rng = random.Random(1)
     points = spark.createDataFrame([(k, i, float(i), rng.uniform(-50, 50)) for k in range(3) for i in range(400)], "line_id long, seq int, x double, y double")
