@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.geometry import point_segment
 from .components import components
+from .composites import rasterize_polygons
 from .spatial import box_cells, cell
 from .staging import drop_stages, stage, written
 
@@ -66,13 +67,17 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, codes: DataFrame, si
     return points.join(best, "id", "left")
 
 
-def crossing(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """Pairs of edges (a: left, b: right) that meet or touch, in shared cells: both edges' columns, ``t`` along a and ``u`` along b; null where parallel."""
+def crossing(left: DataFrame, right: DataFrame, size: float, skipped: DataFrame | None = None) -> DataFrame:
+    """Pairs of edges (a: left, b: right) that meet or touch, in shared cells: both edges' columns, ``t`` along a and ``u`` along b; null where parallel.
+
+    Pairs that only meet in the cells ``skipped`` (cx, cy) may be left out.
+    """
 
     def spread(edges: DataFrame, name: str) -> DataFrame:
         rows = edges.select(*[F.col(c).alias(f"{name}_{c}") for c in ("pid", "ax", "ay", "bx", "by")])
         box = rows.select("*", *[f(f"{name}_a{c}", f"{name}_b{c}").alias(n) for f, c, n in ((F.least, "x", "xmin"), (F.least, "y", "ymin"), (F.greatest, "x", "xmax"), (F.greatest, "y", "ymax"))])
-        return box_cells(box, size).drop("xmin", "ymin", "xmax", "ymax")
+        rows = box_cells(box, size).drop("xmin", "ymin", "xmax", "ymax")
+        return rows if skipped is None else rows.join(skipped.select("cx", "cy"), ["cx", "cy"], "left_anti")
 
     met = spread(left, "a").join(spread(right, "b"), ["cx", "cy"]).drop("cx", "cy")
     dx, dy, ex, ey = (F.col(f"{n}_b{c}") - F.col(f"{n}_a{c}") for n, c in (("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")))
@@ -193,12 +198,45 @@ def _copies(edges: DataFrame) -> DataFrame:
     return marks.join(least, ["n", "s0", "s1"]).select("pid", "first")
 
 
+def _meets_cell(size: float) -> Column:
+    """Whether an edge meets the cell (cx, cy), one of those that its box touches."""
+    low, high = [F.lit(0.0)], [F.lit(1.0)]
+    for axis in "xy":
+        start, way = F.col("a" + axis), F.col("b" + axis) - F.col("a" + axis)
+        t = [((F.col("c" + axis) + k) * size - start) / F.nullif(way, F.lit(0.0)) for k in (0, 1)]
+        low.append(F.least(*t))  # null, and passed over, where the edge runs along the other axis
+        high.append(F.greatest(*t))
+    return F.greatest(*low) <= F.least(*high)
+
+
+def _outside(points: DataFrame, covered: DataFrame, size: float) -> DataFrame:
+    """Points (x, y) that are in none of the covered cells."""
+    return points.join(covered.select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy")), (cell(F.col("x"), size) == F.col("_cx")) & (cell(F.col("y"), size) == F.col("_cy")), "left_anti")
+
+
+def _covered(edges: DataFrame, size: float, margin: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Cells that lie inside a polygon, none of whose edges comes within ``margin``: cx, cy, cover (the smallest such pid).
+
+    Also links (a: pid, b: cover) of all polygons that meet such a cell; and the folders of both.
+    """
+    inner, inner_path = stage(rasterize_polygons(edges.withColumnRenamed("pid", "id"), size).select(F.col("id").alias("pid"), F.col("c").alias("cx"), F.col("r").alias("cy")), "inner")
+    ends = [(f(f"a{c}", f"b{c}") + k * margin).alias(n) for f, k, c, n in ((F.least, -1, "x", "xmin"), (F.least, -1, "y", "ymin"), (F.greatest, 1, "x", "xmax"), (F.greatest, 1, "y", "ymax"))]
+    touched = box_cells(edges.select("*", *ends), size)
+    own = inner.join(touched, ["pid", "cx", "cy"], "left_anti")
+    covered, path = stage(own.groupBy("cx", "cy").agg(F.min("pid").alias("cover")), "covered")
+    passing = touched.where(_meets_cell(size)).select("pid", "cx", "cy")
+    links, link_path = stage(inner.select("pid", "cx", "cy").unionByName(passing).join(covered, ["cx", "cy"]).select(F.col("pid").alias("a"), F.col("cover").alias("b")).distinct(), "links")
+    return covered, links, [inner_path, path, link_path]
+
+
 def dissolve(polygons: DataFrame, edges: DataFrame, size: float, sliver: float, scale: float = 1.0, digits: int = 9) -> tuple[DataFrame, DataFrame]:
     """Overlapping and touching polygons (id, name, area) become one feature, with the outline of their union.
 
     ``edges``: the polygons' outer rings (pid: the id). One polygon stands for its exact copies. Edges are cut where they meet others
     of their group; pieces inside another member go, pieces on a common border stay once
-    or cancel out; the rest is the outline, whose pieces chain into rings. Parts below
+    or cancel out; the rest is the outline, whose pieces chain into rings. Nothing in a cell that
+    lies inside one polygon is on an outline: there polygons are linked with that one, and edges meet only
+    in the other cells, so heaps of polygons cost what they show of their rim. Parts below
     ``sliver`` (in units of area times ``scale``) go. Returns the features (group, members,
     name, area: of the union) and the outline pieces (group, ring, seq, x, y; holes run
     clockwise). A feature's name is that of the named, then largest, then first member.
@@ -207,13 +245,16 @@ def dissolve(polygons: DataFrame, edges: DataFrame, size: float, sliver: float,
     every, every_path = stage(_directed(edges), "directed")
     copies, copies_path = stage(_copies(every), "copies")
     turned, turned_path = stage(every.join(copies.where("pid = first").select("pid"), "pid", "left_semi"), "turned")
-    touching = intersecting(turned, turned, size).where("id > pid")
-    groups = components(touching.select(F.col("id").alias("a"), F.col("pid").alias("b")))
+    covered, links, cover_paths = _covered(turned, size, max(size * 1e-6, 2 * 10.0**-digits))
+    met, met_path = stage(crossing(turned, turned, size, covered).where("a_pid <> b_pid"), "met")
+    corners = turned.groupBy("pid").agg(F.min(F.struct("ax", "ay")).alias("p")).select(F.col("pid").alias("id"), F.col("p.ax").alias("x"), F.col("p.ay").alias("y"))
+    held = inside(_outside(corners, covered, size), turned, size)
+    touching = links.unionByName(met.select(F.col("a_pid").alias("a"), F.col("b_pid").alias("b"))).unionByName(held.select(F.col("id").alias("a"), F.col("pid").alias("b")))
+    groups = components(touching.where("a <> b").distinct())
     known = polygons.join(copies.withColumnRenamed("pid", "id"), "id", "left")
     grouped, group_path = stage(known.join(groups, known["first"] == groups["node"], "left").select("id", "name", "area", F.coalesce("component", "first", "id").alias("group")), "groups")
     own = ["pid", "ax", "ay", "bx", "by"]
     # cut: at crossings with other members, and at ends of others that lie on the edge
-    met = crossing(turned, turned, size).where("a_pid <> b_pid")
     dx, dy = F.col("a_bx") - F.col("a_ax"), F.col("a_by") - F.col("a_ay")
     along = lambda n: ((F.col(f"b_{n}x") - F.col("a_ax")) * dx + (F.col(f"b_{n}y") - F.col("a_ay")) * dy) / (dx * dx + dy * dy)
     places = F.when(F.col("t").isNotNull(), F.array("t")).otherwise(F.array(along("a"), along("b")))
@@ -223,6 +264,7 @@ def dissolve(polygons: DataFrame, edges: DataFrame, size: float, sliver: float,
     at = lambda c, t: F.round(F.col("a" + c) + t * (F.col("b" + c) - F.col("a" + c)), digits)
     pieces = stops.withColumn("_u", after).where("_u IS NOT NULL")
     pieces = pieces.select("pid", *[at(c, F.col(t)).alias(n) for t, c, n in (("t", "x", "px"), ("t", "y", "py"), ("_u", "x", "qx"), ("_u", "y", "qy"))]).where("px <> qx OR py <> qy")
+    pieces = _outside(pieces.withColumn("x", (F.col("px") + F.col("qx")) / 2).withColumn("y", (F.col("py") + F.col("qy")) / 2), covered, size).drop("x", "y")
     pieces = pieces.join(grouped.select(F.col("id").alias("pid"), "group"), "pid")
     # common borders: pieces in one direction stay once, pieces in both directions cancel
     p, q = (F.struct(F.col(f"{n}x").alias("x"), F.col(f"{n}y").alias("y")) for n in "pq")
@@ -258,5 +300,5 @@ def dissolve(polygons: DataFrame, edges: DataFrame, size: float, sliver: float,
     best = F.max_by("name", F.struct((F.trim(F.coalesce("name", F.lit(""))) != "").alias("named"), F.round("area", 9).alias("area"), (-F.col("id")).alias("first")))
     features = grouped.groupBy("group").agg(F.count("*").alias("members"), best.alias("name")).join(sizes, "group").where(F.col("area") * scale >= sliver)
     features, _ = stage(features, "features")
-    drop_stages(spark, every_path, copies_path, turned_path, group_path, merged_path, rim_path, linked_path, ring_path, path)
+    drop_stages(spark, *cover_paths, met_path, every_path, copies_path, turned_path, group_path, merged_path, rim_path, linked_path, ring_path, path)
     return features, outline.join(features.select("group"), "group", "left_semi").select("group", "ring", "seq", "x", "y", "area")

@@ -181,3 +181,18 @@ def test_copies_meet_as_one(spark):
     first = P._copies(edges).select("first").distinct().count()
     features, outline = P.dissolve(squares.select("id", "name", "area"), edges, 2.0, 0.5)
     assert first == 2 and [tuple(r) for r in features.collect()] == [(0, 600, "n", 2.0)] and outline.count() == 6
+
+
+def test_heaps_meet_only_where_no_polygon_covers_the_cell(spark):
+    """Edges are paired along the rim of a heap, not inside it; slanted ones too, and a square within a covered cell is still linked."""
+    at = {i: (i * 0.23, i * 7 % 40 * 0.21) for i in range(40)}
+    heap = {i: [[(x, y), (x + 20, y - i * 0.01), (x + 20, y + 20), (x, y + 20), (x, y)]] for i, (x, y) in at.items()}
+    heap |= {50: [[(10.2, 10.2), (10.3, 10.2), (10.3, 10.3), (10.2, 10.3), (10.2, 10.2)]], 51: [[(-0.5, 5), (15, 5.5), (-0.5, 6), (-0.5, 5)]]}
+    rows = edges(spark, heap)
+    covered, links, _ = P._covered(rows, 1.0, 1e-6)
+    assert P.crossing(rows, rows, 1.0, covered).where("a_pid <> b_pid").count() < P.crossing(rows, rows, 1.0).where("a_pid <> b_pid").count() / 2
+    assert {50, 51} <= {r.a for r in links.collect()}
+    features, outline = P.dissolve(spark.createDataFrame([(i, "", 1.0) for i in heap], "id long, name string, area double"), rows, 1.0, 0.001)
+    (feature,) = features.collect()
+    assert feature.members == len(heap) and abs(feature.area - band_area(list(heap.values()), any)) < 1e-6
+    assert abs(outline.where("seq = 1").agg({"area": "sum"}).first()[0] - feature.area) < 1e-6
