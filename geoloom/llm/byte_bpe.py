@@ -2,11 +2,14 @@
 
 Texts are cut into words by the vocabulary's pattern in slices of some thousand rows;
 a slice is one row that holds its distinct words once and each text as numbers of
-words. Spark's higher-order functions encode the distinct words. A literal map of all
-tokens, hashed into buckets so that a lookup reads few entries, names each stretch of
-a word's bytes that is a token; ``aggregate`` folds over these merges in the order of
-their ranks, from the word's single bytes on: each joins its two parts wherever they
-stand side by side, from left to right. Decoding joins the literal pieces of the ids.
+words. Spark's higher-order functions encode the distinct words. Literal maps of the
+tokens, hashed into buckets so that a lookup reads few entries, name each stretch of
+a word's bytes that is a token: an entry for the first bytes at a place gives all short
+tokens there and the lengths that longer ones may have. A slice holds these first bytes
+once and its words' places as their numbers. ``aggregate`` folds over the found
+merges in the order of their ranks, from the word's single bytes on, each piece one
+character: a merge joins its two parts wherever they stand side by side, from left to
+right. Decoding joins the literal pieces of the ids.
 Nothing is shuffled, and a slice bounds the memory, whatever the number of texts.
 
 The fold needs each token to be made from two parts by merges of lower rank alone, as
@@ -24,8 +27,10 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import sys
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +47,13 @@ from .common import file_text
 LONG = 2048
 #: Rows and bytes of text in a slice; a longer text is a slice of its own.
 SLICE_ROWS = 20_000
-SLICE_BYTES = 12 << 20
-#: Buckets of the literal map.
+SLICE_BYTES = 14 << 20
+#: Buckets of a literal map.
 BUCKETS = 1 << 16
+#: Bytes of a place in a word that are looked up at once, and places that are numbered at once.
+HEAD, BLOCK = 4, 1 << 20
+#: The character of rank 0 in the fold; those below 256 are single bytes.
+FIRST = 1 << 16
 
 
 def rank_table(path: str) -> dict[bytes, int]:
@@ -90,34 +99,59 @@ def _read(value: list, kind: str) -> Column:
     return _let(F.lit(json.dumps(value, separators=(",", ":"))), lambda text: F.from_json(text, kind))
 
 
-def _shown(piece: bytes) -> str:
-    """A piece as the fold writes it: hexadecimal digits in brackets, so that no match crosses a boundary."""
-    return f"<{piece.hex().upper()}>"
+def _literal_map(values: dict[bytes, object], kind: str) -> Column:
+    """Values by bytes as a literal map: the low bits of crc32 name the bucket with an entry."""
+    buckets: list[list] = [[] for _ in range(BUCKETS)]
+    for key, value in values.items():
+        buckets[zlib.crc32(key) & (BUCKETS - 1)].append({"k": base64.b64encode(key).decode(), "v": value})
+    return F.transform(_read(buckets, f"array<array<struct<k: binary, v: {kind}>>>"), F.map_from_entries)
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """Numbers by bytes, such as the ranks of tokens, as a literal map: the low bits of crc32 name the bucket with an entry."""
-    buckets: list[list] = [[] for _ in range(BUCKETS)]
-    for token, rank in ranks.items():
-        buckets[zlib.crc32(token) & (BUCKETS - 1)].append({"token": base64.b64encode(token).decode(), "rank": rank})
-    return F.transform(_read(buckets, "array<array<struct<token: binary, rank: int>>>"), F.map_from_entries)
+    """The ranks of tokens longer than ``HEAD`` by their bytes."""
+    return _literal_map({t: r for t, r in ranks.items() if len(t) > HEAD}, "int")
 
 
-def reach(ranks: dict[bytes, int]) -> dict[bytes, int]:
-    """The bytes of the longest token that starts with each three bytes."""
-    longest: dict[bytes, int] = {}
+def heads(ranks: dict[bytes, int]) -> dict[bytes, dict]:
+    """For each two to ``HEAD`` bytes that a token starts with: ``found``, the ranks of tokens these bytes start with
+    (single bytes aside), and ``longer``, the lengths of tokens beyond ``HEAD`` that start with them all, or null."""
+    known: dict[bytes, dict] = {}
     for token in ranks:
-        if len(token) > 2:
-            longest[token[:3]] = max(len(token), longest.get(token[:3], 0))
-    return longest
+        for n in range(2, min(HEAD, len(token)) + 1):
+            head = token[:n]
+            if head not in known:
+                known[head] = {"found": [ranks[head[:k]] for k in range(2, n + 1) if head[:k] in ranks], "longer": set()}
+        if len(token) > HEAD:
+            known[token[:HEAD]]["longer"].add(len(token))
+    return {head: entry | {"longer": sorted(entry["longer"]) or None} for head, entry in known.items()}
+
+
+def head_map(ranks: dict[bytes, int]) -> Column:
+    """``heads`` as a literal map."""
+    return _literal_map(heads(ranks), "struct<found: array<int>, longer: array<int>>")
+
+
+def byte_ranks(ranks: dict[bytes, int]) -> Column:
+    """The ranks of single bytes as a literal array; bytes that are no token are null."""
+    return _literal([ranks.get(bytes([b])) for b in range(256)], "array<int>")
+
 
+def _shown(piece: bytes, ranks: dict[bytes, int]) -> str:
+    """A piece as the fold writes it: one character, so that no match crosses a boundary."""
+    return chr(piece[0] if len(piece) == 1 else FIRST + ranks[piece])
 
-def merge_list(ranks: dict[bytes, int]) -> Column:
-    """The merges by rank as a literal array: the two parts side by side, and their whole."""
-    rows: list[dict | None] = [None] * (max(ranks.values(), default=-1) + 1)
+
+def merge_lists(ranks: dict[bytes, int]) -> list[Column]:
+    """The merges by rank as two literal arrays: the two parts side by side, and their wholes."""
+    size = max(ranks.values(), default=-1) + 1
+    if FIRST + size > sys.maxunicode:
+        raise ValueError(f"rank {size - 1} has no character of its own")
+    parts: list[str | None] = [None] * size
+    wholes: list[str | None] = [None] * size
     for token, k in merges(ranks).items():
-        rows[ranks[token]] = {"parts": _shown(token[:k]) + _shown(token[k:]), "whole": _shown(token)}
-    return _read(rows, "array<struct<parts: string, whole: string>>")
+        parts[ranks[token]] = _shown(token[:k], ranks) + _shown(token[k:], ranks)
+        wholes[ranks[token]] = _shown(token, ranks)
+    return [_read(parts, "array<string>"), _read(wholes, "array<string>")]
 
 
 def piece_list(ranks: dict[bytes, int]) -> Column:
@@ -128,29 +162,37 @@ def piece_list(ranks: dict[bytes, int]) -> Column:
     return _literal(pieces, "array<binary>")
 
 
-def _rank(held: Column, token: Column) -> Column:
-    """A token's rank in the literal map; null for other bytes."""
-    return F.try_element_at(F.get(held, F.crc32(token).bitwiseAND(BUCKETS - 1).cast("int")), token)
+def _held(held: Column, key: Column) -> Column:
+    """A literal map's value for some bytes; null where it has none."""
+    return F.try_element_at(F.get(held, F.crc32(key).bitwiseAND(BUCKETS - 1).cast("int")), key)
+
 
+def head_entry(headed: Column, head: Column) -> Column:
+    """The entry in ``head_map`` of the most of some first bytes (binary) that has one; else an empty one."""
+    none = F.array().cast("array<int>")
+    known = [_held(headed, head), *[_held(headed, F.substring(head, 1, n)) for n in range(HEAD - 1, 1, -1)]]
+    return F.coalesce(*known, F.struct(none.alias("found"), F.lit(None).cast("array<int>").alias("longer")))
 
-def fold_word(held: Column, reached: Column, joined: Column, word: Column) -> Column:
-    """The ids (array<int>) of one word (binary) by maps of the ranks and of ``reach``, and by ``merge_list``."""
-    size = F.octet_length(word)
 
-    def stretches(i: Column) -> Column:
-        longest = F.coalesce(_rank(reached, F.substring(word, i, F.lit(3))), F.lit(2))
-        lengths = F.sequence(F.lit(2), F.least(longest, size - i + 1))
-        return F.transform(lengths, lambda n: _rank(held, F.substring(word, i, n)))
+def fold_word(known: Column, held: Column, parts: Column, wholes: Column, single: Column, word: Column, heads: Column) -> Column:
+    """The ids (array<int>) of one word (binary) and the numbers of its places' heads by the heads' entries,
+    ``rank_map``, ``merge_lists`` and ``byte_ranks``."""
+
+    def longer(head: Column, before: Column) -> Column:
+        lengths = F.filter(F.get(known, head)["longer"], lambda n: n <= F.octet_length(word) - before)
+        return F.transform(lengths, lambda n: _held(held, F.substring(word, before + 1, n)))
 
     def step(state: Column, rank: Column) -> Column:
-        return F.replace(state, F.get(joined, rank)["parts"], F.get(joined, rank)["whole"])
+        return F.replace(state, F.get(parts, rank), F.get(wholes, rank))
+
+    def number(piece: Column) -> Column:
+        code = F.ascii(piece)  # the whole character's number
+        return F.when(code < FIRST, F.get(single, code)).otherwise(code - FIRST)
 
-    found = F.flatten(F.transform(F.sequence(F.lit(1), size - 1), stretches))
-    ranked = F.sort_array(F.array_except(found, F.array(F.lit(None).cast("int"))))
-    single = F.regexp_replace(F.hex(word), F.lit("(..)"), F.lit("<$1>"))
-    pieces = F.split(F.btrim(F.aggregate(ranked, single, step), F.lit("<>")), "><")
-    whole = _rank(held, word)
-    return F.coalesce(F.when(whole.isNotNull(), F.array(whole)), F.transform(pieces, lambda p: _rank(held, F.unhex(p))))
+    short = F.flatten(F.transform(heads, lambda head: F.get(known, head)["found"]))
+    long = F.filter(F.flatten(F.filter(F.transform(heads, longer), F.isnotnull)), F.isnotnull)
+    ranked = F.sort_array(F.array_union(short, long))
+    return F.transform(F.split(F.aggregate(ranked, F.decode(word, "ISO-8859-1"), step), ""), number)
 
 
 def heap_word(ranks: dict[bytes, int], word: bytes) -> list[int]:
@@ -188,33 +230,55 @@ def _slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBat
             yield batch.take(pa.array(range(first, len(sizes)), pa.int64()))
 
 
+def _headed(words: list[bytes]) -> tuple[pa.Array, pa.ListArray]:
+    """The distinct first ``HEAD`` bytes of all places in words, fewer at a word's end, and for each word their numbers."""
+    flat = np.frombuffer(b"".join(words) + bytes(HEAD), np.uint8)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes)
+    left = np.repeat(ends, sizes)
+    blocks = []
+    for first in range(0, len(left), BLOCK):
+        n = min(BLOCK, len(left) - first)
+        bytes_ = np.minimum(left[first : first + n] - np.arange(first, first + n), HEAD)
+        key = bytes_ << 8 * HEAD
+        for k in range(HEAD):
+            key |= np.where(k < bytes_, flat[first + k : first + k + n].astype(np.int64) << 8 * k, 0)
+        blocks.append(pa.array(key))
+    coded = pa.chunked_array(blocks, pa.int64()).dictionary_encode().combine_chunks()
+    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+    heads = [key.to_bytes(HEAD + 1, "little")[: key >> 8 * HEAD] for key in coded.dictionary.to_pylist()]
+    return pa.array(heads, pa.binary()), pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), coded.indices)
+
+
 def _worded(docs: DataFrame, text: str, ranks: dict[bytes, int], keep: list[str]) -> DataFrame:
-    """A row for each slice: ``words`` (w, and ids of very long ones), ``docs`` (columns ``keep`` and places among the words)."""
+    """A row for each slice: ``words`` (w, ``heads`` of its places by number, and ids of very long ones), ``docs`` (columns
+    ``keep`` and places among the words) and ``heads`` (distinct first bytes of the words' places)."""
     names, at = docs.columns, docs.columns.index(text)
     inner = ", ".join([*(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in keep), "`_places`: array<int>"])
-    frame = docs.sparkSession.createDataFrame([], f"words array<struct<w: binary, ids: array<int>>>, docs array<struct<{inner}>>")
+    frame = docs.sparkSession.createDataFrame([], f"words array<struct<w: binary, heads: array<int>, ids: array<int>>>, docs array<struct<{inner}>>, heads array<binary>")
     kinds = to_arrow_schema(frame.schema)
     row, word = kinds.field("docs").type.value_type, kinds.field("words").type.value_type
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = regex.compile(WORD)
         for batch in _slices(batches, at):
-            numbers: dict[str, int] = {}
+            numbers: defaultdict[str, int] = defaultdict()
+            numbers.default_factory = numbers.__len__
             places, ends = array("i"), [0]
             for value in batch.column(at):
                 value = value.as_py() or ""
-                places.extend(numbers.setdefault(w, len(numbers)) for w in (odd if ODD.search(value) else LATIN_WORD).findall(value))
+                places.extend(map(numbers.__getitem__, (odd if ODD.search(value) else LATIN_WORD).findall(value)))
                 ends.append(len(places))
             words = [w.encode() for w in numbers]
             long = pa.array([heap_word(ranks, w) if len(w) > LONG else None for w in words], word.field("ids").type)
-            words = pa.StructArray.from_arrays([pa.array(words, word.field("w").type), long], fields=list(word))
+            heads, marks = _headed([w if len(w) <= LONG else b"" for w in words])
+            words = pa.StructArray.from_arrays([pa.array(words, word.field("w").type), marks.cast(word.field("heads").type), long], fields=list(word))
             numbers.clear()
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(places, np.int32)))
             columns = [batch.column(names.index(c)).cast(row.field(c).type) for c in keep]
             rows = pa.StructArray.from_arrays([*columns, lists.cast(row.field("_places").type)], fields=list(row))
-            held = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-            words = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-            yield pa.RecordBatch.from_arrays([words.cast(kinds.field("words").type), held.cast(kinds.field("docs").type)], schema=kinds)
+            one_row = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (words, rows, heads)]
+            yield pa.RecordBatch.from_arrays([x.cast(k.type) for x, k in zip(one_row, kinds)], schema=kinds)
 
     return docs.mapInArrow(work, frame.schema)
 
@@ -237,13 +301,14 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", out: str = "ids
 
         return F.transform("docs", one)
 
-    def encoded(held: Column) -> Column:
-        def by(reached: Column, joined: Column) -> Column:
-            return F.transform("words", lambda w: F.coalesce(w["ids"], fold_word(held, reached, joined, w["w"])))
-
-        return _let(rank_map(reach(ranks)), lambda reached: _let(merge_list(ranks), lambda joined: by(reached, joined)))
+    def encoded(t: Column) -> Column:
+        tables = [t["known"], t["held"], t["parts"], t["wholes"], byte_ranks(ranks)]
+        return F.transform("words", lambda w: F.coalesce(w["ids"], fold_word(*tables, w["w"], w["heads"])))
 
-    found = sliced.select(F.inline(_let(_let(rank_map(ranks), encoded), rows)))
+    known = _let(head_map(ranks), lambda headed: F.transform("heads", lambda head: head_entry(headed, head)))
+    parts, wholes = merge_lists(ranks)
+    tables = F.struct(known.alias("known"), rank_map(ranks).alias("held"), parts.alias("parts"), wholes.alias("wholes"))
+    found = sliced.select("docs", _let(tables, encoded).alias("ids")).select(F.inline(rows(F.col("ids"))))
     return found.select(*[F.col(n).alias(c) for c, n in inside.items()], F.col("_ids").alias(out))
 
 

@@ -1,5 +1,6 @@
 """Byte-level BPE by rank file against the tiktoken library."""
 
+import base64
 import hashlib
 import random
 
@@ -53,3 +54,36 @@ def test_heap_for_very_long_words_and_files_that_are_no_merge_order():
         assert byte_bpe.heap_word(ranks, word.encode()) == LIBRARY.encode_ordinary(word)
     with pytest.raises(ValueError):
         byte_bpe.merges({b"a": 0, b"b": 1, b"c": 2, b"abc": 3})
+
+
+def test_a_slice_holds_the_first_bytes_of_places_once(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "BLOCK", 1000)
+    ranks = byte_bpe.rank_table(PATH)
+    rng = random.Random(3)
+    parts = ["tion", "heit", "é", "ment", "日", "\x00", " ", "a", "\n"]
+    rows = [(1, "".join(rng.choice(parts) for _ in range(4000)) + " " + "x" * 3000), (2, "b")]
+    [row] = byte_bpe._worded(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "text", ranks, ["doc_id"]).collect()
+    heads, places = [bytes(h) for h in row.heads], 0
+    assert len(set(heads)) == len(heads)
+    for w in row.words:
+        word = bytes(w.w) if w.ids is None else b""
+        assert [heads[k] for k in w.heads] == [word[i : i + byte_bpe.HEAD] for i in range(len(word))]
+        places += len(word)
+    assert len(heads) * 20 < places
+    known = byte_bpe.heads(ranks)
+    for head in heads:
+        entry = known.get(head, {"found": [], "longer": None})
+        if len(head) == byte_bpe.HEAD and head in known:
+            assert entry["found"] == [ranks[head[:n]] for n in range(2, byte_bpe.HEAD + 1) if head[:n] in ranks]
+            assert (entry["longer"] or []) == sorted({len(t) for t in ranks if len(t) > byte_bpe.HEAD and t.startswith(head)})
+
+
+def test_bytes_that_are_no_token_and_ranks_without_a_character(spark, tmp_path):
+    file = tmp_path / "ranks"
+    small = {b"a": 0, b"b": 1, b"ab": 2, b"abab": 3, b"ababab": 4, b"\x00": 5, b"a\x00": 6}
+    file.write_text("".join(f"{base64.b64encode(t).decode()} {r}\n" for t, r in small.items()))
+    docs = spark.createDataFrame([(1, "abababab"), (2, "a"), (3, "c"), (4, "bca"), (5, "ba\x00")], "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in byte_bpe.encode_texts(docs, str(file)).collect()}
+    assert got == {1: [3, 3], 2: [0], 3: [None], 4: [1, None, 0], 5: [1, 0, 5]}
+    with pytest.raises(ValueError):
+        byte_bpe.merge_lists({b"a": 0, b"b": 1, b"ab": 1 << 21})
