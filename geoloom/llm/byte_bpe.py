@@ -261,7 +261,7 @@ def _worded(docs: DataFrame, text: str, ranks: dict[bytes, int], keep: list[str]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = regex.compile(WORD)
-        for batch in _slices(batches, at):
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:  # what a slice needs is free before the next one
             numbers: defaultdict[str, int] = defaultdict()
             numbers.default_factory = numbers.__len__
             places, ends = array("i"), [0]
@@ -278,7 +278,9 @@ def _worded(docs: DataFrame, text: str, ranks: dict[bytes, int], keep: list[str]
             columns = [batch.column(names.index(c)).cast(row.field(c).type) for c in keep]
             rows = pa.StructArray.from_arrays([*columns, lists.cast(row.field("_places").type)], fields=list(row))
             one_row = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (words, rows, heads)]
-            yield pa.RecordBatch.from_arrays([x.cast(k.type) for x, k in zip(one_row, kinds)], schema=kinds)
+            return pa.RecordBatch.from_arrays([x.cast(k.type) for x, k in zip(one_row, kinds)], schema=kinds)
+
+        yield from map(one, _slices(batches, at))
 
     return docs.mapInArrow(work, frame.schema)
 
