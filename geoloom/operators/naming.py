@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.lookups import looked_up
 from ..functions.strings import quadrant, sanitize_token
-from .staging import numbered, written
+from .staging import numbered, shuffled, written
 
 # How classes are shown in names.
 FORESTS = {"coniferous": "Pine", "deciduous": "Deciduous", "mixed": "Mixed", "scrub": "Scrub", "heath": "Heath"}
@@ -46,18 +46,18 @@ def _taken_numbers(placed: DataFrame, bases: DataFrame) -> tuple[DataFrame, Data
     number = F.regexp_extract("base", "_([0-9]{3}|[1-9][0-9]{3,17})$", 1)
     own = bases.select("base", "first", number.alias("digits")).where("digits <> ''")
     own = own.select(F.regexp_replace("base", "_[0-9]+$", "").alias("parent"), F.col("base").alias("child"), "first", F.col("digits").cast("long").alias("num"))
-    edges = written(own.where("num >= 2").join(bases.select(F.col("base").alias("parent")), "parent"), "names")
+    edges = written(own.where("num >= 2").join(shuffled(bases.select(F.col("base").alias("parent"))), "parent"), "names")
     if edges.isEmpty():
         return None
     taken, left_out = bases.limit(0).select("base"), bases.limit(0).select("base", F.col("n").alias("at"))
-    now = edges.join(edges.select(F.col("child").alias("parent")), "parent", "left_anti")
+    now = edges.join(shuffled(edges.select(F.col("child").alias("parent"))), "parent", "left_anti")
     while not now.isEmpty():
         shift = F.when(F.col("_taken"), 1).otherwise(0)
         by_parent = taken.select(F.col("base").alias("parent"), F.lit(True).alias("_taken"))
-        now = written(now.join(by_parent, "parent", "left").select("parent", "child", "first", "num", shift.alias("shift"), F.lit(0).cast("long").alias("before")), "names")
+        now = written(now.join(shuffled(by_parent), "parent", "left").select("parent", "child", "first", "num", shift.alias("shift"), F.lit(0).cast("long").alias("before")), "names")
         at = placed.select(F.col("base").alias("parent"), F.col("k").alias("_k"), F.col("id").alias("_id"))
         while True:
-            reached = now.withColumn("_k", F.col("num") - F.col("shift") - F.col("before")).join(at, ["parent", "_k"], "left")
+            reached = now.withColumn("_k", F.col("num") - F.col("shift") - F.col("before")).join(shuffled(at), ["parent", "_k"], "left")
             skips = F.coalesce(F.col("_id") > F.col("first"), F.lit(False))
             ahead = Window.partitionBy("parent").orderBy("num").rowsBetween(Window.unboundedPreceding, -1)
             after = reached.select("parent", "child", "first", "num", "shift", "before", "_id", skips.alias("skips"))
@@ -68,7 +68,7 @@ def _taken_numbers(placed: DataFrame, bases: DataFrame) -> tuple[DataFrame, Data
         left_out = left_out.unionByName(after.where("skips").select(F.col("parent").alias("base"), (F.col("num") - 1 - F.col("before")).alias("at")))
         lost = F.col("_id").isNotNull() & ~F.col("skips")
         taken = taken.unionByName(after.where(lost).select(F.col("child").alias("base")))
-        now = edges.join(after.select(F.col("child").alias("parent")), "parent", "left_semi")
+        now = edges.join(shuffled(after.select(F.col("child").alias("parent"))), "parent", "left_semi")
     return taken, left_out
 
 
@@ -87,7 +87,7 @@ def unique_names(rows: DataFrame) -> DataFrame:
         return placed.select("id", F.when(F.col("k") == 1, F.col("base")).otherwise(_suffixed(F.col("base"), F.col("k"))).alias("entity"))
     taken, left_out = found
     by_base = left_out.groupBy("base").agg(F.collect_list("at").alias("_at"))
-    marked = placed.join(taken.withColumn("_taken", F.lit(True)), "base", "left").join(by_base, "base", "left")
+    marked = placed.join(shuffled(taken.withColumn("_taken", F.lit(True))), "base", "left").join(shuffled(by_base), "base", "left")
     s = F.col("k") - F.when(F.col("_taken"), 0).otherwise(1)
     more = F.coalesce(F.size(F.filter("_at", lambda x: x <= s)), F.lit(0))
     return marked.select("id", F.when(s == 0, F.col("base")).otherwise(_suffixed(F.col("base"), s + 1 + more)).alias("entity"))

@@ -14,7 +14,7 @@ from ..functions.geometry import point_segment
 from .components import components
 from .composites import rasterize_polygons
 from .spatial import box_cells, cell
-from .staging import drop_stages, stage, written
+from .staging import drop_stages, shuffled, stage, written
 
 
 def polygon_edges(polygons: DataFrame, pid: str = "pid", rings: str = "rings") -> DataFrame:
@@ -26,22 +26,22 @@ def polygon_edges(polygons: DataFrame, pid: str = "pid", rings: str = "rings") -
     return rows.select("pid", "ax", "ay", F.col("q.x").alias("bx"), F.col("q.y").alias("by")).where("ax <> bx OR ay <> by")
 
 
-def _bounds(edges: DataFrame) -> DataFrame:
+def _bounds(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     low, high = (lambda c: F.min(F.least("a" + c, "b" + c))), (lambda c: F.max(F.greatest("a" + c, "b" + c)))
-    return edges.groupBy("pid").agg(low("x").alias("xmin"), low("y").alias("ymin"), high("x").alias("xmax"), high("y").alias("ymax"))
+    return edges.groupBy("pid", *by).agg(low("x").alias("xmin"), low("y").alias("ymin"), high("x").alias("xmax"), high("y").alias("ymax"))
 
 
-def inside(points: DataFrame, edges: DataFrame, size: float) -> DataFrame:
+def inside(points: DataFrame, edges: DataFrame, size: float, by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (id, pid) of points (id, x, y) and the polygons that hold them.
 
     Points meet the boxes of polygons in cells, then the polygon's edges in bands of y;
-    edges right of the point are counted.
+    edges right of the point are counted. Only what agrees in the columns ``by`` of both meets.
     """
-    boxes = box_cells(_bounds(edges), size).select("pid", "cx", "cy", "xmin", "ymin", "xmax", "ymax")
-    keyed = points.select("id", "x", "y").withColumn("cx", cell(F.col("x"), size)).withColumn("cy", cell(F.col("y"), size))
-    may = keyed.join(boxes, ["cx", "cy"]).where("x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax").select("id", "pid", "x", "y", F.col("cy").alias("band"))
+    boxes = box_cells(_bounds(edges, by), size).select("pid", *by, "cx", "cy", "xmin", "ymin", "xmax", "ymax")
+    keyed = points.select("id", *by, "x", "y").withColumn("cx", cell(F.col("x"), size)).withColumn("cy", cell(F.col("y"), size))
+    may = keyed.join(shuffled(boxes), [*by, "cx", "cy"]).where("x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax").select("id", "pid", "x", "y", F.col("cy").alias("band"))
     spread = edges.where("ay <> by").withColumn("band", F.explode(F.sequence(cell(F.least("ay", "by"), size), cell(F.greatest("ay", "by"), size))))
-    met = may.join(spread, ["pid", "band"]).where((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y")))
+    met = may.join(shuffled(spread), ["pid", "band"]).where((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y")))
     cross = F.col("ax") + (F.col("y") - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
     return met.groupBy("id", "pid").agg(F.count_if(cross > F.col("x")).alias("_k")).where("_k % 2 = 1").select("id", "pid")
 
@@ -67,19 +67,20 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, codes: DataFrame, si
     return points.join(best, "id", "left")
 
 
-def crossing(left: DataFrame, right: DataFrame, size: float, skipped: DataFrame | None = None) -> DataFrame:
+def crossing(left: DataFrame, right: DataFrame, size: float, skipped: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of edges (a: left, b: right) that meet or touch, in shared cells: both edges' columns, ``t`` along a and ``u`` along b; null where parallel.
 
-    Pairs that only meet in the cells ``skipped`` (cx, cy) may be left out.
+    Pairs that only meet in the cells ``skipped`` (cx, cy) may be left out. Edges meet, and cells count,
+    only where the columns ``by`` agree.
     """
 
     def spread(edges: DataFrame, name: str) -> DataFrame:
-        rows = edges.select(*[F.col(c).alias(f"{name}_{c}") for c in ("pid", "ax", "ay", "bx", "by")])
+        rows = edges.select(*[F.col(c).alias(f"{name}_{c}") for c in ("pid", "ax", "ay", "bx", "by")], *by)
         box = rows.select("*", *[f(f"{name}_a{c}", f"{name}_b{c}").alias(n) for f, c, n in ((F.least, "x", "xmin"), (F.least, "y", "ymin"), (F.greatest, "x", "xmax"), (F.greatest, "y", "ymax"))])
         rows = box_cells(box, size).drop("xmin", "ymin", "xmax", "ymax")
-        return rows if skipped is None else rows.join(skipped.select("cx", "cy"), ["cx", "cy"], "left_anti")
+        return rows if skipped is None else rows.join(shuffled(skipped.select(*by, "cx", "cy")), [*by, "cx", "cy"], "left_anti")
 
-    met = spread(left, "a").join(spread(right, "b"), ["cx", "cy"]).drop("cx", "cy")
+    met = spread(left, "a").join(shuffled(spread(right, "b")), [*by, "cx", "cy"]).drop(*by, "cx", "cy")
     dx, dy, ex, ey = (F.col(f"{n}_b{c}") - F.col(f"{n}_a{c}") for n, c in (("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")))
     gx, gy = F.col("b_ax") - F.col("a_ax"), F.col("b_ay") - F.col("a_ay")
     cross = dx * ey - dy * ex
@@ -182,20 +183,20 @@ def middle_vertices(points: DataFrame) -> DataFrame:
     return rows.where((F.col("_n") >= 2) & (F.col("_i") == F.floor(F.col("_n") / 2))).select(F.col("line_id").alias("id"), "x", "y")
 
 
-def _directed(edges: DataFrame) -> DataFrame:
+def _directed(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Edges of simple polygons of one outer ring, turned so that the inside is on the left."""
     twice = F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")).over(Window.partitionBy("pid"))
     rows = edges.withColumn("_s", twice)
     turn = lambda a, b: F.when(F.col("_s") >= 0, F.col(a)).otherwise(F.col(b))
-    return rows.select("pid", turn("ax", "bx").alias("ax"), turn("ay", "by").alias("ay"), turn("bx", "ax").alias("bx"), turn("by", "ay").alias("by"))
+    return rows.select("pid", *by, turn("ax", "bx").alias("ax"), turn("ay", "by").alias("ay"), turn("bx", "ax").alias("bx"), turn("by", "ay").alias("by"))
 
 
-def _copies(edges: DataFrame) -> DataFrame:
-    """Each polygon (pid) with the smallest id (first) of those that have the same edges; sets of edges are told apart by their number and 128 bits of sums."""
+def _copies(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Each polygon (pid) with the smallest id (first) of those that have the same edges and ``by``; sets of edges are told apart by their number and 128 bits of sums."""
     one = [F.xxhash64(F.lit(k), "ax", "ay", "bx", "by").cast("decimal(38,0)") for k in (1, 2)]
-    marks = edges.groupBy("pid").agg(F.count("*").alias("n"), *[F.sum(h).alias(f"s{k}") for k, h in enumerate(one)])
-    least = marks.groupBy("n", "s0", "s1").agg(F.min("pid").alias("first"))
-    return marks.join(least, ["n", "s0", "s1"]).select("pid", "first")
+    marks = edges.groupBy("pid", *by).agg(F.count("*").alias("n"), *[F.sum(h).alias(f"s{k}") for k, h in enumerate(one)])
+    least = marks.groupBy(*by, "n", "s0", "s1").agg(F.min("pid").alias("first"))
+    return marks.join(shuffled(least), [*by, "n", "s0", "s1"]).select("pid", "first")
 
 
 def _meets_cell(size: float) -> Column:
@@ -209,27 +210,31 @@ def _meets_cell(size: float) -> Column:
     return F.greatest(*low) <= F.least(*high)
 
 
-def _outside(points: DataFrame, covered: DataFrame, size: float) -> DataFrame:
-    """Points (x, y) that are in none of the covered cells."""
-    return points.join(covered.select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy")), (cell(F.col("x"), size) == F.col("_cx")) & (cell(F.col("y"), size) == F.col("_cy")), "left_anti")
+def _outside(points: DataFrame, covered: DataFrame, size: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Points (x, y) that are in none of the covered cells of their ``by``."""
+    same = (cell(F.col("x"), size) == F.col("_cx")) & (cell(F.col("y"), size) == F.col("_cy"))
+    for k in by:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    return points.join(shuffled(covered.select(*[F.col(k).alias(f"_{k}") for k in (*by, "cx", "cy")])), same, "left_anti")
 
 
-def _covered(edges: DataFrame, size: float, margin: float) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Cells that lie inside a polygon, none of whose edges comes within ``margin``: cx, cy, cover (the smallest such pid).
+def _covered(edges: DataFrame, size: float, margin: float, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Cells that lie inside a polygon, none of whose edges comes within ``margin``: cx, cy, cover (the smallest such pid), for each ``by``.
 
     Also links (a: pid, b: cover) of all polygons that meet such a cell; and the folders of both.
     """
     inner, inner_path = stage(rasterize_polygons(edges.withColumnRenamed("pid", "id"), size).select(F.col("id").alias("pid"), F.col("c").alias("cx"), F.col("r").alias("cy")), "inner")
+    known = inner.join(shuffled(edges.select("pid", *by).distinct()), "pid") if by else inner
     ends = [(f(f"a{c}", f"b{c}") + k * margin).alias(n) for f, k, c, n in ((F.least, -1, "x", "xmin"), (F.least, -1, "y", "ymin"), (F.greatest, 1, "x", "xmax"), (F.greatest, 1, "y", "ymax"))]
     touched = box_cells(edges.select("*", *ends), size)
-    own = inner.join(touched, ["pid", "cx", "cy"], "left_anti")
-    covered, path = stage(own.groupBy("cx", "cy").agg(F.min("pid").alias("cover")), "covered")
-    passing = touched.where(_meets_cell(size)).select("pid", "cx", "cy")
-    links, link_path = stage(inner.select("pid", "cx", "cy").unionByName(passing).join(covered, ["cx", "cy"]).select(F.col("pid").alias("a"), F.col("cover").alias("b")).distinct(), "links")
+    own = known.join(shuffled(touched), ["pid", "cx", "cy"], "left_anti")
+    covered, path = stage(own.groupBy(*by, "cx", "cy").agg(F.min("pid").alias("cover")), "covered")
+    passing = touched.where(_meets_cell(size)).select("pid", *by, "cx", "cy")
+    links, link_path = stage(known.select("pid", *by, "cx", "cy").unionByName(passing).join(shuffled(covered), [*by, "cx", "cy"]).select(F.col("pid").alias("a"), F.col("cover").alias("b")).distinct(), "links")
     return covered, links, [inner_path, path, link_path]
 
 
-def dissolve(polygons: DataFrame, edges: DataFrame, size: float, sliver: float, scale: float = 1.0, digits: int = 9) -> tuple[DataFrame, DataFrame]:
+def dissolve(polygons: DataFrame, edges: DataFrame, size: float, sliver: float, scale: float = 1.0, digits: int = 9, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Overlapping and touching polygons (id, name, area) become one feature, with the outline of their union.
 
     ``edges``: the polygons' outer rings (pid: the id). One polygon stands for its exact copies. Edges are cut where they meet others
@@ -239,20 +244,23 @@ def dissolve(polygons: DataFrame, edges: DataFrame, size: float, sliver: float,
     in the other cells, so heaps of polygons cost what they show of their rim. Parts below
     ``sliver`` (in units of area times ``scale``) go. Returns the features (group, members,
     name, area: of the union) and the outline pieces (group, ring, seq, x, y; holes run
-    clockwise). A feature's name is that of the named, then largest, then first member.
+    clockwise). A feature's name is that of the named, then largest, then first member. Polygons that
+    differ in their columns ``by`` (none of them null) never meet, so many classes are dissolved at once.
     """
     spark = polygons.sparkSession
-    every, every_path = stage(_directed(edges), "directed")
-    copies, copies_path = stage(_copies(every), "copies")
-    turned, turned_path = stage(every.join(copies.where("pid = first").select("pid"), "pid", "left_semi"), "turned")
-    covered, links, cover_paths = _covered(turned, size, max(size * 1e-6, 2 * 10.0**-digits))
-    met, met_path = stage(crossing(turned, turned, size, covered).where("a_pid <> b_pid"), "met")
-    corners = turned.groupBy("pid").agg(F.min(F.struct("ax", "ay")).alias("p")).select(F.col("pid").alias("id"), F.col("p.ax").alias("x"), F.col("p.ay").alias("y"))
-    held = inside(_outside(corners, covered, size), turned, size)
+    if by:
+        edges = edges.join(shuffled(polygons.select(F.col("id").alias("pid"), *by).distinct()), "pid")
+    every, every_path = stage(_directed(edges, by), "directed")
+    copies, copies_path = stage(_copies(every, by), "copies")
+    turned, turned_path = stage(every.join(shuffled(copies.where("pid = first").select("pid")), "pid", "left_semi"), "turned")
+    covered, links, cover_paths = _covered(turned, size, max(size * 1e-6, 2 * 10.0**-digits), by)
+    met, met_path = stage(crossing(turned, turned, size, covered, by).where("a_pid <> b_pid"), "met")
+    corners = turned.groupBy("pid", *by).agg(F.min(F.struct("ax", "ay")).alias("p")).select(F.col("pid").alias("id"), *by, F.col("p.ax").alias("x"), F.col("p.ay").alias("y"))
+    held = inside(_outside(corners, covered, size, by), turned, size, by)
     touching = links.unionByName(met.select(F.col("a_pid").alias("a"), F.col("b_pid").alias("b"))).unionByName(held.select(F.col("id").alias("a"), F.col("pid").alias("b")))
     groups = components(touching.where("a <> b").distinct())
-    known = polygons.join(copies.withColumnRenamed("pid", "id"), "id", "left")
-    grouped, group_path = stage(known.join(groups, known["first"] == groups["node"], "left").select("id", "name", "area", F.coalesce("component", "first", "id").alias("group")), "groups")
+    known = polygons.join(shuffled(copies.withColumnRenamed("pid", "id")), "id", "left")
+    grouped, group_path = stage(known.join(shuffled(groups), known["first"] == groups["node"], "left").select("id", *by, "name", "area", F.coalesce("component", "first", "id").alias("group")), "groups")
     own = ["pid", "ax", "ay", "bx", "by"]
     # cut: at crossings with other members, and at ends of others that lie on the edge
     dx, dy = F.col("a_bx") - F.col("a_ax"), F.col("a_by") - F.col("a_ay")
@@ -264,34 +272,37 @@ def dissolve(polygons: DataFrame, edges: DataFrame, size: float, sliver: float,
     at = lambda c, t: F.round(F.col("a" + c) + t * (F.col("b" + c) - F.col("a" + c)), digits)
     pieces = stops.withColumn("_u", after).where("_u IS NOT NULL")
     pieces = pieces.select("pid", *[at(c, F.col(t)).alias(n) for t, c, n in (("t", "x", "px"), ("t", "y", "py"), ("_u", "x", "qx"), ("_u", "y", "qy"))]).where("px <> qx OR py <> qy")
-    pieces = _outside(pieces.withColumn("x", (F.col("px") + F.col("qx")) / 2).withColumn("y", (F.col("py") + F.col("qy")) / 2), covered, size).drop("x", "y")
-    pieces = pieces.join(grouped.select(F.col("id").alias("pid"), "group"), "pid")
+    pieces = pieces.join(shuffled(grouped.select(F.col("id").alias("pid"), *by, "group")), "pid")
+    pieces = _outside(pieces.withColumn("x", (F.col("px") + F.col("qx")) / 2).withColumn("y", (F.col("py") + F.col("qy")) / 2), covered, size, by).drop("x", "y")
     # common borders: pieces in one direction stay once, pieces in both directions cancel
     p, q = (F.struct(F.col(f"{n}x").alias("x"), F.col(f"{n}y").alias("y")) for n in "pq")
     line = F.struct(F.least(p, q).alias("p"), F.greatest(p, q).alias("q"))
     way = (p < q).cast("int")
-    merged = pieces.withColumn("_line", line).withColumn("_way", way).groupBy("group", "_line").agg(F.min("_way").alias("_low"), F.max("_way").alias("_high"), F.min(F.struct("pid", "px", "py", "qx", "qy")).alias("e"), F.collect_set("pid").alias("owners"))
-    merged, merged_path = stage(merged.where("_low = _high").select("group", "owners", "e.*").withColumn("id", F.monotonically_increasing_id()), "pieces")
-    middles = merged.select("id", ((F.col("px") + F.col("qx")) / 2).alias("x"), ((F.col("py") + F.col("qy")) / 2).alias("y"))
-    held = inside(middles, turned, size).join(merged.select("id", "owners"), "id").where(~F.array_contains("owners", F.col("pid"))).select("id").distinct()
-    rim, rim_path = stage(merged.join(held, "id", "left_anti").select("id", "group", "px", "py", "qx", "qy"), "rim")
+    merged = pieces.withColumn("_line", line).withColumn("_way", way).groupBy("group", *by, "_line").agg(F.min("_way").alias("_low"), F.max("_way").alias("_high"), F.min(F.struct("pid", "px", "py", "qx", "qy")).alias("e"), F.collect_set("pid").alias("owners"))
+    # numbered in the order of their places: a ring begins at its leftmost corner, however pieces are dealt
+    merged = merged.where("_low = _high").select("group", *by, "owners", "e.*").repartitionByRange("px", "py", "qx", "qy", "group")
+    merged = merged.sortWithinPartitions("px", "py", "qx", "qy", "group").withColumn("id", F.monotonically_increasing_id())
+    merged, merged_path = stage(merged, "pieces")
+    middles = merged.select("id", *by, ((F.col("px") + F.col("qx")) / 2).alias("x"), ((F.col("py") + F.col("qy")) / 2).alias("y"))
+    held = inside(middles, turned, size, by).join(shuffled(merged.select("id", "owners")), "id").where(~F.array_contains("owners", F.col("pid"))).select("id").distinct()
+    rim, rim_path = stage(merged.join(shuffled(held), "id", "left_anti").select("id", "group", "px", "py", "qx", "qy"), "rim")
     # chain: a piece follows the one that ends where it begins; of several, the sharpest left turn's, so rings that touch stay apart
     nxt = rim.select(F.col("group"), F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("id").alias("_next"), F.col("qx").alias("_x"), F.col("qy").alias("_y"))
     turn = F.pmod(F.atan2(F.col("_y") - F.col("qy"), F.col("_x") - F.col("qx")) - F.atan2(F.col("py") - F.col("qy"), F.col("px") - F.col("qx")), F.lit(6.283185307179586))
-    linked, linked_path = stage(rim.join(nxt, ["group", "qx", "qy"]).groupBy("id").agg(F.min_by("_next", F.struct(F.round(-turn, 9), "_next")).alias("next")), "linked")
+    linked, linked_path = stage(rim.join(shuffled(nxt), ["group", "qx", "qy"]).groupBy("id").agg(F.min_by("_next", F.struct(F.round(-turn, 9), "_next")).alias("next")), "linked")
     rings, ring_path = stage(components(linked.select(F.col("id").alias("a"), F.col("next").alias("b"))), "rings")
     # places along each ring: pointers doubled from every piece to the ring's first
     first = rings.select("component").distinct().select(F.col("component").alias("id"))
-    rows, path = stage(linked.join(first, linked["next"] == first["id"], "left_anti").select("id", F.col("next").alias("at"), F.lit(1).cast("long").alias("far")), "places")
+    rows, path = stage(linked.join(shuffled(first), linked["next"] == first["id"], "left_anti").select("id", F.col("next").alias("at"), F.lit(1).cast("long").alias("far")), "places")
     for _ in range(63):
         further = rows.select(F.col("id").alias("at"), F.col("at").alias("_to"), F.col("far").alias("_more"))
-        jumped = rows.join(further, "at", "left").select("id", F.coalesce("_to", "at").alias("at"), (F.col("far") + F.coalesce("_more", F.lit(0))).alias("far"), F.col("_to").isNotNull().alias("_moved"))
+        jumped = rows.join(shuffled(further), "at", "left").select("id", F.coalesce("_to", "at").alias("at"), (F.col("far") + F.coalesce("_more", F.lit(0))).alias("far"), F.col("_to").isNotNull().alias("_moved"))
         after_, new = stage(jumped, "places")
         drop_stages(spark, path)
         rows, path = after_.drop("_moved"), new
         if after_.where("_moved").isEmpty():
             break
-    placed = rim.join(rings.withColumnRenamed("node", "id"), "id").join(rows.select("id", "far"), "id", "left")
+    placed = rim.join(shuffled(rings.withColumnRenamed("node", "id")), "id").join(shuffled(rows.select("id", "far")), "id", "left")
     ring = Window.partitionBy("group", "component")
     area = F.sum(F.col("px") * F.col("qy") - F.col("qx") * F.col("py")).over(ring) / 2
     outline = placed.select("group", F.col("component").alias("ring"), F.row_number().over(ring.orderBy(F.desc_nulls_last("far"), "id")).alias("seq"), F.col("px").alias("x"), F.col("py").alias("y"), area.alias("area"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .staging import numbered, written
+from .staging import numbered, shuffled, written
 
 Keys = tuple[str, ...]
 
@@ -521,4 +521,4 @@ def sample_raster(points: DataFrame, cells: DataFrame, height: int, width: int)
     """Height of each local point (x, z in 0..1) from its truncated cell, row 0 in the north; one equi-join."""
     col_ = F.least(F.greatest((F.col("u") * (width - 1)).cast("long"), F.lit(0)), F.lit(width - 1))
     row = height - 1 - F.least(F.greatest((F.col("v") * (height - 1)).cast("long"), F.lit(0)), F.lit(height - 1))
-    return points.withColumn("c", col_).withColumn("r", row).join(cells, ["r", "c"], "left").drop("r", "c").withColumn("z", F.round("z", 3))
+    return points.withColumn("c", col_).withColumn("r", row).join(shuffled(cells), ["r", "c"], "left").drop("r", "c").withColumn("z", F.round("z", 3))

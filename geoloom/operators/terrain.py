@@ -19,7 +19,7 @@ from . import polygons as P
 from . import raster as R
 from .features import classify_buildings
 from .naming import name_features, shown
-from .staging import written
+from .staging import shuffled, written
 
 #: Points of a road part, of a river and of an outline at most.
 ROAD_POINTS, NATURAL_POINTS = 200, 120
@@ -58,27 +58,27 @@ def road_splines(points: DataFrame, roads: DataFrame, terrain: Terrain, most: in
     ref = (F.col("ref") if "ref" in roads.columns else F.lit(None).cast("string")).alias("ref")
     first = F.get("vertices", 0)
     start = parts.where("chunk = 0").select("line_id", first["x"].alias("x"), first["y"].alias("z"))
-    start = start.join(roads.select(F.col("id").alias("line_id"), "name", ref, "surface", "prefab"), "line_id")
+    start = start.join(shuffled(roads.select(F.col("id").alias("line_id"), "name", ref, "surface", "prefab")), "line_id")
     ground = C.expected_surface(F.lit("Road"), F.col("surface"), F.lit(""))
     known = written(start.select(F.col("line_id").alias("id"), F.lit("Road").alias("kind"), shown("Road", F.col("surface")).alias("category"), "name", "ref", "x", "z", "prefab", ground.alias("ground")), "roads")
-    named = name_features(known.drop("prefab", "ground"), terrain.width, terrain.depth).join(known.select("id", "prefab", "ground"), "id").withColumnRenamed("id", "line_id")
+    named = name_features(known.drop("prefab", "ground"), terrain.width, terrain.depth).join(shuffled(known.select("id", "prefab", "ground")), "id").withColumnRenamed("id", "line_id")
     entity = F.when(F.col("parts") > 1, F.concat("entity", F.lit("_part"), (F.col("chunk") + 1).cast("string"))).otherwise(F.col("entity"))
-    return parts.join(named, "line_id").select("line_id", "chunk", entity.alias("entity"), "prefab", "ground", "vertices")
+    return parts.join(shuffled(named), "line_id").select("line_id", "chunk", entity.alias("entity"), "prefab", "ground", "vertices")
 
 
 def river_lines(points: DataFrame, rivers: DataFrame, terrain: Terrain, most: int = NATURAL_POINTS) -> DataFrame:
     """One row per river: line_id, entity, width, vertices. ``rivers``: id, name, water_type, geometry; lines of types without a width go."""
     wide = rivers.withColumn("width", looked_up(F.col("water_type"), RIVER_WIDTHS)).where((F.col("geometry") == "LineString") & F.col("width").isNotNull())
-    own = points.select("line_id", "seq", "x", "y").join(wide.select(F.col("id").alias("line_id")), "line_id", "left_semi")
+    own = points.select("line_id", "seq", "x", "y").join(shuffled(wide.select(F.col("id").alias("line_id"))), "line_id", "left_semi")
     inside = N.in_bounds(terrain.local(N.drop_hairpins(own)), 0.0, 0.0, terrain.width, terrain.depth)
-    slim = N.simplify_schedule(inside, most).select("line_id", "seq").join(inside, ["line_id", "seq"])
+    slim = N.simplify_schedule(inside, most).select("line_id", "seq").join(shuffled(inside), ["line_id", "seq"])
     rows = slim.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y", "z"))).alias("vertices"))
-    rows = rows.join(wide.select(F.col("id").alias("line_id"), "name", "water_type", "width"), "line_id")
+    rows = rows.join(shuffled(wide.select(F.col("id").alias("line_id"), "name", "water_type", "width")), "line_id")
     first = F.get("vertices", 0)
     named = name_features(
         rows.select(F.col("line_id").alias("id"), F.lit("River").alias("kind"), shown("River", F.col("water_type")).alias("category"), "name", first["x"].alias("x"), first["y"].alias("z")), terrain.width, terrain.depth
     )
-    return rows.join(named.withColumnRenamed("id", "line_id"), "line_id").select("line_id", "entity", "width", "vertices")
+    return rows.join(shuffled(named.withColumnRenamed("id", "line_id")), "line_id").select("line_id", "entity", "width", "vertices")
 
 
 def outlines(areas: DataFrame, edges: DataFrame, terrain: Terrain, kind: str, push: float = 0.0, most: int = NATURAL_POINTS, sliver: float = 100.0) -> DataFrame:
@@ -90,29 +90,25 @@ def outlines(areas: DataFrame, edges: DataFrame, terrain: Terrain, kind: str, pu
     outlines are pushed outward, clipped to the terrain and a metre around it, simplified;
     rings of under three points and those that cross themselves go.
     """
-    out = None
+    if areas.isEmpty():
+        return areas.sparkSession.createDataFrame([], "group long, ring long, entity string, category string, vertices array<struct<seq:int,x:double,y:double>>")
     box = (-1.0, -1.0, terrain.width + 1, terrain.depth + 1)
     twice = F.abs(F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay"))) / 2
-    sized = areas.join(edges.groupBy("pid").agg(twice.alias("area")), areas["id"] == F.col("pid")).drop("pid")
-    for category in [r[0] for r in areas.select("category").distinct().orderBy("category").collect()]:  # a few fixed classes
-        own = sized.where(F.col("category").eqNullSafe(F.lit(category)))
-        features, rings = P.dissolve(own.select("id", "name", "area"), edges.join(own.select(F.col("id").alias("pid")), "pid", "left_semi"), 64.0, sliver)
-        outer = rings.where("area > 0").select("group", F.col("ring").alias("line_id"), "seq", "x", "y")
-        moved = M.buffer_rings(outer.drop("group"), push) if push else outer.drop("group")
-        slim = N.simplify_schedule(N.clip_polygon(moved, *box), most, closed=True, rising=(1.0, 2.0, 5.0, 10.0, 20.0, 50.0))
-        full = slim.withColumn("_n", F.count("*").over(Window.partitionBy("line_id"))).where("_n >= 3").drop("_n")
-        good = full.join(M.simple_rings(full), "line_id", "left_semi")
-        rows = good.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("vertices"))
-        owner = outer.select("line_id", "group").distinct().join(features.select("group", "name"), "group")
-        rows = rows.join(owner, "line_id").withColumn("category", F.lit(category))
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        return areas.sparkSession.createDataFrame([], "group long, ring long, entity string, category string, vertices array<struct<seq:int,x:double,y:double>>")
+    sized = areas.join(shuffled(edges.groupBy("pid").agg(twice.alias("area"))), areas["id"] == F.col("pid"))
+    own = sized.select("id", "name", "area", F.coalesce(F.concat(F.lit("="), "category"), F.lit("")).alias("class"))
+    features, rings = P.dissolve(own, edges, 64.0, sliver, by=("class",))
+    outer = rings.where("area > 0").select("group", F.col("ring").alias("line_id"), "seq", "x", "y")
+    moved = M.buffer_rings(outer.drop("group"), push) if push else outer.drop("group")
+    slim = N.simplify_schedule(N.clip_polygon(moved, *box), most, closed=True, rising=(1.0, 2.0, 5.0, 10.0, 20.0, 50.0))
+    full = slim.withColumn("_n", F.count("*").over(Window.partitionBy("line_id"))).where("_n >= 3").drop("_n")
+    good = full.join(shuffled(M.simple_rings(full)), "line_id", "left_semi")
+    rows = good.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("vertices"))
+    owner = outer.select("line_id", "group").distinct().join(shuffled(features.select("group", "name")), "group")
+    labels = areas.select(F.col("id").alias("group"), "category", (F.col("label") if "label" in areas.columns else F.col("category")).alias("label"))
+    start = written(rows.join(shuffled(owner), "line_id").join(shuffled(labels), "group").withColumn("id", F.struct("category", "group", "line_id")), "outlines")
     first = F.get("vertices", 0)
-    labels = areas.select(F.col("id").alias("group"), (F.col("label") if "label" in areas.columns else F.col("category")).alias("label"))
-    start = out.join(labels, "group").withColumn("id", F.struct("category", "group", "line_id"))
     named = name_features(start.select("id", F.lit(kind).alias("kind"), shown(kind, F.col("label")).alias("category"), "name", first["x"].alias("x"), first["y"].alias("z")), terrain.width, terrain.depth)
-    return start.join(named, "id").select("group", F.col("line_id").alias("ring"), "entity", "category", "vertices")
+    return start.join(shuffled(named), "id").select("group", F.col("line_id").alias("ring"), "entity", "category", "vertices")
 
 
 def forest_outlines(forests: DataFrame, edges: DataFrame, terrain: Terrain) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from geoloom.operators import staging
+from geoloom.operators import raster, staging
 from geoloom.operators.components import components
 
 
@@ -65,3 +65,11 @@ def test_rows_are_dealt_by_key_and_share(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     shuffles = [line for line in plan.splitlines() if "hashpartitioning(" in line]
     assert sum("_deal" in line for line in shuffles) == 2
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    cells = spark.range(100).selectExpr("id div 10 AS r", "id % 10 AS c", "CAST(id AS double) AS z")
+    points = spark.range(50).selectExpr("id", "(id % 9) / 9.0 AS u", "(id % 7) / 7.0 AS v")
+    for df in (raster.sample_raster(points, cells, 10, 10), staging.numbered(points, ["v"], ["id"], "n")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -62,6 +62,21 @@ def squares(spark, table):
     return spark.createDataFrame(rows, "pid long, ax double, ay double, bx double, by double")
 
 
+def test_classes_are_dissolved_at_once(spark, terrain):
+    table = {i: (20.0 * i, 300.0, 90.0) for i in range(1, 11)}
+    kinds = [("needleleaved", "wood"), ("broadleaved", "wood"), ("mixed", "wood"), ("", "scrub"), ("", "heath")]
+    rows = [(i, "", *kinds[i % 5], "SE") for i in table]
+    forests = spark.createDataFrame(rows, "id long, name string, leaf_type string, area_type string, country string")
+    started = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    before = started()
+    got = T.forest_outlines(forests, squares(spark, table), terrain).collect()
+    assert started() - before < 450  # some 280; for each class again before, over 1 000
+    assert len({r.category for r in got}) == 5 and {r.group for r in got} == set(range(1, 11))  # those of one class lie apart
+    for r in got:
+        x, y, s = table[r.group]
+        assert [(round(v.x, 6), round(v.y, 6)) for v in r.vertices] == [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+
+
 def test_forest_and_lake_outlines(spark, terrain):
     table = {1: (100, 100, 50), 2: (150, 100, 50), 3: (100, 100, 50), 4: (980, 980, 50), 5: (700, 100, 5), 6: (160, 110, 20)}
     forests = spark.createDataFrame(
