@@ -249,32 +249,34 @@ def vertex_to_face(cells: DataFrame, value: str = "z", by: Keys = ()) -> DataFra
 
 
 def resample(cells: DataFrame, height: int, width: int, new_height: int, new_width: int, value: str = "z", cubic: bool = False) -> DataFrame:
-    """Resampling to an exact size: every target cell joins its two by two source cells (cubic: four by four) and sums them by weight.
+    """Resampling to an exact size: every target cell takes its two by two source cells (cubic: four by four) by weight.
 
-    ``cubic`` weighs by Keys' kernel; sources beyond the border are those at it.
+    ``cubic`` weighs by Keys' kernel; sources beyond the border are those at it. Weights are products, so rows
+    and columns are summed one after the other: each pass shuffles cells by their line, a row for each, and
+    what a cell sends to the targets in reach is summed in place.
     """
-    spark = cells.sparkSession
-    targets = spark.range(new_height * new_width).select(
-        F.floor(F.col("id") / new_width).cast("long").alias("r"), (F.col("id") % new_width).alias("c")
-    )
-
-    def place(axis: str, size: int, new: int) -> Column:
-        return F.col(axis) * (float(size - 1) / max(1, new - 1))
+    low, high = (-1, 2) if cubic else (0, 1)
 
     def kernel(d: Column) -> Column:
         if not cubic:
             return 1 - d
         return F.when(d <= 1, (1.5 * d - 2.5) * d * d + 1).when(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2).otherwise(0.0)
 
-    steps = F.array(*[F.lit(k) for k in ((-1, 0, 1, 2) if cubic else (0, 1))])
-    near = targets.select("r", "c", place("r", height, new_height).alias("_y"), place("c", width, new_width).alias("_x"))
-    near = near.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps))
-    sy, sx = F.floor("_y") + F.col("_dy"), F.floor("_x") + F.col("_dx")
-    weight = kernel(F.abs(F.col("_y") - sy)) * kernel(F.abs(F.col("_x") - sx))
-    inside = lambda s, size: F.least(F.greatest(s, F.lit(0)), F.lit(size - 1)).cast("long")
-    near = near.select("r", "c", inside(sy, height).alias("_r"), inside(sx, width).alias("_c"), weight.alias("_w")).where("_w <> 0")
-    source = cells.select(F.col("r").cast("long").alias("_r"), F.col("c").cast("long").alias("_c"), value)
-    return near.join(source, ["_r", "_c"]).groupBy("r", "c").agg((F.sum(F.col(value) * F.col("_w")) / F.sum("_w")).alias(value))
+    def one_pass(df: DataFrame, axis: str, size: int, new: int) -> DataFrame:
+        other, scale = "c" if axis == "r" else "r", float(size - 1) / max(1, new - 1)
+        first, last = F.when(F.col(axis) == 0, F.lit(low)).otherwise(F.col(axis)), F.when(F.col(axis) == size - 1, F.lit(size - 1 + high)).otherwise(F.col(axis))
+        sent = df.repartition(other).withColumn("_p", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+        ends = F.lit(0), F.lit(new - 1)
+        if scale:
+            ends = F.greatest(F.floor((F.col("_p") - high) / scale) - 1, ends[0]), F.least(F.ceil((F.col("_p") - low + 1) / scale) + 1, ends[1])
+        at = F.col("_t") * scale
+        got = sent.where(ends[0] <= ends[1]).withColumn("_t", F.explode(F.sequence(*[e.cast("long") for e in ends])))
+        got = got.where((F.col("_p") - F.floor(at)).between(low, high)).withColumn("_k", kernel(F.abs(at - F.col("_p")))).where("_k <> 0")
+        return got.groupBy(other, F.col("_t").alias(axis)).agg(F.sum(F.col("_v") * F.col("_k")).alias("_v"), F.sum(F.col("_w") * F.col("_k")).alias("_w"))
+
+    own = cells.where(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1))
+    own = own.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col(value).alias("_v"), F.lit(1.0).alias("_w"))
+    return one_pass(one_pass(own, "r", height, new_height), "c", width, new_width).select("r", "c", (F.col("_v") / F.col("_w")).alias(value))
 
 
 def tile_labels(r: np.ndarray, c: np.ndarray) -> np.ndarray:

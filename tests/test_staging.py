@@ -73,3 +73,11 @@ def test_growing_tables_are_not_broadcast(spark):
     for df in (raster.sample_raster(points, cells, 10, 10), staging.numbered(points, ["v"], ["id"], "n")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_resampling_sends_each_cell_once_a_pass(spark):
+    cells = spark.range(100).selectExpr("id div 10 AS r", "id % 10 AS c", "CAST(id AS double) AS z").repartition(3)
+    got = raster.resample(cells, 10, 10, 20, 20, cubic=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
+    assert got.count() == 400 and all(abs(r.z - (10 * r.r + r.c) * 9 / 19) < 1e-9 for r in got.where("r BETWEEN 3 AND 16 AND c BETWEEN 3 AND 16").collect())
