@@ -516,3 +516,13 @@ def test_toxicity_learns_from_short_texts_and_shared_passages(spark):
         assert zlib.crc32(b"80") % 4 == 2 or sample[texts[0][1]] == 1
         report = {r.doc_id: r.predicted for r in toxicity.toxicity_report(data, labels).collect()}
         assert all(report[i] == i % 2 for i in range(1, 80))
+
+
+def test_jaccard_copies_alone_reach_no_group(spark, monkeypatch):
+    seen, real = [], jaccard._cross_links
+    monkeypatch.setattr(jaccard, "_cross_links", lambda classes, n, *rest: seen.append(n) or real(classes, n, *rest))
+    texts = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(12)]
+    rows = [*enumerate(texts * 2), (90, texts[3] + " end"), (91, "few words"), (92, None)]
+    got = jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(d, n, c) for d, n, c in jaccard.brute_force(rows)]
+    assert seen == [2]  # the near pair; the other eleven classes have copies only
